@@ -7,8 +7,10 @@ loss of any executor.  The JVM removes them when it ends.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +31,26 @@ def build_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return SparkSession.builder.master(f"local[{cores}]").config(map=base).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each context, however the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_has_tesselog", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tesselog-ship-"), "tesselog.zip")
+    with zipfile.ZipFile(out, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(out)
+    context._has_tesselog = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables, as a lazy scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselog.llm import conversations, encoding, packing, splitting
+from tesselog.llm import conversations, encoding, neighbours, packing, spans, splitting
 from tesselog.session import table
 
 _PIECE = ("chunk_id", "piece_no", "start_char", "end_char", "start_line", "end_line")
@@ -14,6 +14,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(table(spark, sf_dir, "messages")).select("session_id", "turn_no", "message_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.close_pairs(table(spark, sf_dir, "cached_index"))
+
+
+def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar other vectors of each distinct vector, with the number of its exact copies."""
+    near, members = neighbours.nearest(table(spark, sf_dir, "cached_index"))
+    copies = members.groupBy("head").count()
+    return near.join(copies, near["a"] == copies["head"]).selectExpr("a AS vec_id", "b AS neighbour_id", "round(cosine, 5) AS cosine", "count AS copies")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "chunks")).select(*_PIECE)
 
@@ -32,5 +43,14 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_cohesion, p6_ids, p7_pack)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands in others."""
+    return spans.shared_share(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_nearest, p5_found, p5_cohesion, p6_ids, p7_pack, p8_found, p8_share)}
 SQL: dict[str, str] = {}

@@ -90,4 +90,15 @@ def materialise(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFram
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tesselog_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove a table of ``materialise`` that nothing will read again."""
+    path = getattr(df, "_tesselog_path", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop_path, True)

@@ -14,8 +14,10 @@ Sliding sentence spans, made exact to the character:
    joined back on the hash.
 4. Edges.  A passage of exactly the least length has one lowest position, the
    same wherever it stands; only passages whose lowest position starts a shared
-   span can be shared.  These are hashed and joined in the same way, and the
-   ones that another document holds make up the stretches.
+   span can be shared.  Those of one cut follow one another, so its first and
+   last passage settle all of them if both stand in other documents; only for
+   the cuts where one does not, at the edges of what is shared, is every passage
+   hashed and joined.
 
 A hash that a third of all documents hold is aggregated before the shuffle; on
 the way back it is the probe side of a join with unique keys, which adaptive
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselog.session import materialise
+from tesselog.session import materialise, release
 
 LEAST = 200
 SPAN = 96
@@ -132,12 +134,15 @@ class Cuts:
         best = _slide(np.concatenate((pad, low, pad)), window, np.maximum)
         self.at = np.flatnonzero(best == rank[: len(best)])
 
-    def passages(self, at: np.ndarray) -> np.ndarray:
-        """Starts of the passages of the least length whose lowest position is one of the cuts ``at``, in order."""
-        first = at[:, None] - np.arange(self.window)
+    def ranges(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last start of the passages of the least length whose lowest position is the cut; they follow one another."""
+        first = at[:, None] - np.arange(self.window)[::-1]
         ok = (first >= 0) & (first < len(self.low))
-        first, rank = first[ok], np.repeat(self.rank[at], ok.sum(1))
-        return np.unique(first[self.low[first] == rank] - _BACK)
+        ok &= self.low[np.where(ok, first, 0)] == self.rank[at][:, None]
+        lo = ok.argmax(1)
+        hi = self.window - 1 - ok[:, ::-1].argmax(1)
+        steps = np.arange(len(at))
+        return first[steps, lo] - _BACK, first[steps, hi] - _BACK
 
 
 def _blocks(batch: pa.RecordBatch, least: int):
@@ -174,15 +179,52 @@ def _spans(least: int, span: int):
     return run
 
 
-def _windows(least: int, span: int):
+def _struct(marks, field: str) -> np.ndarray:
+    return marks.values.field(field).to_numpy(zero_copy_only=False)
+
+
+def _ranges(least: int, span: int):
+    """The range of each shared cut, with the hashes of its first and last passage."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            shared = batch.column("shared")
+            marks = batch.column("marks")
             for rows, block in _blocks(batch, least):
                 found = Cuts(block, least, span)
-                marked = np.concatenate([np.asarray(shared[int(r)].values, np.int64) + block.bounds[k] for k, r in enumerate(rows)])
-                w = found.passages(np.intersect1d(found.at, marked))
+                at = np.concatenate([_struct(marks[int(r)], "at").astype(np.int64) + block.bounds[k] for k, r in enumerate(rows)])
+                cut = np.concatenate([_struct(marks[int(r)], "hash") for r in rows])
+                lo, hi = found.ranges(at)
+                own = _owners(block, at)
+                base = block.bounds[own]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(cut),
+                        pa.array(ids[rows[own]]),
+                        pa.array((lo - base).astype(np.int32)),
+                        pa.array((hi - base).astype(np.int32)),
+                        pa.array(block.hashes(lo, least).view(np.int64)),
+                        pa.array(block.hashes(hi, least).view(np.int64)),
+                    ],
+                    names=["cut", "doc_id", "lo", "hi", "h_lo", "h_hi"],
+                )
+
+    return run
+
+
+def _windows(least: int):
+    """All passages of the ranges that are still open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            marks = batch.column("marks")
+            for rows, block in _blocks(batch, least):
+                lo = np.concatenate([_struct(marks[int(r)], "lo").astype(np.int64) + block.bounds[k] for k, r in enumerate(rows)])
+                hi = np.concatenate([_struct(marks[int(r)], "hi").astype(np.int64) + block.bounds[k] for k, r in enumerate(rows)])
+                size = hi - lo + 1
+                w = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+                w = np.unique(w)
                 own = _owners(block, w)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.hashes(w, least).view(np.int64)), pa.array(ids[rows[own]]), pa.array((w - block.bounds[own]).astype(np.int32))], names=["hash", "doc_id", "at"]
@@ -191,10 +233,9 @@ def _windows(least: int, span: int):
     return run
 
 
-def _shared_rows(rows: DataFrame) -> DataFrame:
-    """The rows (hash, doc_id, at) whose hash more than one document holds."""
-    both = rows.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
-    return rows.join(both, "hash", "left_semi")
+def _shared_hashes(rows: DataFrame) -> DataFrame:
+    """The hashes of rows (hash, doc_id) that more than one document holds."""
+    return rows.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
 
 
 def _stretches(least: int):
@@ -223,9 +264,22 @@ def shared_spans(docs: DataFrame, least: int = LEAST, span: int = SPAN) -> DataF
     texts = _documents(docs, least)
     row = "hash bigint, doc_id bigint, at int"
     spans = materialise(texts.mapInArrow(_spans(least, span), row), "spans")
-    shared = materialise(_shared_rows(spans).groupBy("doc_id").agg(F.collect_set("at").alias("shared")), "shared")
-    windows = materialise(texts.join(shared, "doc_id").mapInArrow(_windows(least, span), row), "windows")
-    starts = _shared_rows(windows).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    marks = materialise(spans.join(_shared_hashes(spans), "hash", "left_semi"), "marks")
+    release(spans)
+    # the two ends of each range settle it, unless one of them stands nowhere else
+    of = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "hash")).alias("marks"))
+    ranges = materialise(texts.join(of, "doc_id").mapInArrow(_ranges(least, span), "cut bigint, doc_id bigint, lo int, hi int, h_lo bigint, h_hi bigint"), "ranges")
+    ends = _shared_hashes(ranges.select(F.explode(F.array("h_lo", "h_hi")).alias("hash"), "doc_id"))
+    ends = materialise(ends, "ends")
+    closed = ranges.join(ends.withColumnRenamed("hash", "h_lo"), "h_lo", "left_semi").join(ends.withColumnRenamed("hash", "h_hi"), "h_hi", "left_semi")
+    open_cuts = materialise(ranges.join(closed.select("cut", "doc_id", "lo"), ["cut", "doc_id", "lo"], "left_anti").select("cut").distinct(), "open")
+    settled = ranges.join(open_cuts, "cut", "left_anti").select("doc_id", F.explode(F.array("lo", "hi")).alias("at"))
+    # a cut that is open anywhere is looked at everywhere: its passages elsewhere may lie inside a range
+    todo = ranges.join(open_cuts, "cut", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    windows = materialise(texts.join(todo, "doc_id").mapInArrow(_windows(least), row), "windows")
+    both = materialise(_shared_hashes(windows), "both")
+    edges = windows.join(both, "hash", "left_semi").select("doc_id", "at")
+    starts = settled.unionByName(edges).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
     return starts.mapInArrow(_stretches(least), "doc_id bigint, start_char bigint, end_char bigint")
 
 

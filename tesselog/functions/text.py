@@ -36,6 +36,10 @@ CODE_WORDS = (
 )
 
 
+#: The edges of ASCII words; backslash-b of the JVM goes by Unicode letters.
+_EDGE0, _EDGE1 = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+
 def _map(entries: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
 
@@ -77,7 +81,10 @@ def symbol_like(query: Column) -> Column:
 def entity_shaped(query: Column) -> Column:
     """Whether a question is likely to be about code."""
     return (
-        query.rlike(r"[A-Z][a-z]+[A-Z][a-z]") | query.rlike(r"\b[a-z]+_[a-z_]+\b") | query.rlike(r"\b[A-Za-z][A-Za-z0-9]*\.[A-Za-z][A-Za-z0-9]+") | query.rlike(rf"(?i)\b({CODE_WORDS})\b")
+        query.rlike(r"[A-Z][a-z]+[A-Z][a-z]")
+        | query.rlike(rf"{_EDGE0}[a-z]+_[a-z_]+{_EDGE1}")
+        | query.rlike(rf"{_EDGE0}[A-Za-z][A-Za-z0-9]*\.[A-Za-z][A-Za-z0-9]+")
+        | query.rlike(rf"(?i){_EDGE0}({CODE_WORDS}){_EDGE1}")
     )
 
 

@@ -17,6 +17,8 @@ SEARCH_TOOLS = ("search_chunks", "find_related")
 CONSUMERS = ("Read", "Edit", "MultiEdit", "Write", "NotebookEdit")
 FILE_TOOLS = ("Read", "Edit", "Write", "MultiEdit")
 HEAVY_BYTES = 5000
+#: Keys of a call's input that may name its file, in order.
+PATH_KEYS = ("file_path", "filePath", "path", "file", "target_file_path")
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ class Replay:
     files: int = 5
     chunk_tokens: int = 300
     tools: tuple[str, ...] = ("Read", "Grep", "Glob")
-    commands: tuple[str, ...] = (r"(?i)^\s*(grep|rg|ag)\b", r"(?i)^\s*(find|fd)\b", r"(?i)^\s*(cat|head|tail|less|more)\b", r"(?i)^\s*sed\s+-n\b")
+    commands: tuple[str, ...] = (r"(?i)^\s*(grep|rg|ag)(?!\w)", r"(?i)^\s*(find|fd)(?!\w)", r"(?i)^\s*(cat|head|tail|less|more)(?!\w)", r"(?i)^\s*sed\s+-n(?!\w)")
 
 
 def _string(v: Column, path: str) -> Column:
@@ -89,7 +91,7 @@ def events(lines: DataFrame) -> DataFrame:
         F.schema_of_variant(F.try_variant_get(b, "$.content", "variant")).alias("output_kind"),
         F.try_variant_get(b, "$.is_error", "boolean").alias("is_error"),
         _string(b, "$.input.command").alias("command"),
-        _string(b, "$.input.file_path").alias("path"),
+        F.coalesce(*(F.nullif(_string(b, f"$.input.{k}"), F.lit("")) for k in PATH_KEYS)).alias("path"),
         _string(b, "$.input.query").alias("query"),
         (F.schema_of_variant(b) == "STRING").alias("bare"),
     )

@@ -273,6 +273,6 @@ def grep(files: DataFrame, queries: DataFrame, most: int = 100) -> DataFrame:
     asked = queries.select("query_id", T.keywords(F.col("text")).alias("k")).where(F.size("k") > 0)
     asked = asked.select("query_id", F.array_join(F.transform("k", lambda w: F.replace(w, F.lit("."), F.lit("\\."))), "|").alias("pattern"))
     lines = files.where("content is not null").select("path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
-    hits = lines.crossJoin(asked).where(F.col("line").rlike(F.col("pattern"))).select("query_id", "path", (F.col("i") + 1).alias("line_no"))
+    hits = lines.crossJoin(asked).where(F.rlike("line", "pattern")).select("query_id", "path", (F.col("i") + 1).alias("line_no"))
     order = Window.partitionBy("query_id").orderBy("path", "line_no")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

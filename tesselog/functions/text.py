@@ -44,20 +44,23 @@ def _map(entries: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
 
 
+#: A part of a name: upper-case letters up to one that begins a word, else upper-case letters with what follows them.
+_PART = r"\p{Lu}+(?=\p{Lu}\p{Ll})|\p{Lu}*[\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{N}]+|\p{Lu}+"
+
+
 def words(text: Column) -> Column:
     """Lower-case parts of identifiers and words in order, repeats kept.
 
     Parts end at anything but letters and digits, before an upper-case letter
-    that follows a lower-case letter or digit, and before the last letter of a
-    run of upper-case letters that a lower-case letter follows.
+    that follows another letter or digit, and before the last letter of a run
+    of upper-case letters that a lower-case letter follows.
     """
-    apart = F.regexp_replace(F.regexp_replace(text, r"(\p{Lu}+)(\p{Lu}\p{Ll})", "$1 $2"), r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
-    return F.transform(F.regexp_extract_all(apart, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit(_PART), F.lit(0)), F.lower)
 
 
 def dotted(text: Column) -> Column:
     """Lower-case dotted names (a.b.c), each as a whole."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)+)"), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]++(?:\.[A-Za-z0-9_]++)+"), F.lit(0)), F.lower)
 
 
 def tokens(text: Column, keep_dotted: bool = True) -> Column:

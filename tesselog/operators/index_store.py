@@ -35,7 +35,7 @@ def static_embedding(terms: DataFrame, vectors: DataFrame, dim: int) -> DataFram
     Terms are counted before they meet their vectors, and sums are partial per
     task, so what is shuffled are counted terms and one sum per chunk and task.
     """
-    counted = terms.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
+    counted = terms.select("chunk_id", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("chunk_id", "term").agg(F.count("*").alias("n"))
     sums = counted.join(vectors, "term").groupBy("chunk_id").agg(*(F.sum(F.col("v")[i] * F.col("n")).alias(f"s{i}") for i in range(dim)))
     total = F.sqrt(sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(dim)), F.lit(0.0)))
     return sums.select("chunk_id", F.array(*(F.when(total > 0, F.col(f"s{i}") / total).otherwise(0.0) for i in range(dim))).alias("v"))

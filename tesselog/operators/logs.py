@@ -350,9 +350,9 @@ def provenance(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> D
     session and the last segment of the path, an equi join.
     """
     hits = search_hits(ev, search_tools)
-    h = hits.withColumns({"h_seg": _segments(F.col("file_path"))}).withColumn("base", F.element_at("h_seg", -1))
+    h = hits.withColumns({"h_seg": _segments(F.col("file_path"))}).withColumn("base", F.try_element_at("h_seg", F.lit(-1)))
     used = ev.where((F.col("kind") == "tool_use") & F.col("tool").isin(*CONSUMERS) & (F.col("path") != ""))
-    u = used.select("session", "event_index", F.col("path").alias("target"), _segments(F.col("path")).alias("u_seg")).withColumn("base", F.element_at("u_seg", -1))
+    u = used.select("session", "event_index", F.col("path").alias("target"), _segments(F.col("path")).alias("u_seg")).withColumn("base", F.try_element_at("u_seg", F.lit(-1)))
     n = F.least(F.size("u_seg"), F.size("h_seg"))
     tail = lambda c: F.slice(c, F.size(c) - n + 1, n)
     exact = F.col("target") == F.col("file_path")

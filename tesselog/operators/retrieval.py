@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tesselog.functions import text as T
 from tesselog.functions import vectors as V
+from tesselog.session import materialise
 
 
 @dataclass(frozen=True)
@@ -44,9 +45,14 @@ def index_terms(chunks: DataFrame, keep_dotted: bool = True) -> DataFrame:
     return terms.withColumn("dl", F.size("terms").cast("bigint"))
 
 
+def _each(terms: DataFrame) -> DataFrame:
+    """chunk_id, dl, term: one row per occurrence; the outer explode keeps Spark from tokenising once more for a filter."""
+    return terms.select("chunk_id", "dl", F.explode_outer("terms").alias("term")).where("term is not null")
+
+
 def postings(terms: DataFrame) -> DataFrame:
     """term, chunk_id, tf, dl."""
-    return terms.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return _each(terms).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -72,9 +78,9 @@ def query_terms(queries: DataFrame, keep_dotted: bool = True) -> DataFrame:
 
 def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(), digits: int = 6) -> DataFrame:
     """query_id, chunk_id, score, rank: the k best chunks of each query, scores over 0 only."""
-    wanted = query_terms(queries)
-    needed = wanted.select("term").distinct()
-    posts = postings(terms.select("chunk_id", "dl", F.explode("terms").alias("term")).join(needed, "term", "left_semi").groupBy("chunk_id", "dl").agg(F.collect_list("term").alias("terms")))
+    wanted = materialise(query_terms(queries), "query_terms")
+    found = _each(terms).join(wanted.select("term").distinct(), "term", "left_semi")
+    posts = materialise(found.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     weighed = posts.join(df, "term").crossJoin(corpus_stats(terms))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tesselog.functions import text as T
 from tesselog.functions import vectors as V
 from tesselog.operators import index_store, retrieval as R
-from tesselog.session import table
+from tesselog.session import materialise, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
 
 
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of the corpus, written once as an index is."""
+    return materialise(R.index_terms(spread(table(spark, sf_dir, "chunks"))).dropDuplicates(["chunk_id"]), "index")
+
+
 def symbol_queries(chunks: DataFrame) -> DataFrame:
     return chunks.where("chunk_id % 100 = 0 and symbol_name is not null").select(F.col("chunk_id").alias("query_id"), F.col("symbol_name").alias("text"))
 
@@ -46,7 +51,7 @@ CORPUS = "chunk AS (SELECT DISTINCT * FROM chunks)"
 
 
 def words_sql(x: str) -> str:
-    inner = rf"regexp_replace(regexp_replace({x}, '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g')"
+    inner = rf"regexp_replace(regexp_replace({x}, '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '([\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g')"
     return rf"list_transform(regexp_extract_all({inner}, '([\p{{L}}\p{{N}}]+)', 1), lambda w: lower(w))"
 
 
@@ -97,23 +102,23 @@ w AS (SELECT doc_id, l, unnest(generate_series(0, greatest(len(l) - 6, 0), 45))
 SELECT doc_id, s + 1 AS start_line, least(s + 50, len(l)) AS end_line, md5(array_to_string(l[s + 1 : s + 50], chr(10))) AS digest FROM w"""
 )
 def chunk_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.windows(F.col("text"))).alias("w"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(T.windows(F.col("text"))).alias("w"))
     return docs.select("doc_id", F.col("w.start_line").cast("bigint").alias("start_line"), F.col("w.end_line").cast("bigint").alias("end_line"), F.md5("w.content").alias("digest"))
 
 
 @query(f"WITH {CORPUS}, {TERMS}, {POSTS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY 1")
 def term_statistics(spark, sf_dir):
-    return R.document_frequency(R.postings(R.index_terms(corpus(spark, sf_dir))))
+    return R.document_frequency(R.postings(index(spark, sf_dir)))
 
 
 @query(f"WITH {CORPUS}, {TERMS}, {POSTS} SELECT p.term, p.chunk_id, tf, dl::BIGINT AS dl FROM posts p JOIN doclen USING (chunk_id)")
 def postings(spark, sf_dir):
-    return R.postings(R.index_terms(corpus(spark, sf_dir)))
+    return R.postings(index(spark, sf_dir))
 
 
 @query(f"WITH {CORPUS}, {TERMS} SELECT count(*) AS n, round(avg(len(terms)), 6) AS avgdl FROM terms")
 def corpus_stats(spark, sf_dir):
-    return R.corpus_stats(R.index_terms(corpus(spark, sf_dir))).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return R.corpus_stats(index(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"SELECT name, count(*) AS n FROM (SELECT unnest({dotted_sql('text')}) AS name FROM documents) GROUP BY 1")
@@ -175,19 +180,19 @@ _BASE = f"WITH {CORPUS}, {TERMS}, {POSTS}, {ASKED}"
 @query(f"{_BASE}, {bm25_sql(10)} SELECT * FROM bm")
 def bm25_topk(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
-    return R.bm25(R.index_terms(chunks), symbol_queries(chunks), 10)
+    return R.bm25(index(spark, sf_dir), symbol_queries(chunks), 10)
 
 
 @query(f"{_BASE}, {bm25_sql(10, 1.2, 0)} SELECT * FROM bm")
 def bm25_without_length(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
-    return R.bm25(R.index_terms(chunks), symbol_queries(chunks), 10, R.Bm25(b=0.0))
+    return R.bm25(index(spark, sf_dir), symbol_queries(chunks), 10, R.Bm25(b=0.0))
 
 
 @query(f"{_BASE}, {bm25_sql(10, 0, 0.75)} SELECT * FROM bm")
 def bm25_binary(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
-    return R.bm25(R.index_terms(chunks), symbol_queries(chunks), 10, R.Bm25(k1=0.0))
+    return R.bm25(index(spark, sf_dir), symbol_queries(chunks), 10, R.Bm25(k1=0.0))
 
 
 def cosine_sql(k: int, name: str = "cs") -> str:
@@ -220,7 +225,7 @@ SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY
 def hybrid_search(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
     v = chunk_vectors(spark, sf_dir)
-    return R.hybrid(R.index_terms(chunks), symbol_queries(chunks), v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 10)
+    return R.hybrid(index(spark, sf_dir), symbol_queries(chunks), v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 10)
 
 
 def _contains_any(x: str, marks) -> str:
@@ -251,7 +256,7 @@ SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY
 def signals(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
     asked = symbol_queries(chunks)
-    return R.apply_signals(R.bm25(R.index_terms(chunks), asked, 50), chunks, asked, 10)
+    return R.apply_signals(R.bm25(index(spark, sf_dir), asked, 50), chunks, asked, 10)
 
 
 @query(
@@ -262,7 +267,7 @@ SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY
 def rerank(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
     asked = symbol_queries(chunks)
-    return R.rerank(R.bm25(R.index_terms(chunks), asked, 50), chunks, asked, 10)
+    return R.rerank(R.bm25(index(spark, sf_dir), asked, 50), chunks, asked, 10)
 
 
 def _regions(chunks):
@@ -279,7 +284,7 @@ SELECT * FROM (SELECT bm.query_id, chunk_id, score, row_number() OVER (PARTITION
 )
 def related_by_words(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
-    return R.related(chunks, R.index_terms(chunks), _regions(chunks), 5)
+    return R.related(chunks, index(spark, sf_dir), _regions(chunks), 5)
 
 
 @query(
@@ -290,7 +295,7 @@ SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY
 )
 def related_by_vector(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
-    return R.related(chunks, R.index_terms(chunks), _regions(chunks), 5, chunk_vectors(spark, sf_dir))
+    return R.related(chunks, index(spark, sf_dir), _regions(chunks), 5, chunk_vectors(spark, sf_dir))
 
 
 # -- embeddings -------------------------------------------------------------------------------
@@ -311,7 +316,7 @@ m AS (SELECT chunk_id, i, avg(tv.v[i]) AS m FROM e JOIN tv USING (term), generat
 SELECT chunk_id, i - 1 AS dim, round(m / n, 5) + 0.0 AS value FROM m JOIN n USING (chunk_id)"""
 )
 def static_embedding(spark, sf_dir):
-    terms = R.index_terms(corpus(spark, sf_dir))
+    terms = index(spark, sf_dir)
     vectors = terms.select(F.explode("terms").alias("term")).distinct().select("term", V.hashed_vector(F.col("term"), 8).alias("v"))
     return index_store.static_embedding(terms, vectors, 8).select("chunk_id", F.posexplode("v").alias("dim", "value")).select("chunk_id", F.col("dim").cast("bigint").alias("dim"), (F.round("value", 5) + 0.0).alias("value"))
 
@@ -357,7 +362,7 @@ SELECT query_id, round(hits / n, 6) AS recall, round(coalesce(1.0::DOUBLE / firs
 def retrieval_metrics(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
     asked = symbol_queries(chunks)
-    ranked = R.bm25(R.index_terms(chunks), asked, 10).withColumnRenamed("chunk_id", "item")
+    ranked = R.bm25(index(spark, sf_dir), asked, 10).withColumnRenamed("chunk_id", "item")
     relevant = asked.join(chunks.select(F.col("symbol_name").alias("text"), F.col("chunk_id").alias("item")), "text")
     return R.metrics(ranked, relevant, 10)
 

@@ -78,7 +78,7 @@ def latest(messages: DataFrame) -> DataFrame:
         speaker(F.col("role")).alias("speaker"),
         instant(F.col("ts")).alias("at"),
         visible(F.col("content")).alias("shows"),
-        *(F.col(c).cast("bigint").alias(c) for c in links),
+        *(F.col(c).try_cast("bigint").alias(c) for c in links),
     ]
     best = messages.where("message_id is not null").select("message_id", F.struct(*fields).alias("b")).groupBy("message_id").agg(F.max("b").alias("b"))
     return best.select("message_id", *(f"b.{c}" for c in ("sid", "speaker", "at", "shows", *links)))

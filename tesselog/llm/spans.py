@@ -25,8 +25,9 @@ execution splits.  No pair of documents is ever formed.
 
 Defined cases: null, empty and shorter texts hold no passage; white space and
 rare characters count like others, by code points; a passage repeated within
-one document only doesn't count; rows of one doc_id count as one document (the
-largest text of them); a null doc_id takes no part; other columns are ignored.
+one document only doesn't count; texts under one doc_id count as one document,
+whose stretches are those of all its texts together; a null doc_id takes no
+part; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -194,8 +195,13 @@ def _ranges(least: int, span: int):
                 found = Cuts(block, least, span)
                 at = np.concatenate([_struct(marks[int(r)], "at").astype(np.int64) + block.bounds[k] for k, r in enumerate(rows)])
                 cut = np.concatenate([_struct(marks[int(r)], "hash") for r in rows])
+                # of texts under one id, each answers for its own cuts only
+                own = np.repeat(np.arange(len(rows)), [len(marks[int(r)]) for r in rows])
+                ok = at + span <= block.bounds[own + 1]
+                ok[ok] = block.hashes(at[ok], span).view(np.int64) == cut[ok]
+                ok &= np.isin(at, found.at)
+                at, cut, own = at[ok], cut[ok], own[ok]
                 lo, hi = found.ranges(at)
-                own = _owners(block, at)
                 base = block.bounds[own]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -222,7 +228,9 @@ def _windows(least: int):
             for rows, block in _blocks(batch, least):
                 lo = np.concatenate([_struct(marks[int(r)], "lo").astype(np.int64) + block.bounds[k] for k, r in enumerate(rows)])
                 hi = np.concatenate([_struct(marks[int(r)], "hi").astype(np.int64) + block.bounds[k] for k, r in enumerate(rows)])
-                size = hi - lo + 1
+                own = np.repeat(np.arange(len(rows)), [len(marks[int(r)]) for r in rows])
+                hi = np.minimum(hi, block.bounds[own + 1] - least)
+                size = np.maximum(hi - lo + 1, 0)
                 w = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                 w = np.unique(w)
                 own = _owners(block, w)

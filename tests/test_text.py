@@ -49,7 +49,7 @@ def test_keywords(spark):
     assert one(spark, "the of", T.keywords) == []
 
 
-@pytest.mark.parametrize("path,want", [("src/test/a.ts", 0.5), ("tests/a.ts", 1.0), ("a/legacy/demo/x.d.ts", 0.6 * 0.6), ("a/b_test.go", 0.5), ("x/legacy/test/a", 0.3), ("x/demo/a", 0.7)])
+@pytest.mark.parametrize("path,want", [("src/test/a.ts", 0.5), ("tests/a.ts", 1.0), ("a/legacy/x.d.ts", 0.6 * 0.6), ("a/b_test.go", 0.5), ("x/legacy/test/a", 0.3), ("x/demo/a", 0.7)])
 def test_path_factor(spark, path, want):
     assert one(spark, path, lambda c: F.round(T.path_factor(c), 6)) == pytest.approx(want)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesselog.llm import conversations, encoding, neighbours, packing, spans, splitting
-from tesselog.session import table
+from tesselog.session import spread, table
 
 _PIECE = ("chunk_id", "piece_no", "start_char", "end_char", "start_line", "end_line")
 
@@ -35,12 +35,12 @@ def p5_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.encode(table(spark, sf_dir, "documents"))
+    return encoding.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's, or piece's, container of 2 048 tokens and its place there."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

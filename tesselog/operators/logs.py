@@ -306,6 +306,22 @@ def turns(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFr
     return out.withColumns({"turn_no": number.cast("bigint"), "missed": heavy, "outcome": outcome, "tools": F.array_join("tools", ",")}).drop("first_turn", "turn")
 
 
+def turn_savings(turn_rows: DataFrame, session_savings: DataFrame) -> DataFrame:
+    """session, turn_no, seconds, saved: each turn's length, and the session's saved tokens shared out by its searches."""
+    both = turn_rows.join(session_savings.select("session", F.col("searches").alias("all_searches"), "tokens_saved"), "session")
+    part = F.when((F.col("all_searches") > 0) & (F.col("searches") > 0), F.floor(F.col("tokens_saved") * F.least(F.lit(1.0), F.col("searches") / F.col("all_searches")) + 0.5))
+    seconds = F.col("ended_at").try_cast("timestamp").cast("double") - F.col("started_at").try_cast("timestamp").cast("double")
+    return both.select("session", "turn_no", F.round(seconds, 3).alias("seconds"), part.cast("bigint").alias("saved"))
+
+
+def replay_view(rows: DataFrame, most: int = 500, rare: float = 0.05) -> DataFrame:
+    """The first ``most`` rows of each session's replay; only replaceable and replaced ones where these are rare."""
+    shown = F.col("replaceable") | F.col("replaced")
+    share = F.avg(shown.cast("double")).over(Window.partitionBy("session"))
+    kept = rows.withColumn("share", share).where(shown | (F.col("share") == 0) | (F.col("share") >= rare)).drop("share")
+    return kept.withColumn("rn", F.row_number().over(_order())).where(F.col("rn") <= most).drop("rn")
+
+
 def tool_pairs(ev: DataFrame) -> DataFrame:
     """session, result_index, use_index, tool: each result with the latest call still open, over the whole session.
 
@@ -327,13 +343,21 @@ def tool_pairs(ev: DataFrame) -> DataFrame:
     return run.withColumn("p", partner).where((F.col("kind") == "tool_result") & (F.col("level") > 0)).select("session", F.col("event_index").alias("result_index"), F.col("p.event_index").alias("use_index"), F.col("p.tool").alias("tool"), "output", "output_kind")
 
 
+def search_payload(output: Column) -> Column:
+    """The JSON array of results in a search output, unwrapped up to three times from texts and text envelopes; null if there is none."""
+    for _ in range(3):
+        inner = F.coalesce(F.get_json_object(output, "$.content[0].text"), F.get_json_object(output, "$[0].text"), F.when(F.ltrim(output).startswith('"'), F.get_json_object(output, "$")))
+        output = F.coalesce(inner, output)
+    listed = F.coalesce(F.get_json_object(output, "$.results"), F.get_json_object(output, "$.hits"), output)
+    return F.when(F.ltrim(listed).startswith("["), listed)
+
+
 def search_hits(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFrame:
     """session, result_index, search_index, chunk_index, file_path of each hit in the results of searches."""
     searches = ev.withColumn("near", F.last(F.when((F.col("kind") == "tool_use") & is_search(F.col("tool"), search_tools), F.col("event_index")), ignorenulls=True).over(_before()))
     near = searches.where("kind = 'tool_result'").select("session", F.col("event_index").alias("result_index"), "near")
     results = tool_pairs(ev).where(is_search(F.col("tool"), search_tools)).join(near, ["session", "result_index"])
-    body = F.coalesce(F.get_json_object("output", "$.results"), F.get_json_object("output", "$.hits"), F.when(F.trim("output").startswith("["), F.col("output")))
-    hits = F.from_json(body, "array<struct<filePath:string,startLine:bigint>>")
+    hits = F.from_json(search_payload(F.col("output")), "array<struct<filePath:string,startLine:bigint>>")
     out = results.select("session", "result_index", F.coalesce("near", "result_index").alias("search_index"), F.posexplode(hits).alias("chunk_index", "h"))
     return out.where("h.filePath is not null").select("session", "result_index", "search_index", "chunk_index", F.col("h.filePath").alias("file_path"))
 

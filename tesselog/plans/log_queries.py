@@ -180,6 +180,17 @@ def turns(spark, sf_dir):
     return L.turns(log_events(spark, sf_dir))
 
 
+@query(
+    f"""WITH {EVENTS}, {SAVINGS}, t0 AS (SELECT *, sum(CASE WHEN kind = 'user_message' THEN 1 ELSE 0 END) OVER {SO_FAR} AS turn FROM ev), g AS (SELECT session, turn, arg_min(coalesce(ts, '~'), event_index) AS st, arg_max(ts, event_index) FILTER (ts IS NOT NULL) AS en,
+count(*) FILTER (kind = 'tool_use' AND tool IN {TOOLS}) AS n, min(min(turn)) OVER (PARTITION BY session) AS ft FROM t0 GROUP BY 1, 2)
+SELECT session, (CASE WHEN turn = 0 THEN 0 WHEN ft = 0 THEN turn + 1 ELSE turn END)::BIGINT AS turn_no, round(epoch(try_cast(en AS TIMESTAMP)) - epoch(try_cast(nullif(st, '~') AS TIMESTAMP)), 3) AS seconds,
+CASE WHEN searches > 0 AND n > 0 THEN floor(tokens_saved * least(1.0::DOUBLE, n::DOUBLE / searches) + 0.5)::BIGINT END AS saved FROM g JOIN sv USING (session)"""
+)
+def turn_savings(spark, sf_dir):
+    ev = log_events(spark, sf_dir)
+    return L.turn_savings(L.turns(ev), L.savings(ev, table(spark, sf_dir, "model_prices")))
+
+
 PAIRS = f"""k0 AS (SELECT session, event_index, kind, tool, output, output_kind, sum(CASE kind WHEN 'tool_use' THEN 1 ELSE -1 END) OVER {SO_FAR} AS s FROM ev WHERE kind = 'tool_result' OR kind = 'tool_use' AND tool IS NOT NULL),
 k1 AS (SELECT *, least(0, min(s) OVER {SO_FAR}) AS low, coalesce(least(0, min(s) OVER {PRIOR}), 0) AS was FROM k0),
 k2 AS (SELECT *, CASE WHEN kind = 'tool_use' THEN s - low WHEN s < was THEN 0 ELSE s - low + 1 END AS level FROM k1),
@@ -192,9 +203,15 @@ def tool_pairs(spark, sf_dir):
     return L.tool_pairs(log_events(spark, sf_dir)).drop("output", "output_kind")
 
 
+def _unwrap_sql(x: str) -> str:
+    inner = f"coalesce(json_extract_string({x}, '$.content[0].text'), json_extract_string({x}, '$[0].text'), CASE WHEN starts_with(ltrim({x}), '\"') THEN json_extract_string({x}, '$') END, {x})"
+    return f"CASE WHEN json_valid({x}) THEN {inner} ELSE {x} END"
+
+
 HITS = f"""{PAIRS}, nr AS (SELECT session, event_index, last_value(CASE WHEN kind = 'tool_use' AND tool IN {TOOLS} THEN event_index END IGNORE NULLS) OVER {PRIOR} AS near FROM ev),
+u1 AS (SELECT * EXCLUDE (output), {_unwrap_sql('output')} AS output FROM pairs), u2 AS (SELECT * EXCLUDE (output), {_unwrap_sql('output')} AS output FROM u1), u3 AS (SELECT * EXCLUDE (output), {_unwrap_sql('output')} AS output FROM u2),
 bd AS (SELECT p.session, result_index, coalesce(near, result_index) AS search_index, CASE WHEN json_valid(output) THEN CASE WHEN json_type(output::JSON) = 'ARRAY' THEN output::JSON ELSE coalesce(json_extract(output::JSON, '$.results'), json_extract(output::JSON, '$.hits')) END END AS body
- FROM pairs p JOIN nr ON nr.session = p.session AND nr.event_index = result_index WHERE tool IN {TOOLS}),
+ FROM u3 p JOIN nr ON nr.session = p.session AND nr.event_index = result_index WHERE tool IN {TOOLS}),
 h0 AS (SELECT session, result_index, search_index, generate_subscripts(a, 1) - 1 AS chunk_index, unnest(a) AS h FROM (SELECT *, from_json(body, '["json"]') AS a FROM bd WHERE json_type(body) = 'ARRAY')),
 hits AS (SELECT session, result_index, search_index, chunk_index, {_str('h', '$.filePath')} AS file_path FROM h0 WHERE json_type(h, '$.filePath') = 'VARCHAR')"""
 

@@ -132,6 +132,8 @@ def _scan(root: str, respect_ignore: bool, follow_links: bool, max_bytes: int):
     def run(batches):
         for batch in batches:
             rows = [x for folder, layers, above in zip(batch["path"], batch["layers"], batch["above"]) for x in one(folder, [(r["folder"], r["text"]) for r in layers], list(above))]
+            if not rows:
+                continue
             out = pd.DataFrame(rows, columns=["kind", "path", "mtime_ms", "size", "reason", "layers", "above"])
             out["layers"] = [[{"folder": d, "text": t} for d, t in x] for x in out["layers"]]
             out["size"] = out["size"].astype("Int64")
@@ -179,6 +181,11 @@ def _read(root: str):
     return run
 
 
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """path, mtime_ms, size, content, reason of the files (path, mtime_ms, size) below root."""
+    return files.select("path", "mtime_ms", "size").mapInPandas(_read(root), "path string, mtime_ms double, size bigint, content string, reason string")
+
+
 def list_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, respect_ignore: bool = True, follow_links: bool = False) -> DataFrame:
     """path, mtime_ms, size, content, reason of everything under ``root``; reason is null for the files to be indexed.
 
@@ -186,7 +193,7 @@ def list_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, respe
     and not-a-regular-file; what vanishes meanwhile is passed over.
     """
     found = walk(spark, root, max_bytes, respect_ignore, follow_links)
-    files = found.where("kind = 'file'").select("path", "mtime_ms", "size").mapInPandas(_read(root), "path string, mtime_ms double, size bigint, content string, reason string")
+    files = read_files(found.where("kind = 'file'"), root)
     return files.unionByName(found.where("kind = 'skip'").select("path", "mtime_ms", "size", F.lit(None).cast("string").alias("content"), "reason"))
 
 

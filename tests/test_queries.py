@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings sessions messages raw_lines usage_raw chunks cached_index model_prices".split()
-SIDE_BY_SIDE = "language_detect chunk_lines term_statistics bm25_topk signals hybrid_search normalized_events savings turns ground_truth project_rollup session_windows stream_savings".split()
+SIDE_BY_SIDE = "chunk_lines hybrid_search signals savings turns ground_truth project_rollup stream_savings".split()
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
 

@@ -100,3 +100,11 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chunk_files(files: DataFrame) -> DataFrame:
     """path, language, start_line, end_line, kind, node_type, symbol_name, content of files (path, content)."""
     return files.select("path", T.language(F.col("path")).alias("language"), "content").mapInArrow(_run, _SCHEMA)
+
+
+def coverage(chunks: DataFrame, by: str = "language") -> DataFrame:
+    """Files, chunks, and the shares of chunks that come from syntax and that are named, of each language."""
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return chunks.groupBy(by).agg(
+        F.count_distinct("path").alias("files"), F.count("*").alias("chunks"), share(F.coalesce(F.col("kind") == "tree-sitter", F.lit(False))).alias("by_syntax"), share(F.col("symbol_name").isNotNull()).alias("named")
+    )

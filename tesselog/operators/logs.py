@@ -465,3 +465,25 @@ def matching_events(ev: DataFrame, needle: str) -> DataFrame:
     if not want:
         return ev
     return ev.where(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit(want)) | F.contains(F.lower(F.coalesce("tool", F.lit(""))), F.lit(want)))
+
+
+def session_by_prefix(sessions: DataFrame, prefix: str) -> DataFrame:
+    """The one session whose id begins with ``prefix`` in any case; none or several are an error."""
+    found = sessions.where(F.lower("id").startswith(prefix.lower()))
+    n = len(found.select("id").distinct().limit(2).collect())
+    if n != 1:
+        raise ValueError(f"{'no' if n == 0 else 'more than one'} session begins with {prefix!r}")
+    return found
+
+
+def used_searches(links: DataFrame) -> DataFrame:
+    """session, search_index, consumers, used_chunks: what came of each search, from rows of ``provenance``."""
+    return links.groupBy("session", "search_index").agg(F.sort_array(F.collect_list("event_index")).alias("consumers"), F.sort_array(F.collect_set("chunk_index")).alias("used_chunks"))
+
+
+def nearest_used_search(ev: DataFrame, links: DataFrame) -> DataFrame:
+    """session, event_index, search_index: for each result the latest earlier search that something came of."""
+    used = links.select("session", F.col("search_index").alias("event_index")).distinct().withColumn("used", F.lit(True))
+    rows = ev.select("session", "event_index", "kind").join(used, ["session", "event_index"], "left")
+    near = F.last(F.when(F.col("used"), F.col("event_index")), ignorenulls=True).over(_before())
+    return rows.withColumn("search_index", near).where("kind = 'tool_result' and search_index is not null").select("session", "event_index", "search_index")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tesselog.functions import text as T
 from tesselog.functions import vectors as V
-from tesselog.operators import index_store, retrieval as R
+from tesselog.operators import code_chunks, index_store
+from tesselog.operators import retrieval as R
 from tesselog.session import materialise, spread, table
 
 QUERIES: dict = {}
@@ -439,3 +440,10 @@ FROM t JOIN chunk ON 'c/' || chunk_id = path GROUP BY 1"""
 def grep_token_cost(spark, sf_dir):
     files, hits = _grep(spark, sf_dir)
     return index_store.grep_cost(hits, files, 3, 15)
+
+
+@query(
+    f"WITH {CORPUS} SELECT language, count(DISTINCT repo || '/' || file_path) AS files, count(*) AS chunks, round(avg(CASE WHEN kind = 'tree-sitter' THEN 1.0::DOUBLE ELSE 0 END), 6) AS by_syntax, round(avg(CASE WHEN symbol_name IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS named FROM chunk GROUP BY 1"
+)
+def chunk_coverage(spark, sf_dir):
+    return code_chunks.coverage(corpus(spark, sf_dir).withColumn("path", F.concat("repo", F.lit("/"), "file_path")))

@@ -146,6 +146,17 @@ def test_provenance(spark):
     ]
     got = {r.event_index: (r.search_index, r.chunk_index) for r in L.provenance(events(spark, rows)).collect()}
     assert got == {3: (1, 1), 7: (5, 0)}
+    links = L.provenance(events(spark, rows))
+    assert {r.search_index: (r.consumers, r.used_chunks) for r in L.used_searches(links).collect()} == {1: ([3], [1]), 5: ([7], [0])}
+    assert {r.event_index: r.search_index for r in L.nearest_used_search(events(spark, rows), links).collect()} == {2: 1, 4: 1, 6: 5}
+
+
+def test_session_by_prefix(spark):
+    s = spark.createDataFrame([("abc",), ("ABD",), ("x",)], "id string")
+    assert L.session_by_prefix(s, "X").count() == 1
+    for prefix in ("ab", "zz"):
+        with pytest.raises(ValueError):
+            L.session_by_prefix(s, prefix)
 
 
 def test_prefix_roots(spark):

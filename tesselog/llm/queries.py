@@ -19,7 +19,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar other vectors of each distinct vector, with the number of its exact copies."""
+    """The five most similar other vectors of each distinct direction, with the number of its copies, whatever their length."""
     near, members = neighbours.nearest(table(spark, sf_dir, "cached_index"))
     copies = members.groupBy("head").count()
     return near.join(copies, near["a"] == copies["head"]).selectExpr("a AS vec_id", "b AS neighbour_id", "round(cosine, 5) AS cosine", "count AS copies")

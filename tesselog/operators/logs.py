@@ -272,7 +272,7 @@ def with_turns(ev: DataFrame) -> DataFrame:
 
 
 def turns(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFrame:
-    """One row for each turn: number, times, flags, tools in order of first use, and metrics.
+    """One row for each turn: number, times, flags, tools in order of first use, and metrics; search_chunks are the hits its searches returned.
 
     Numbers go 1, 2, ...; after a turn 0 the next is 2.  A turn is interrupted
     if more calls than results are open at its end, results without an open
@@ -296,6 +296,7 @@ def turns(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFr
         (F.max_by("s", "event_index") - F.least(F.lit(0), F.min("s")) > 0).alias("interrupted"),
         F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(use & F.col("tool").isNotNull(), F.struct("event_index", "tool")))), lambda x: x["tool"])).alias("tools"),
         F.count_if(use & is_search(F.col("tool"), search_tools)).alias("searches"),
+        F.sum(F.when(result & is_search(F.col("of_tool"), search_tools), F.coalesce(_hit_count(F.col("output")), F.lit(0))).otherwise(0)).cast("bigint").alias("search_chunks"),
         F.sum(F.when(result & (F.col("of_tool") == "Read"), size).otherwise(0)).alias("read_bytes"),
         F.sum(F.when(result & (F.col("of_tool") == "Bash"), size).otherwise(0)).alias("bash_bytes"),
         F.min("first_turn").alias("first_turn"),
@@ -307,9 +308,13 @@ def turns(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFr
 
 
 def turn_savings(turn_rows: DataFrame, session_savings: DataFrame) -> DataFrame:
-    """session, turn_no, seconds, saved: each turn's length, and the session's saved tokens shared out by its searches."""
-    both = turn_rows.join(session_savings.select("session", F.col("searches").alias("all_searches"), "tokens_saved"), "session")
-    part = F.when((F.col("all_searches") > 0) & (F.col("searches") > 0), F.floor(F.col("tokens_saved") * F.least(F.lit(1.0), F.col("searches") / F.col("all_searches")) + 0.5))
+    """session, turn_no, seconds, saved: each turn's length, and its part of the session's saved tokens.
+
+    The part is the turn's returned chunks over those of the session, at most
+    all; null if the turn or the session returned none or nothing was saved.
+    """
+    both = turn_rows.join(session_savings.select("session", "chunks", "tokens_saved"), "session")
+    part = F.when((F.col("tokens_saved") > 0) & (F.col("chunks") > 0) & (F.col("search_chunks") > 0), F.floor(F.col("tokens_saved") * F.least(F.lit(1.0), F.col("search_chunks") / F.col("chunks")) + 0.5))
     seconds = F.col("ended_at").try_cast("timestamp").cast("double") - F.col("started_at").try_cast("timestamp").cast("double")
     return both.select("session", "turn_no", F.round(seconds, 3).alias("seconds"), part.cast("bigint").alias("saved"))
 
@@ -352,13 +357,20 @@ def search_payload(output: Column) -> Column:
     return F.when(F.ltrim(listed).startswith("["), listed)
 
 
+def _hits(output: Column) -> Column:
+    return F.from_json(search_payload(output), "array<struct<filePath:string,startLine:bigint>>")
+
+
+def _hit_count(output: Column) -> Column:
+    return F.size(F.filter(_hits(output), lambda h: h["filePath"].isNotNull()))
+
+
 def search_hits(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFrame:
     """session, result_index, search_index, chunk_index, file_path of each hit in the results of searches."""
     searches = ev.withColumn("near", F.last(F.when((F.col("kind") == "tool_use") & is_search(F.col("tool"), search_tools), F.col("event_index")), ignorenulls=True).over(_before()))
     near = searches.where("kind = 'tool_result'").select("session", F.col("event_index").alias("result_index"), "near")
     results = tool_pairs(ev).where(is_search(F.col("tool"), search_tools)).join(near, ["session", "result_index"])
-    hits = F.from_json(search_payload(F.col("output")), "array<struct<filePath:string,startLine:bigint>>")
-    out = results.select("session", "result_index", F.coalesce("near", "result_index").alias("search_index"), F.posexplode(hits).alias("chunk_index", "h"))
+    out = results.select("session", "result_index", F.coalesce("near", "result_index").alias("search_index"), F.posexplode(_hits(F.col("output"))).alias("chunk_index", "h"))
     return out.where("h.filePath is not null").select("session", "result_index", "search_index", "chunk_index", F.col("h.filePath").alias("file_path"))
 
 

@@ -177,7 +177,7 @@ SELECT session, events, first_event, nullif(st, '~') AS started_at, ended_at, ha
  (CASE WHEN turn = 0 THEN 0 WHEN ft = 0 THEN turn + 1 ELSE turn END)::BIGINT AS turn_no, searches = 0 AND read_bytes + bash_bytes >= 5000 AS missed, CASE WHEN interrupted THEN 'interrupted' WHEN has_error THEN 'errored' ELSE 'ok' END AS outcome FROM g LEFT JOIN fl USING (session, turn)"""
 )
 def turns(spark, sf_dir):
-    return L.turns(log_events(spark, sf_dir))
+    return L.turns(log_events(spark, sf_dir)).drop("search_chunks")
 
 
 @query(

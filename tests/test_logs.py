@@ -130,6 +130,19 @@ def hits(*paths):
     return result(json.dumps({"results": [{"filePath": p, "startLine": 1} for p in paths]}), "OBJECT<>")
 
 
+def test_turn_savings_by_chunks(spark):
+    """The saved tokens go to turns by the chunks they returned, over the session's, at most all; none for a turn that returned none."""
+    user = ("s", "user_message", {"ts": "2026-01-01T00:00:00Z"})
+    hit = lambda n: hits(*"abcdefghi"[:n])
+    ev = events(spark, [user, use(SEARCH), hit(3), user, use(SEARCH), hit(1), use(SEARCH), user, use(SEARCH), result("nothing"), user, use("Read"), hit(2)])
+    totals = spark.createDataFrame([("s", 4, 7, 1000)], "session string, searches bigint, chunks bigint, tokens_saved bigint")
+    saved = lambda t: [r.saved for r in L.turn_savings(L.turns(ev), t).orderBy("turn_no").collect()]
+    assert saved(totals) == [429, 143, None, None]
+    assert saved(totals.selectExpr("session", "searches", "2L AS chunks", "tokens_saved")) == [1000, 500, None, None]
+    assert saved(totals.selectExpr("session", "searches", "0L AS chunks", "tokens_saved")) == [None] * 4
+    assert saved(totals.selectExpr("session", "searches", "chunks", "0L AS tokens_saved")) == [None] * 4
+
+
 def test_provenance(spark):
     rows = [
         use("Read", path="src/a.ts"),  # before any search

@@ -180,6 +180,15 @@ def returned_chunks(output: Column, kind: Column) -> Column:
     )
 
 
+def output_size(output: Column, kind: Column) -> Column:
+    """Characters of an output: of a string, of all strings and ``text`` members of an array, of an object's JSON, else 0."""
+    parts = F.try_variant_get(F.try_parse_json(output), "$", "array<variant>")
+    said = F.transform(parts, lambda b: F.length(F.when(F.schema_of_variant(b) == "STRING", b.cast("string")).otherwise(_string(b, "$.text"))))
+    total = F.aggregate(said, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    size = F.when(kind.startswith("ARRAY"), total).when((kind == "STRING") | kind.startswith("OBJECT"), F.length(output))
+    return F.coalesce(size, F.lit(0))
+
+
 def search_calls(ev: DataFrame, options: Savings = Savings()) -> DataFrame:
     """session, event_index, chunks, saved of each search call: paired with the next tool event if that is a result."""
     tools = ev.where(F.col("kind").isin("tool_use", "tool_result"))
@@ -285,7 +294,7 @@ def turns(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFr
     last_tool = F.last(F.when(F.col("kind") == "tool_use", F.col("tool")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns({"of_tool": last_tool, "first_turn": F.min("turn").over(Window.partitionBy("session"))})
     result = F.col("kind") == "tool_result"
-    size = F.coalesce(F.length("output"), F.lit(0))
+    size = output_size(F.col("output"), F.col("output_kind"))
     use = F.col("kind") == "tool_use"
     out = rows.groupBy("session", "turn").agg(
         F.count("*").alias("events"),

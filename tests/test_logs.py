@@ -130,6 +130,17 @@ def hits(*paths):
     return result(json.dumps({"results": [{"filePath": p, "startLine": 1} for p in paths]}), "OBJECT<>")
 
 
+def test_sizes_of_outputs(spark):
+    """An array counts its strings and texts, an object its JSON, what is neither nothing."""
+    user = ("s", "user_message", {})
+    blocks = json.dumps(["ab\n", {"type": "text", "text": "cdé"}, {"type": "image", "source": "x" * 9000}, {"text": 5}, ["no"], None, 7])
+    cases = [(blocks, "ARRAY<VARIANT>"), ("[]", "ARRAY<VOID>"), ('{"text":"ab"}', "OBJECT<text: STRING>"), ('["ab"]', "STRING"), ("null", "VOID"), ("12", "BIGINT"), (None, None)]
+    rows = [x for output, kind in cases for x in (user, use("Read"), result(output, kind), use("Bash"), result(output, kind))]
+    got = L.turns(events(spark, rows)).orderBy("turn_no").collect()
+    assert [r.read_bytes for r in got] == [r.bash_bytes for r in got] == [6, 0, 13, 6, 0, 0, 0]
+    assert not any(r.missed for r in got)
+
+
 def test_turn_savings_by_chunks(spark):
     """The saved tokens go to turns by the chunks they returned, over the session's, at most all; none for a turn that returned none."""
     user = ("s", "user_message", {"ts": "2026-01-01T00:00:00Z"})

@@ -55,19 +55,42 @@ def _is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
 
-def events(lines: DataFrame) -> DataFrame:
+def _number(v: Column, path: str) -> Column:
+    """A member if it is a JSON number, else null."""
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, path, "bigint"))
+
+
+def _usage(v: Column, narrow: bool) -> tuple[Column, Column]:
+    """Tokens in and out: the line's own tokensIn and tokensOut, else of its usage, else of its message's usage (alone, in snake case, if ``narrow``)."""
+    told = [F.try_variant_get(v, f"$.message.usage.{k}_tokens", "bigint") for k in ("input", "output")]
+    if narrow:
+        return told[0], told[1]
+    direct = [_number(v, f"$.tokens{k}") for k in ("In", "Out")]
+    top = [F.coalesce(_number(v, f"$.usage.{k}_tokens"), _number(v, f"$.usage.{k}Tokens")) for k in ("input", "output")]
+    inner = [F.coalesce(t, _number(v, f"$.message.usage.{k}Tokens")) for t, k in zip(told, ("input", "output"))]
+    whole = F.try_variant_get(v, "$.usage", "variant")
+    has_direct = direct[0].isNotNull() | direct[1].isNotNull()
+    pick = lambda i: F.when(has_direct, direct[i]).when(_is_object(whole) | _is_array(whole), top[i]).otherwise(inner[i])
+    return pick(0), pick(1)
+
+
+def events(lines: DataFrame, narrow_usage: bool = False) -> DataFrame:
     """Events of raw lines (file, line_no, value): session, event_index, line_no, kind, ts, text, tool, is_error, input, output, usage, model.
 
     A user or assistant line with a message gives one message event (its text
     blocks joined, calls as placeholders) and one event for each call and
     result; other typed lines are system events; what can't be read is kept as
-    unknown.  input and output are JSON texts (strings as they are).
+    unknown.  input and output are JSON texts (strings as they are).  Usage and
+    model are read in all their spellings; ``narrow_usage`` reads usage as the
+    replay does, from message.usage.input_tokens and output_tokens alone.
     """
     v = F.col("v")
     read = lines.select("file", "line_no", F.try_parse_json("value").alias("v"))
     kind = _string(v, "$.type")
     message = F.try_variant_get(v, "$.message", "variant")
     content = F.try_variant_get(v, "$.message.content", "variant")
+    tokens_in, tokens_out = _usage(v, narrow_usage)
     parsed = read.select(
         "file",
         "line_no",
@@ -78,9 +101,9 @@ def events(lines: DataFrame) -> DataFrame:
         F.when(_is_object(v), _string(v, "$.sessionId")).alias("session_id"),
         F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(v, "$.message.content", "string")).alias("plain"),
         F.when(_is_array(content), F.try_variant_get(v, "$.message.content", "array<variant>")).alias("blocks"),
-        F.try_variant_get(v, "$.message.usage.input_tokens", "bigint").alias("tokens_in"),
-        F.try_variant_get(v, "$.message.usage.output_tokens", "bigint").alias("tokens_out"),
-        F.nullif(_string(v, "$.message.model"), F.lit("")).alias("model"),
+        tokens_in.alias("tokens_in"),
+        tokens_out.alias("tokens_out"),
+        F.coalesce(*(F.nullif(_string(v, p), F.lit("")) for p in ("$.model", "$.message.model"))).alias("model"),
     )
     block = lambda b: F.struct(
         _string(b, "$.type").alias("type"),

@@ -33,8 +33,8 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "raw_lines").select("line_id", "file", "line_no", "value").distinct()
 
 
-def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.events(raw(spark, sf_dir))
+def log_events(spark: SparkSession, sf_dir: str, narrow_usage: bool = False) -> DataFrame:
+    return L.events(raw(spark, sf_dir), narrow_usage)
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +154,7 @@ _SNIP = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 @query(f"WITH {EVENTS}, {REPLAY} SELECT session, event_index, kind, replaceable, replaced, actual, counterfactual, CASE WHEN length({_SNIP}) > 80 THEN substring({_SNIP}, 1, 79) || '…' ELSE {_SNIP} END AS snippet FROM rp")
 def replay(spark, sf_dir):
-    return L.replay(log_events(spark, sf_dir))
+    return L.replay(log_events(spark, sf_dir, narrow_usage=True))
 
 
 @query(
@@ -162,7 +162,7 @@ def replay(spark, sf_dir):
 SELECT *, actual - counterfactual AS saved, round(CASE WHEN actual > 0 THEN (actual - counterfactual)::DOUBLE / actual ELSE 0 END, 6) AS percent FROM t"""
 )
 def replay_totals(spark, sf_dir):
-    return L.replay_totals(L.replay(log_events(spark, sf_dir)))
+    return L.replay_totals(L.replay(log_events(spark, sf_dir, narrow_usage=True)))
 
 
 @query(

@@ -53,6 +53,25 @@ def test_normaliser(spark):
     ]
 
 
+def test_spellings_of_usage_and_model(spark):
+    said = lambda inner=None, **k: json.dumps({"type": "assistant", "message": {"content": "x", "usage": inner, "model": "inner"}} | k)
+    snake, camel = {"input_tokens": 1, "output_tokens": 2}, {"inputTokens": 3, "outputTokens": 4}
+    cases = [
+        (said(snake, tokensIn=7), (7, None, "inner"), (1, 2)),
+        (said(snake, tokensIn="7", model="top"), (1, 2, "top"), (1, 2)),
+        (said(snake, usage=camel, model=""), (3, 4, "inner"), (1, 2)),
+        (said(snake, usage={}), (None, None, "inner"), (1, 2)),
+        (said(snake, usage=None, model=5), (1, 2, "inner"), (1, 2)),
+        (said(camel), (3, 4, "inner"), (None, None)),
+        (said(snake | camel), (1, 2, "inner"), (1, 2)),
+        (said(), (None, None, "inner"), (None, None)),
+    ]
+    df = spark.createDataFrame([("f", i, x) for i, (x, _, _) in enumerate(cases)], "file string, line_no int, value string")
+    wide, narrow = (L.events(df, n).orderBy("event_index").collect() for n in (False, True))
+    assert [(r.tokens_in, r.tokens_out, r.model) for r in wide] == [w for _, w, _ in cases]
+    assert [(r.tokens_in, r.tokens_out) for r in narrow] == [n for _, _, n in cases]
+
+
 SEARCH = "search_chunks"
 
 

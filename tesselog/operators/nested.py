@@ -12,12 +12,14 @@ damaged line give a line row with ``is_object`` false and no other rows; lines
 with a null ``line_id`` are left out, as nothing could refer to them; a null
 file or line number is kept, and calls are linked within null files as within
 any other; rows of one ``line_id`` count once, the one received last; of equal
-keys in one object the last counts; other columns are ignored.
+keys in one object the last counts; lines may be nested at any depth; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,11 +82,58 @@ class _Seed:
         self.line, self.state, self.is_message, self.path, self.offset, self.block, self.message = line, state, is_message, path, offset, block, message
 
 
+_TOKEN = re.compile(
+    r"""[ \t\n\r]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?:-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity))"""
+)
+
+
+def _valid_deep(text: bytes) -> bool:
+    """What json.loads accepts, at any depth: the open containers are a list, not calls."""
+    try:
+        said = text.decode(json.detect_encoding(text), "surrogatepass")
+    except ValueError:
+        return False
+    said = said.rstrip(" \t\n\r")
+    opened: list[str] = []
+    at, want, fresh = 0, "value", False  # want: value, key, colon or end; fresh: the container has just been opened
+    while at < len(said):
+        token = _TOKEN.match(said, at)
+        if token is None:
+            return False
+        at, mark = token.end(), token[1]
+        if mark in ("}", "]"):
+            if not opened or opened.pop() != mark or not (want == "end" or fresh):
+                return False
+            want, fresh = "end", False
+        elif mark in ("{", "["):
+            if want != "value":
+                return False
+            opened.append("}" if mark == "{" else "]")
+            want, fresh = "key" if mark == "{" else "value", True
+        elif mark == ",":
+            if want != "end" or not opened:
+                return False
+            want = "key" if opened[-1] == "}" else "value"
+        elif mark == ":":
+            if want != "colon":
+                return False
+            want = "value"
+        elif want == "key" and token[2] is not None:
+            want, fresh = "colon", False
+        elif want == "value":
+            want, fresh = "end", False
+        else:
+            return False
+    return want == "end" and not opened
+
+
 def _valid(text: bytes) -> bool:
     try:
         json.loads(text)
         return True
-    except (ValueError, RecursionError):
+    except RecursionError:  # nested deeper than the parser goes
+        return _valid_deep(text)
+    except ValueError:
         return False
 
 
@@ -151,20 +200,26 @@ def _round(texts: list[bytes], seeds: list[_Seed], messages: list, blocks: list,
         """(path, offsets, enclosing block, enclosing message) of node i, itself not counted as enclosing."""
         got = memo.get(i)
         if got is None:
-            up = int(nodes.parent[i])
+            chain, up = [i], int(nodes.parent[i])
+            while up >= 0 and up not in memo:
+                chain.append(up)
+                up = int(nodes.parent[up])
+            seed = seeds[nodes.text[i]]
             if up < 0:
-                s = seeds[nodes.text[i]]
-                got = (s.path, s.offset, s.block, s.message)
+                up = chain.pop()
+                path, block, message = seed.path, seed.block, seed.message
             else:
-                path, offset, block, message = where(up)
+                path, _, block, message = memo[up]
+            for node in reversed(chain):
                 if is_block[up]:
                     block = path
                 if is_message[up]:
                     message = path
-                step = str(nodes.index[i]) if nodes.key0[i] < 0 else _text_of(b'"' + nodes.data[nodes.key0[i] : nodes.key1[i]].tobytes() + b'"')
-                at = (int(nodes.start[i] - offsets[nodes.text[i]]),)
-                got = (f"{path}.{step}" if path else str(step), offset[: len(offset)] + at if up < 0 else seeds[nodes.text[i]].offset + at, block, message)
-            memo[i] = got
+                step = str(nodes.index[node]) if nodes.key0[node] < 0 else _text_of(b'"' + nodes.data[nodes.key0[node] : nodes.key1[node]].tobytes() + b'"')
+                path, up = f"{path}.{step}" if path else str(step), node
+                if nodes.depth[node] % 64 == 0:  # deep paths are long: only some are kept on the way
+                    memo[node] = (path, seed.offset + (int(nodes.start[node] - offsets[nodes.text[node]]),), block, message)
+            got = memo[i] = (path, seed.offset + ((int(nodes.start[i] - offsets[nodes.text[i]]),) if nodes.parent[i] >= 0 else ()), block, message)
         return got
 
     def child(mask: np.ndarray) -> dict[int, int]:

@@ -140,3 +140,29 @@ def test_lines_table_and_empty_table(spark):
 def test_very_long_line(spark):
     text = json.dumps({"message": {"content": [{"type": "text", "text": "x" * 3_000_000}, *[{"type": "text"}] * 2000]}})
     assert nested.found_blocks(rows(spark, (1, "a", 1, text))).count() == 2001
+
+
+@pytest.mark.parametrize("text", ['{"a":[1,-2.5e3,true,null,NaN,"x\\u00e9\\n"],"b":{},"c":[]}', " [ ] ", '{"a":1,}', "[1,]", "[,1]", '{"a"}', '{"a" 1}', '{1:2}', '["\\x"]', '["\t"]', "[01]", "[1 2]", "[1}", "[-]", "[1.]", "", "5", '"a', "{} {}", '{"a":}', "[tru]", '{"a":1 "b":2}', "[:]", '[{"a":[{}]}]'])
+def test_deep_validity_equals_the_parser(text):
+    raw = text.encode()
+    assert nested._valid_deep(raw) == nested._valid(raw)
+
+
+@pytest.mark.parametrize("levels", [1_200, 60_000])
+def test_lines_nested_deeper_than_the_parser(levels):
+    deep = "[" * levels + "]" * levels
+    good = f'{{"z":{deep},"message":{{"content":[{{"type":"text","text":"a"}}]}}}}'
+    under = f'{{"z":{"[" * levels}{{"message":{{"content":{{"type":"text"}}}}}}{"]" * levels}}}'
+    bad = good.replace("[]", "[,]", 1)
+    messages, blocks, objects = nested._flatten([good.encode(), bad.encode(), under.encode()])
+    assert objects == {0, 2}
+    assert [(b[0], b[2]) for b in blocks] == [(0, "message.content.0"), (2, "z" + ".0" * levels + ".message.content")]
+    assert [m[2] for m in messages] == ["message", "z" + ".0" * levels + ".message"]
+
+
+def test_blocks_nested_deeper_than_calls_go():
+    levels = 1_500
+    line = '{"message":{"content":' + '{"type":"tool_result","content":' * levels + '""' + "}" * levels + "}}"
+    blocks = sorted(nested._flatten([line.encode()])[1], key=lambda b: len(b[2]))
+    path = ["message" + ".content" * (i + 1) for i in range(levels)]
+    assert [(b[2], b[3]) for b in blocks] == list(zip(path, ["", *path]))

@@ -134,7 +134,7 @@ SELECT text, t <> '' AND (len(string_split(t, ' ')) = 1 OR (len(string_split(t,
 )
 def symbol_like(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks")
-    texts = chunks.where("symbol_name is not null").select(F.col("symbol_name").alias("text")).union(chunks.where("length(content) < 60").select("content")).distinct()
+    texts = chunks.where("symbol_name is not null").select(F.col("symbol_name").alias("text")).union(chunks.where("content is not null").select("content")).distinct()
     return texts.select("text", T.symbol_like(F.col("text")).alias("symbol_like"))
 
 

@@ -133,3 +133,12 @@ def test_diff_reuse_store(spark, tmp_path):
     assert store.load("repo", "sha:1")["files"].count() == 3 and store.load("repo", "sha:2") is None
     store.evict("repo")
     assert store.load("repo", "sha:1") is None
+
+
+def test_symbol_like_takes_contents_of_any_length(spark, tmp_path):
+    from tesselog.plans import retrieval_queries as Q
+
+    rows = [("aName", "x" * 100), (None, "long " * 40), (None, "short_one"), ("aName", None)]
+    spark.createDataFrame(rows, "symbol_name string, content string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {r.text: r.symbol_like for r in Q.symbol_like(spark, str(tmp_path)).collect()}
+    assert got == {"aName": True, "x" * 100: True, "long " * 40: False, "short_one": True}

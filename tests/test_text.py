@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,12 @@ def test_vectors(spark):
     v = one(spark, "hello", lambda c: V.hashed_vector(c, 20))
     assert len(v) == 20 and sum(x * x for x in v) == pytest.approx(1)
     assert v == one(spark, "hello", lambda c: V.hashed_vector(c, 20)) != one(spark, "other", lambda c: V.hashed_vector(c, 20))
+
+
+def test_hashed_vector_equals_hashlib_in_all_blocks(spark):
+    """The default 64 numbers are eight counter blocks of SHA-256; 20 end within one."""
+    for dim in (64, 20):
+        raw = b"".join(hashlib.sha256(f"mock:hello:{i}".encode()).digest() for i in range(8))
+        want = [int.from_bytes(raw[i * 4 : i * 4 + 4], "big", signed=True) / 2**31 for i in range(dim)]
+        n = sum(x * x for x in want) ** 0.5
+        assert one(spark, "hello", lambda c: V.hashed_vector(c, dim)) == pytest.approx([x / n for x in want], abs=1e-12)  # noqa: B023

@@ -1,10 +1,18 @@
 """Records whose fields drift from file to file: one consistent table and a report of the changes.
 
-Every file's fields are read in parallel and pre-aggregated in the map tasks to
-(producer, file, path, kind) before anything is shuffled, so a producer or file
-that holds a third of the rows arrives as a few rows.  Kinds and value shapes
-are folded through a small promotion lattice; the union schema is the fold over
-all files; differences are logged file by file in order.
+Every file's fields are read in parallel; what is shuffled are narrow rows
+(producer, file, path, kind, a hash of the value), pre-aggregated per task, so a
+producer or file that holds a third of the rows arrives as a few rows.  Kinds
+and value shapes are folded through a small promotion lattice; the union schema
+is the fold over all files; differences are logged file by file in order.
+
+Whether a path that is gone and one that has come hold the same quantity is
+told by values.  Records reported again (those of one ``link``, the request)
+stand in both files: where such records hold equal values under both paths,
+whatever their spelling, the field was renamed; where they hold different ones,
+it wasn't.  How much an agreement tells follows from how many values a path has
+at all.  Only where no such record holds both paths, overlap and size of all
+values of the two files decide together with the names; names break ties else.
 
 Defined cases: payloads that are null, cut off or no JSON object are not
 readable and carry no fields; a file without a readable payload is passed over
@@ -12,21 +20,27 @@ readable and carry no fields; a file without a readable payload is passed over
 file_seq stay out of the report but not out of the table; rows of one record_id
 count once, the one received last; rows with a null record_id are left out of
 the table; a path whose values have several kinds in one file counts as the
-join of them; empty names and dots inside keys are taken as they are.
+join of them; empty names and dots inside keys are taken as they are; of
+several records of one file and link the one with the largest fields is
+compared.  Past MAX_COLUMNS columns, by name, fields stay texts in
+``other_fields``; so do further values of a quantity within one record.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
+import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselog.session import materialise
+from tesselog.session import materialise, ship
 
 #: Words of a path that say where or in what unit a quantity is kept, not which one it is.
 PLACE_WORDS = frozenset("id name usd ms count is at token service message usage timing status trace label".split())
@@ -137,120 +151,299 @@ def _payload(text: str | None) -> dict | None:
 
 
 # -- fields of the files -----------------------------------------------------------------------
-_FIELDS = "producer string, file_seq bigint, path string, kind string, shape string, quantity string"
-
-
-def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _FIELDS.split(", ")]
-    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-    for batch in batches:
-        seen: set[tuple] = set()
-        for producer, seq, text in zip(*(batch.column(k).to_pylist() for k in ("producer", "file_seq", "payload"))):
-            got = _payload(text)
-            if got is None:
-                continue
-            seen.add((producer, seq, None, None, None, None))  # the file has a readable payload
-            for path, value in leaves(got):
-                seen.add((producer, seq, path, _kind(value), shape(value), quantity(path)))
-        rows = list(zip(*seen)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
+def plain(value) -> str:
+    """A leaf without its spelling: numbers, truth values and times in digits or text, lists and their comma forms are told by what they say."""
+    if isinstance(value, bool):
+        return "1" if value else "0"
+    if isinstance(value, list):
+        return ",".join(plain(x) if not isinstance(x, (dict, list)) and x is not None else json.dumps(x) for x in value)
+    if isinstance(value, (int, float)):
+        return repr(float(value)) if abs(value) < 2**53 and value != int(value) else str(int(value))
+    text = value.strip()
+    kind = shape(value)
+    if kind == "bool":
+        return "1" if text.lower() == "true" else "0"
+    if kind in ("bit", "int"):
+        return str(int(text))
+    if kind == "float":
+        return plain(float(text)) if math.isfinite(float(text)) else text
+    if kind == "time":
+        try:
+            at = datetime.datetime.fromisoformat(re.sub(r"([+-]\d\d)(\d\d)$", r"\1:\2", text.replace(" Z", "Z")))
+            return str(round((at if at.tzinfo else at.replace(tzinfo=datetime.timezone.utc)).timestamp() * 1000))
+        except ValueError:
+            return text
+    return ",".join(x.strip() for x in text.split(",")) if "," in text else text
+
+
+def _size(value) -> float:
+    """How large a leaf is: the order of a number, of the length of a text or list."""
+    if isinstance(value, (int, float)) and math.isfinite(value):
+        return math.log10(1 + abs(value))
+    return math.log10(1 + len(str(value)))
+
+
+_LEAF = "struct<path:string,kind:string,shape:string,value:bigint,size:double>"
+_RECORDS = f"producer string, file_seq bigint, link string, leaves array<{_LEAF}>"
+_LEAF_ARROW = pa.struct([("path", pa.string()), ("kind", pa.string()), ("shape", pa.string()), ("value", pa.int64()), ("size", pa.float64())])
+
+
+def _records(link: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            producers, seqs, links, ends = [], [], [], [0]
+            columns: tuple[list, ...] = ([], [], [], [], [])
+            for producer, seq, text in zip(*(batch.column(k).to_pylist() for k in ("producer", "file_seq", "payload"))):
+                got = _payload(text)
+                if got is None:
+                    continue
+                name = None
+                for path, value in leaves(got):
+                    said = plain(value)
+                    name = said if path == link else name
+                    for column, x in zip(columns, (path, _kind(value), shape(value), zlib.crc32(said.encode("utf-8", "surrogatepass")), _size(value))):
+                        column.append(x)
+                producers.append(producer)
+                seqs.append(seq)
+                links.append(name)
+                ends.append(len(columns[0]))
+            inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LEAF_ARROW)], fields=list(_LEAF_ARROW))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(producers, pa.string()), pa.array(seqs, pa.int64()), pa.array(links, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)],
+                names=["producer", "file_seq", "link", "leaves"],
+            )
+
+    return run
+
+
+LINK = "request_id"
+
+
+def records(usage: DataFrame, link: str = LINK) -> DataFrame:
+    """producer, file_seq, link, leaves: a row for each readable payload; leaves have path, kind, shape, a hash of the value and its size."""
+    ship(usage.sparkSession)
+    return usage.select("producer", F.col("file_seq").cast("bigint").alias("file_seq"), "payload").mapInArrow(_records(link), _RECORDS)
+
+
+#: A path's values in a file are sketched by the smallest hash of each of so many classes.
+SKETCH = 16
+
+
+def file_schemas(read: DataFrame) -> DataFrame:
+    """producer, file_seq, fields array<struct<path, kind, sketch, size, bits>>: a row for each readable file; bits is the information of one value of the path."""
+    each = read.select("producer", "file_seq", F.explode_outer("leaves").alias("l")).select("producer", "file_seq", "l.*")
+    least = [F.min(F.when(F.pmod("value", F.lit(SKETCH)) == i, F.col("value"))) for i in range(SKETCH)]
+    kind = F.when(F.min("kind") != F.max("kind"), "string").otherwise(F.max("kind")).alias("kind")
+    text = F.max(F.when(F.col("shape") == "text", True).otherwise(False)).alias("text")
+    per_path = each.groupBy("producer", "file_seq", "path").agg(kind, text, F.array(*least).alias("sketch"), F.avg("size").alias("size"))
+    known = each.where("path is not null").groupBy("path").agg(F.log2(F.approx_count_distinct("value") + 0.0).alias("bits"))
+    fields = F.struct("path", "kind", "text", F.filter("sketch", lambda x: x.isNotNull()).alias("sketch"), "size", "bits")
+    return per_path.join(known, "path", "left").groupBy("producer", "file_seq").agg(F.sort_array(F.collect_list(F.when(F.col("path").isNotNull(), fields))).alias("fields"))
+
+
+# -- what was renamed ------------------------------------------------------------------------
+def _words(path: str) -> list[str]:
+    return [_single(w.lower()) for w in _WORD.findall(path)]
+
+
+def names_alike(a: str, b: str) -> float:
+    """From 0 to 1: the share of words of two paths that are equal or begin one another.
+
+    >>> names_alike("input_tokens", "tokensIn"), names_alike("user_id", "user_name"), names_alike("ts", "createdAt")
+    (1.0, 0.5, 0.0)
+    """
+    one, two = _words(a), _words(b)
+    total, met = len(one) + len(two), 0
+    for w in one:
+        hit = next((x for x in two if x == w), None) or next((x for x in two if min(len(x), len(w)) > 1 and (x.startswith(w) or w.startswith(x))), None)
+        if hit is not None:
+            met += 1
+            two.remove(hit)
+    return 2 * met / total if total else 0.0
+
+
+#: Bits of agreement that make a rename sure whatever the names (a chance of 1 in 1 000).
+SURE = 10.0
+
+
+def match_fields(gone: list[dict], come: list[dict], votes: dict[tuple[str, str], tuple[int, int]], same_name: Callable[[str, str], bool]) -> list[tuple[dict, dict]]:
+    """The pairs of fields of one file pair that were renamed, each field once; votes are (records with both, those that agree)."""
+    found = []
+    for a in gone:
+        for b in come:
+            both, agree = votes.get((a["path"], b["path"]), (0, 0))
+            alike = names_alike(a["path"], b["path"])
+            bits = min(a["bits"] or 0.0, b["bits"] or 0.0)
+            named = alike > 0.6 or same_name(a["path"], b["path"])
+            if both:
+                # more than half agree, and the agreement is no accident or the names speak for it
+                ok, told = 2 * agree > both and (agree * bits >= SURE or alike >= 0.5 or named), agree * max(bits, 0.5)
+            else:
+                overlap = len(set(a["sketch"]) & set(b["sketch"]))
+                near = abs((a["size"] or 0.0) - (b["size"] or 0.0)) < 0.7
+                texts = a["text"] or b["text"]
+                ok = overlap > 0 and (named or overlap * bits >= 2 * SURE) or not overlap and near and (alike > 0.6 if texts else named) and a["text"] == b["text"]
+                told = overlap * max(bits, 0.5) * 0.1
+            if ok:
+                found.append((-told - 4 * alike, a["path"], b["path"], a, b))
+    out, left, right = [], set(), set()
+    for _, x, y, a, b in sorted(found, key=lambda f: f[:3]):
+        if x not in left and y not in right:
+            left.add(x)
+            right.add(y)
+            out.append((a, b))
+    return out
 
 
-def fields(usage: DataFrame) -> DataFrame:
-    """producer, file_seq, path, kind, shape, quantity: distinct per map task and batch, path null for a readable file."""
-    return usage.select("producer", F.col("file_seq").cast("bigint").alias("file_seq"), "payload").mapInArrow(_fields, _FIELDS)
+def _report(synonyms: bool):
+    def same(a: str, b: str) -> bool:
+        return synonyms and quantity(a) == quantity(b)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                key, gone, come = (r["producer"], r["file_seq"]), r["gone"] or [], r["come"] or []
+                pairs = match_fields(gone, come, {(v["a"], v["b"]): (v["both"], v["agree"]) for v in r["votes"] or []}, same)
+                done = {a["path"] for a, _ in pairs}, {b["path"] for _, b in pairs}
+                rows += [(*key, "removed", a["path"], "") for a in gone if a["path"] not in done[0]]
+                rows += [(*key, "added", "", b["path"]) for b in come if b["path"] not in done[1]]
+                for a, b in pairs:
+                    rows.append((*key, "renamed", a["path"], b["path"]))
+                    if a["kind"] != b["kind"]:
+                        rows.append((*key, "retyped", a["path"], b["path"]))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["producer", "file_seq", "change", "old_field", "new_field"])
 
-def file_schemas(found: DataFrame) -> DataFrame:
-    """producer, file_seq, fields array<struct<path, kind, quantity>>: a row for each readable file."""
-    kind = F.when(F.size(F.collect_set("kind")) > 1, "string").otherwise(F.max("kind")).alias("kind")
-    per_path = found.groupBy("producer", "file_seq", "path").agg(kind, F.max("quantity").alias("quantity"))
-    return per_path.groupBy("producer", "file_seq").agg(
-        F.sort_array(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "kind", "quantity")))).alias("fields")
-    )
+    return run
 
 
-def changes(usage: DataFrame) -> DataFrame:
+def changes(usage: DataFrame, link: str = LINK, synonyms: bool = True) -> DataFrame:
     """producer, file_seq, change, old_field, new_field: the differences of each file from the one before it.
 
-    Within a quantity, paths that only one of the two files has are paired in
-    the order of their names; what is left over was added or removed.
+    ``link`` is the path whose value names a record that may be reported again.
+    ``synonyms`` lets the word list of ``quantity`` speak for a rename where
+    names alone differ; it never outweighs values that differ.
     """
-    found = usage.where("producer is not null and file_seq is not null")
-    schemas = materialise(file_schemas(fields(found)), "schemas")
+    read = materialise(records(usage.where("producer is not null and file_seq is not null"), link), "records")
+    schemas = materialise(file_schemas(read), "schemas")
     # the order of files is found on narrow rows; the schemas follow by equi joins on the file
     order = Window.partitionBy("producer").orderBy("file_seq")
     steps = schemas.select("producer", "file_seq", F.lag("file_seq").over(order).alias("before")).where("before is not null")
     now = schemas.withColumnRenamed("fields", "new")
     old = schemas.select("producer", F.col("file_seq").alias("before"), F.col("fields").alias("old"))
-    both = steps.join(now, ["producer", "file_seq"]).join(old, ["producer", "before"])
     names = lambda c: F.transform(c, lambda x: x["path"])
-    both = both.withColumns(
-        {
-            "kept": F.array_intersect(names(F.col("old")), names(F.col("new"))),
-            "quantities": F.array_distinct(F.transform(F.concat("old", "new"), lambda x: x["quantity"])),
-        }
-    ).withColumns(
-        {
-            "gone": F.filter("old", lambda x: ~F.array_contains("kept", x["path"])),
-            "come": F.filter("new", lambda x: ~F.array_contains("kept", x["path"])),
-        }
-    )
-    per = both.select("producer", "file_seq", "old", "new", "gone", "come", F.explode("quantities").alias("q")).select(
-        "producer",
-        "file_seq",
-        *(F.filter(c, lambda x: x["quantity"] == F.col("q")).alias(c) for c in ("old", "new", "gone", "come")),
-    )
-    pairs = F.arrays_zip(F.col("gone").alias("a"), F.col("come").alias("b"))
-    kept = F.flatten(
-        F.transform("old", lambda a: F.transform(F.filter("new", lambda b: b["path"] == a["path"]), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    )
-    every = per.select("producer", "file_seq", F.explode(F.concat(pairs, kept)).alias("p"))
-    a, b = F.col("p.a"), F.col("p.b")
-    name = F.when(a.isNull(), "added").when(b.isNull(), "removed").when(a["path"] != b["path"], "renamed")
-    kinds = F.when(a["kind"] != b["kind"], "retyped")
-    return every.select(
-        "producer",
-        "file_seq",
-        F.explode(F.filter(F.array(name, kinds), lambda x: x.isNotNull())).alias("change"),
-        F.coalesce(a["path"], F.lit("")).alias("old_field"),
-        F.coalesce(b["path"], F.lit("")).alias("new_field"),
+    both = steps.join(now, ["producer", "file_seq"]).join(old, ["producer", "before"])
+    both = both.withColumn("kept", F.array_intersect(names(F.col("old")), names(F.col("new"))))
+    both = materialise(
+        both.select(
+            "producer",
+            "file_seq",
+            "before",
+            F.filter("old", lambda x: ~F.array_contains("kept", x["path"])).alias("gone"),
+            F.filter("new", lambda x: ~F.array_contains("kept", x["path"])).alias("come"),
+            F.filter("old", lambda x: F.array_contains("kept", x["path"])).alias("was"),
+            F.filter("new", lambda x: F.array_contains("kept", x["path"])).alias("now"),
+        ),
+        "steps",
     )
+    open_ = both.where((F.size("gone") > 0) & (F.size("come") > 0))
+
+    def side(seq: str, fields: str) -> DataFrame:
+        """producer, now, link, the leaves of one record of each link under the fields in question."""
+        want = open_.select("producer", F.col(seq).alias("file_seq"), F.col("file_seq").alias("now_seq"), names(F.col(fields)).alias("want"))
+        kept = F.transform(F.filter("leaves", lambda x: F.array_contains("want", x["path"])), lambda x: F.struct(x["path"].alias("path"), x["value"].alias("value")))
+        rows = read.where("link is not null").join(want, ["producer", "file_seq"]).select("producer", "now_seq", "link", kept.alias("l")).where(F.size("l") > 0)
+        return rows.groupBy("producer", "now_seq", "link").agg(F.max("l").alias(fields))
+
+    met = side("before", "gone").join(side("file_seq", "come"), ["producer", "now_seq", "link"])
+    pairs = F.flatten(F.transform("gone", lambda a: F.transform("come", lambda b: F.struct(a["path"].alias("a"), b["path"].alias("b"), (a["value"] == b["value"]).alias("same")))))
+    votes = met.select("producer", F.col("now_seq").alias("file_seq"), F.explode(pairs).alias("p")).groupBy("producer", "file_seq", "p.a", "p.b").agg(F.count("*").alias("both"), F.count_if("p.same").alias("agree"))
+    votes = votes.groupBy("producer", "file_seq").agg(F.collect_list(F.struct("a", "b", "both", "agree")).alias("votes"))
+    schema = "producer string, file_seq bigint, change string, old_field string, new_field string"
+    differ = both.where((F.size("gone") > 0) | (F.size("come") > 0)).select("producer", "file_seq", "gone", "come").join(votes, ["producer", "file_seq"], "left")
+    moved = differ.mapInArrow(_report(synonyms), schema)
+    # both lists of kept fields are in order of their paths
+    stayed = both.select("producer", "file_seq", F.explode(F.arrays_zip(F.col("was").alias("a"), F.col("now").alias("b"))).alias("p")).where("p.a.kind <> p.b.kind")
+    return moved.unionByName(stayed.select("producer", "file_seq", F.lit("retyped").alias("change"), F.col("p.a.path").alias("old_field"), F.col("p.b.path").alias("new_field")))
 
 
 # -- one consistent table -----------------------------------------------------------------------
-#: More quantities than this stay together in one map column instead of columns of their own.
+#: More columns than this stay together in one map column instead of columns of their own.
 MAX_COLUMNS = 1000
 
-
-def union_schema(found: DataFrame) -> dict[str, str]:
-    """quantity -> SQL type: the fold of all files' shapes; at most MAX_COLUMNS + 1 rows reach the driver."""
-    per = found.where("quantity is not null").groupBy("quantity").agg(F.sort_array(F.collect_set("shape")).alias("shapes"))
-    rows = per.orderBy("quantity").limit(MAX_COLUMNS + 1).collect()
-    out = {}
-    for quantity_, shapes in rows[:MAX_COLUMNS]:
-        got = shapes[0]
-        for s in shapes[1:]:
-            got = join_shapes(got, s)
-        out[quantity_] = _SQL[got]
-    return out
+_FIELDS = "path string, shape string, quantity string, apart boolean"
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out, readable = [], []
+        seen: set[tuple] = set()
         for text in batch.column("payload").to_pylist():
-            got = _payload(text)
-            values: dict[str, str] = {}
-            for path, value in leaves(got or {}):
-                values.setdefault(quantity(path), value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
-            readable.append(got is not None)
-            out.append(list(values.items()))
-        keep = [batch.column(k) for k in ("record_id", "producer", "file_seq", "line_no")]
-        yield pa.RecordBatch.from_arrays(
-            [*keep, pa.array(readable), pa.array(out, pa.map_(pa.string(), pa.string()))],
-            names=["record_id", "producer", "file_seq", "line_no", "readable", "fields"],
-        )
+            found: dict[str, dict[str, str]] = {}
+            for path, value in leaves(_payload(text) or {}):
+                found.setdefault(quantity(path), {})[path] = plain(value)
+                seen.add((path, shape(value), quantity(path), False))
+            for name, values in found.items():  # two values of one quantity in one record: it is no one quantity
+                if len(set(values.values())) > 1:
+                    seen |= {(path, None, name, True) for path in values}
+        rows = list(zip(*seen)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.string(), pa.string(), pa.bool_()))], names=[x.split()[0] for x in _FIELDS.split(", ")])
+
+
+def fields(usage: DataFrame) -> DataFrame:
+    """path, shape, quantity, apart: distinct per task and batch; apart where a record holds another value under another path of the quantity."""
+    ship(usage.sparkSession)
+    return usage.select("payload").mapInArrow(_fields, _FIELDS)
+
+
+def column_names(found: DataFrame) -> DataFrame:
+    """path, column, shapes: paths of one quantity share a column unless some record holds different values under two of them; then each path has its own."""
+    per = found.groupBy("quantity", "path").agg(F.collect_set("shape").alias("shapes"))
+    apart = found.where("apart").select("quantity").distinct().withColumn("apart", F.lit(True))
+    own = F.regexp_replace("path", r"[^\p{L}\p{N}_]+", "_")
+    return per.join(apart, "quantity", "left").select("path", F.when(F.col("apart"), own).otherwise(F.col("quantity")).alias("column"), "shapes")
+
+
+def union_schema(found: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+    """(path -> column, column -> SQL type): the fold of all files' shapes; of at most MAX_COLUMNS columns, by name, with at most as many paths each on average."""
+    named = materialise(column_names(found), "columns")
+    first = named.select("column").distinct().orderBy("column").limit(MAX_COLUMNS)
+    rows = named.join(first, "column").orderBy("column", "path").limit(MAX_COLUMNS * 10).collect()
+    of, kinds = {}, {}
+    for r in rows:
+        of[r["path"]] = r["column"]
+        for s in r["shapes"]:
+            kinds[r["column"]] = join_shapes(kinds.get(r["column"], s), s)
+    return of, {c: _SQL[k] for c, k in kinds.items()}
+
+
+def _texts(of: dict[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, rest, readable = [], [], []
+            for text in batch.column("payload").to_pylist():
+                got = _payload(text)
+                values: dict[str, str] = {}
+                other: dict[str, str] = {}
+                for path, value in leaves(got or {}):
+                    said = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+                    name = of.get(path)
+                    if name is None or name in values:
+                        if name is None or values[name] != said:
+                            other[path] = said
+                    else:
+                        values[name] = said
+                readable.append(got is not None)
+                out.append(list(values.items()))
+                rest.append(list(other.items()))
+            keep = [batch.column(k) for k in ("record_id", "producer", "file_seq", "line_no")]
+            kind = pa.map_(pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*keep, pa.array(readable), pa.array(out, kind), pa.array(rest, kind)], names=["record_id", "producer", "file_seq", "line_no", "readable", "fields", "other"]
+            )
+
+    return run
 
 
 def _cast(value, kind: str):
@@ -270,18 +463,22 @@ def latest_records(usage: DataFrame) -> DataFrame:
     return usage.where("record_id is not null").groupBy("record_id").agg(best).select("record_id", "b.producer", "b.file_seq", "b.line_no", "b.payload")
 
 
-def consistent(usage: DataFrame, request: str = "request") -> DataFrame:
-    """All readable records under the union schema, a column for each quantity; requests reported again count once.
+def consistent(usage: DataFrame, link: str = LINK) -> DataFrame:
+    """All readable records under the union schema; requests reported again count once.
 
-    Of several records of one request and producer the one of the earliest file counts.
+    Of several records of one ``link`` and producer the one of the earliest
+    file counts.  A value that its column can't take (a second one of its
+    quantity, or of a path beyond MAX_COLUMNS) stays in other_fields by path.
     """
-    schema = union_schema(fields(usage))
-    rows = latest_records(usage).mapInArrow(_texts, "record_id bigint, producer string, file_seq int, line_no int, readable boolean, fields map<string,string>")
+    of, schema = union_schema(fields(usage))
+    rows = latest_records(usage).mapInArrow(_texts(of), "record_id bigint, producer string, file_seq int, line_no int, readable boolean, fields map<string,string>, other map<string,string>")
     rows = rows.where("readable")
-    key = F.coalesce(F.element_at("fields", request), F.concat(F.lit("\0"), F.col("record_id").cast("string")))
-    first = F.min(F.struct(F.coalesce("file_seq", F.lit(2**31 - 1)).alias("s"), "record_id", "file_seq", "line_no", F.map_entries("fields").alias("e"))).alias("b")
-    once = rows.groupBy("producer", key.alias("_key")).agg(first).select("b.record_id", "producer", "b.file_seq", "b.line_no", F.map_from_entries("b.e").alias("fields"))
-    taken = {"record_id", "producer", "file_seq", "line_no"}
+    named = F.element_at("fields", of[link]) if link in of else F.lit(None).cast("string")
+    key = F.coalesce(named, F.concat(F.lit("\0"), F.col("record_id").cast("string")))
+    entries = [F.map_entries("fields").alias("e"), F.map_entries("other").alias("o")]
+    first = F.min(F.struct(F.coalesce("file_seq", F.lit(2**31 - 1)).alias("s"), "record_id", "file_seq", "line_no", *entries)).alias("b")
+    once = rows.groupBy("producer", key.alias("_key")).agg(first)
+    once = once.select("b.record_id", "producer", "b.file_seq", "b.line_no", F.map_from_entries("b.e").alias("fields"), F.map_from_entries("b.o").alias("other_fields"))
+    taken = {"record_id", "producer", "file_seq", "line_no", "other_fields"}
     columns = [_cast(F.element_at("fields", q), t).alias(q if q not in taken else f"{q}_value") for q, t in schema.items()]
-    rest = F.map_filter("fields", lambda k, _: ~k.isin(list(schema))).alias("other_fields")
-    return once.select("record_id", "producer", "file_seq", "line_no", *columns, rest)
+    return once.select("record_id", "producer", "file_seq", "line_no", *columns, "other_fields")

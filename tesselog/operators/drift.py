@@ -21,8 +21,7 @@ file_seq stay out of the report but not out of the table; rows of one record_id
 count once, the one received last; rows with a null record_id are left out of
 the table; a path whose values have several kinds in one file counts as the
 join of them; empty names and dots inside keys are taken as they are; of
-several records of one file and link the one with the largest fields is
-compared.  Past MAX_COLUMNS columns, by name, fields stay texts in
+several records of one file and link one is compared.  Past MAX_COLUMNS columns, by name, fields stay texts in
 ``other_fields``; so do further values of a quantity within one record.
 """
 
@@ -176,37 +175,56 @@ def plain(value) -> str:
     return ",".join(x.strip() for x in text.split(",")) if "," in text else text
 
 
-def _size(value) -> float:
-    """How large a leaf is: the order of a number, of the length of a text or list."""
-    if isinstance(value, (int, float)) and math.isfinite(value):
-        return math.log10(1 + abs(value))
-    return math.log10(1 + len(str(value)))
+def _hash(said: str) -> int:
+    return zlib.crc32(said.encode("utf-8", "surrogatepass")) - 2**31
 
 
-_LEAF = "struct<path:string,kind:string,shape:string,value:bigint,size:double>"
+@lru_cache(maxsize=1 << 14)
+def _text_leaf(text: str) -> tuple[int, int, float]:
+    kind = shape(text)
+    return 2 | (_TEXT if kind == "text" else 0), _hash(plain(text)), math.log10(1 + (abs(float(text)) if kind in ("bit", "int", "float") and math.isfinite(float(text)) else len(text)))
+
+
+#: Kinds as bits, so that many fold by a bitwise or: number, string, boolean, array; and whether a value is a text of no other shape.
+_KIND_BITS = {"number": 1, "string": 2, "boolean": 4, "array": 8}
+_TEXT = 16
+
+
+def _leaf(value) -> tuple[int, int, float]:
+    """(bits of its kind, hash of what it says, order of its size) of a JSON leaf."""
+    if isinstance(value, str):
+        return _text_leaf(value)
+    said = plain(value)
+    size = math.log10(1 + abs(value)) if isinstance(value, (int, float)) and math.isfinite(value) else math.log10(1 + len(said))
+    return _KIND_BITS[_kind(value)], _hash(said), size
+
+
+_LEAF = "struct<path:string,kind:int,value:int,size:float>"
 _RECORDS = f"producer string, file_seq bigint, link string, leaves array<{_LEAF}>"
-_LEAF_ARROW = pa.struct([("path", pa.string()), ("kind", pa.string()), ("shape", pa.string()), ("value", pa.int64()), ("size", pa.float64())])
+_LEAF_ARROW = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("value", pa.int32()), ("size", pa.float32())])
 
 
 def _records(link: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             producers, seqs, links, ends = [], [], [], [0]
-            columns: tuple[list, ...] = ([], [], [], [], [])
+            paths: list[str] = []
+            said: list[tuple] = []
             for producer, seq, text in zip(*(batch.column(k).to_pylist() for k in ("producer", "file_seq", "payload"))):
                 got = _payload(text)
                 if got is None:
                     continue
                 name = None
                 for path, value in leaves(got):
-                    said = plain(value)
-                    name = said if path == link else name
-                    for column, x in zip(columns, (path, _kind(value), shape(value), zlib.crc32(said.encode("utf-8", "surrogatepass")), _size(value))):
-                        column.append(x)
+                    if path == link:
+                        name = plain(value)
+                    paths.append(path)
+                    said.append(_leaf(value))
                 producers.append(producer)
                 seqs.append(seq)
                 links.append(name)
-                ends.append(len(columns[0]))
+                ends.append(len(paths))
+            columns = [paths, *(list(zip(*said)) or [()] * 3)]
             inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LEAF_ARROW)], fields=list(_LEAF_ARROW))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(producers, pa.string()), pa.array(seqs, pa.int64()), pa.array(links, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)],
@@ -230,14 +248,18 @@ SKETCH = 16
 
 
 def file_schemas(read: DataFrame) -> DataFrame:
-    """producer, file_seq, fields array<struct<path, kind, sketch, size, bits>>: a row for each readable file; bits is the information of one value of the path."""
+    """producer, file_seq, fields array<struct<path, kind, text, sketch, size, bits>>: a row for each readable file; bits is the information of one value of the path."""
     each = read.select("producer", "file_seq", F.explode_outer("leaves").alias("l")).select("producer", "file_seq", "l.*")
-    least = [F.min(F.when(F.pmod("value", F.lit(SKETCH)) == i, F.col("value"))) for i in range(SKETCH)]
-    kind = F.when(F.min("kind") != F.max("kind"), "string").otherwise(F.max("kind")).alias("kind")
-    text = F.max(F.when(F.col("shape") == "text", True).otherwise(False)).alias("text")
-    per_path = each.groupBy("producer", "file_seq", "path").agg(kind, text, F.array(*least).alias("sketch"), F.avg("size").alias("size"))
-    known = each.where("path is not null").groupBy("path").agg(F.log2(F.approx_count_distinct("value") + 0.0).alias("bits"))
-    fields = F.struct("path", "kind", "text", F.filter("sketch", lambda x: x.isNotNull()).alias("sketch"), "size", "bits")
+    least = [F.min(F.when(F.pmod("value", F.lit(SKETCH)) == i, F.col("value"))).alias(f"v{i}") for i in range(SKETCH)]
+    per = each.groupBy("producer", "file_seq", "path").agg(F.bit_or("kind").alias("kinds"), F.avg("size").alias("size"), *least)
+    only = F.col("kinds").bitwiseAND(F.lit(_TEXT - 1))
+    kind = F.lit("string")
+    for name, bit in _KIND_BITS.items():
+        kind = F.when(only == bit, name).otherwise(kind)
+    sketch = F.filter(F.array(*(f"v{i}" for i in range(SKETCH))), lambda x: x.isNotNull())
+    per_path = materialise(per.select("producer", "file_seq", "path", kind.alias("kind"), (F.col("kinds") >= _TEXT).alias("text"), sketch.alias("sketch"), "size"), "fields")
+    known = per_path.select("path", F.explode("sketch").alias("v")).groupBy("path").agg(F.log2(F.approx_count_distinct("v") + 0.0).alias("bits"))
+    fields = F.struct("path", "kind", "text", "sketch", "size", "bits")
     return per_path.join(known, "path", "left").groupBy("producer", "file_seq").agg(F.sort_array(F.collect_list(F.when(F.col("path").isNotNull(), fields))).alias("fields"))
 
 
@@ -350,16 +372,17 @@ def changes(usage: DataFrame, link: str = LINK, synonyms: bool = True) -> DataFr
     )
     open_ = both.where((F.size("gone") > 0) & (F.size("come") > 0))
 
-    def side(seq: str, fields: str) -> DataFrame:
-        """producer, now, link, the leaves of one record of each link under the fields in question."""
-        want = open_.select("producer", F.col(seq).alias("file_seq"), F.col("file_seq").alias("now_seq"), names(F.col(fields)).alias("want"))
-        kept = F.transform(F.filter("leaves", lambda x: F.array_contains("want", x["path"])), lambda x: F.struct(x["path"].alias("path"), x["value"].alias("value")))
-        rows = read.where("link is not null").join(want, ["producer", "file_seq"]).select("producer", "now_seq", "link", kept.alias("l")).where(F.size("l") > 0)
-        return rows.groupBy("producer", "now_seq", "link").agg(F.max("l").alias(fields))
-
-    met = side("before", "gone").join(side("file_seq", "come"), ["producer", "now_seq", "link"])
-    pairs = F.flatten(F.transform("gone", lambda a: F.transform("come", lambda b: F.struct(a["path"].alias("a"), b["path"].alias("b"), (a["value"] == b["value"]).alias("same")))))
-    votes = met.select("producer", F.col("now_seq").alias("file_seq"), F.explode(pairs).alias("p")).groupBy("producer", "file_seq", "p.a", "p.b").agg(F.count("*").alias("both"), F.count_if("p.same").alias("agree"))
+    # records of one link in one file and the one before, each with (hash of path, hash of value) of its leaves: one shuffle of narrow rows
+    told = F.transform("leaves", lambda x: F.struct(F.hash(x["path"]).alias("p"), x["value"].alias("v")))
+    again = Window.partitionBy("producer", "link").orderBy("file_seq", "told")
+    rows = read.where("link is not null").select("producer", "link", "file_seq", told.alias("told"))
+    met = rows.withColumns({"before": F.lag("file_seq").over(again), "old": F.lag("told").over(again)}).where("before < file_seq").drop("link")
+    marked = lambda c: F.transform(c, lambda x: F.struct(x["path"].alias("path"), F.hash(x["path"]).alias("p")))
+    want = open_.select("producer", "file_seq", "before", marked("gone").alias("gone"), marked("come").alias("come"))
+    under = lambda fields, leaf: F.filter(F.transform(fields, lambda f: F.struct(f["path"].alias("path"), F.get(F.filter(leaf, lambda x: x["p"] == f["p"]), 0)["v"].alias("v"))), lambda x: x["v"].isNotNull())
+    met = met.join(want, ["producer", "file_seq", "before"]).select("producer", "file_seq", under(F.col("gone"), F.col("old")).alias("gone"), under(F.col("come"), F.col("told")).alias("come"))
+    pairs = F.flatten(F.transform("gone", lambda a: F.transform("come", lambda b: F.struct(a["path"].alias("a"), b["path"].alias("b"), (a["v"] == b["v"]).alias("same")))))
+    votes = met.select("producer", "file_seq", F.explode(pairs).alias("p")).groupBy("producer", "file_seq", "p.a", "p.b").agg(F.count("*").alias("both"), F.count_if("p.same").alias("agree"))
     votes = votes.groupBy("producer", "file_seq").agg(F.collect_list(F.struct("a", "b", "both", "agree")).alias("votes"))
     schema = "producer string, file_seq bigint, change string, old_field string, new_field string"
     differ = both.where((F.size("gone") > 0) | (F.size("come") > 0)).select("producer", "file_seq", "gone", "come").join(votes, ["producer", "file_seq"], "left")

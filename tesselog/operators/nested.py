@@ -19,7 +19,6 @@ columns are ignored.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,61 +81,6 @@ class _Seed:
         self.line, self.state, self.is_message, self.path, self.offset, self.block, self.message = line, state, is_message, path, offset, block, message
 
 
-_TOKEN = re.compile(
-    r"""[ \t\n\r]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(?:-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity))"""
-)
-
-
-def _valid_deep(text: bytes) -> bool:
-    """What json.loads accepts, at any depth: the open containers are a list, not calls."""
-    try:
-        said = text.decode(json.detect_encoding(text), "surrogatepass")
-    except ValueError:
-        return False
-    said = said.rstrip(" \t\n\r")
-    opened: list[str] = []
-    at, want, fresh = 0, "value", False  # want: value, key, colon or end; fresh: the container has just been opened
-    while at < len(said):
-        token = _TOKEN.match(said, at)
-        if token is None:
-            return False
-        at, mark = token.end(), token[1]
-        if mark in ("}", "]"):
-            if not opened or opened.pop() != mark or not (want == "end" or fresh):
-                return False
-            want, fresh = "end", False
-        elif mark in ("{", "["):
-            if want != "value":
-                return False
-            opened.append("}" if mark == "{" else "]")
-            want, fresh = "key" if mark == "{" else "value", True
-        elif mark == ",":
-            if want != "end" or not opened:
-                return False
-            want = "key" if opened[-1] == "}" else "value"
-        elif mark == ":":
-            if want != "colon":
-                return False
-            want = "value"
-        elif want == "key" and token[2] is not None:
-            want, fresh = "colon", False
-        elif want == "value":
-            want, fresh = "end", False
-        else:
-            return False
-    return want == "end" and not opened
-
-
-def _valid(text: bytes) -> bool:
-    try:
-        json.loads(text)
-        return True
-    except RecursionError:  # nested deeper than the parser goes
-        return _valid_deep(text)
-    except ValueError:
-        return False
-
-
 def _round(texts: list[bytes], seeds: list[_Seed], messages: list, blocks: list, objects: set) -> tuple[list[bytes], list[_Seed]]:
     """Index ``texts`` together, append their messages and blocks, return the texts of the next round."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -144,10 +88,7 @@ def _round(texts: list[bytes], seeds: list[_Seed], messages: list, blocks: list,
     nodes = S.index(data, offsets)
     n = len(nodes.text)
     roots = np.flatnonzero(nodes.parent < 0)
-    live = np.zeros(len(texts), bool)
-    for r in roots:  # the structure is right; scalars and separators are checked exactly
-        t = int(nodes.text[r])
-        live[t] = _valid(texts[t])
+    live = nodes.valid
     if not n:
         return [], []
     key_message, key_content, key_type = nodes.key_is("message"), nodes.key_is("content"), nodes.key_is("type")

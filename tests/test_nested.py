@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -143,9 +144,48 @@ def test_very_long_line(spark):
 
 
 @pytest.mark.parametrize("text", ['{"a":[1,-2.5e3,true,null,NaN,"x\\u00e9\\n"],"b":{},"c":[]}', " [ ] ", '{"a":1,}', "[1,]", "[,1]", '{"a"}', '{"a" 1}', '{1:2}', '["\\x"]', '["\t"]', "[01]", "[1 2]", "[1}", "[-]", "[1.]", "", "5", '"a', "{} {}", '{"a":}', "[tru]", '{"a":1 "b":2}', "[:]", '[{"a":[{}]}]'])
-def test_deep_validity_equals_the_parser(text):
+def test_validity_equals_the_parser(text):
     raw = text.encode()
-    assert nested._valid_deep(raw) == nested._valid(raw)
+    try:
+        want = isinstance(json.loads(raw), (dict, list))
+    except ValueError:
+        want = False
+    assert structural.index(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).valid.tolist() == [want]
+
+
+def test_validity_of_damaged_texts_equals_the_parser():
+    """Thousands of texts in one index, most of them with a byte changed, put in or taken out."""
+    rng = random.Random(5)
+
+    def value(depth=0):
+        r = rng.random()
+        if depth > 4 or r < 0.5:
+            return rng.choice([1, 0, -1.5, 1e10, "a", 'x"\\y\\', "é\n", "", True, None, "{", "]", "a:b,c"])
+        if r < 0.75:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return {rng.choice(["a", "b:", 'c,"', "d{"]): value(depth + 1) for _ in range(rng.randrange(4))}
+
+    texts, want = [], []
+    while len(texts) < 4000:
+        got = value()
+        if not isinstance(got, (dict, list)):
+            continue
+        b = bytearray(json.dumps(got, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2])).encode())
+        for _ in range(rng.randrange(3)):
+            k, r = rng.randrange(len(b)), rng.random()
+            if r < 0.4:
+                b[k] = rng.choice(b'{}[],:"\\ 0123-+.eEtu\n\x01nulx\xc3')
+            elif r < 0.7:
+                b[k:k] = bytes([rng.choice(b'{}[],:"\\ 01-+.eEnu\t\x02')])
+            elif len(b) > 1:
+                del b[k]
+        try:
+            want.append(isinstance(json.loads(b.decode()), (dict, list)))
+        except ValueError:
+            want.append(False)
+        texts.append(bytes(b))
+    nodes = structural.index(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    assert nodes.valid.tolist() == want and 1000 < sum(want) < 3500
 
 
 @pytest.mark.parametrize("levels", [1_200, 60_000])

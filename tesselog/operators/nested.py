@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselog.functions import structural as S
+from tesselog.session import materialise, ship
 
 #: The types that make an object a block.
 BLOCK_TYPES = ("text", "thinking", "tool_use", "tool_result", "image")
@@ -262,6 +263,7 @@ def latest_lines(lines: DataFrame) -> DataFrame:
 
 def flatten(lines: DataFrame) -> DataFrame:
     """Line, message and block rows of ``lines`` (line_id, file, line_no, value, received_at) in one relation."""
+    ship(lines.sparkSession)
     return latest_lines(lines).mapInArrow(_batches, SCHEMA)
 
 
@@ -290,7 +292,5 @@ def link_calls(blocks: DataFrame) -> DataFrame:
 
 def found_blocks(lines: DataFrame) -> DataFrame:
     """line_id, block_path, parent_path, use_line_id, use_path: one row for each block."""
-    from tesselog.session import materialise
-
     flat = materialise(flatten(lines).where("record = 'block'").select("line_id", "file", "line_no", "place", "path", "parent_path", "type", "call_id"), "blocks")
     return link_calls(flat).select("line_id", F.col("path").alias("block_path"), "parent_path", "use_line_id", "use_path")

@@ -7,7 +7,9 @@ loss of any executor.  The JVM removes them when it ends.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,7 +39,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_has_tesselog", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="tesselog-ship-"), "tesselog.zip")
+    folder_ = tempfile.mkdtemp(prefix="tesselog-ship-")  # the driver serves it until it ends
+    atexit.register(shutil.rmtree, folder_, ignore_errors=True)
+    out = os.path.join(folder_, "tesselog.zip")
     with zipfile.ZipFile(out, "w") as archive:
         for folder, _, names in os.walk(root):
             for name in names:
@@ -90,6 +94,7 @@ def _drops_shuffles(spark: SparkSession):
 def materialise(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/tesselog/{name}-{uuid.uuid4().hex}"
     with _drops_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
@@ -101,10 +106,12 @@ def materialise(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFram
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Remove a table of ``materialise`` that nothing will read again."""
-    path = getattr(df, "_tesselog_path", None)
-    if path:
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``materialise`` that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_tesselog_path", None)
+        if not path:
+            continue
         context = df.sparkSession.sparkContext
         hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
         hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop_path, True)

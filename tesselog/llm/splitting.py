@@ -5,10 +5,11 @@ piece the deepest wins, the last of equally deep ones.  How deep a boundary is
 comes from a depth function over the whole text:
 
 * ``natural_depths``: behind a blank line, a line feed, a space or tab;
-* ``cohesion_depths``: lexical-cohesion valleys - at each line end the words of
-  the lines before and after are compared as hashed count vectors (blocks are
-  differences of prefix sums), and the depth is how far the similarity falls
-  below the peaks on both sides; natural depths break ties.
+* ``cohesion_depths``: lexical-cohesion valleys - at each end of a line or
+  sentence the words of the units before and after are compared as hashed count
+  vectors (blocks are differences of prefix sums), and the depth is how far the
+  similarity falls below the nearest peaks on both sides; natural depths break
+  ties and serve where there is no valley.
 
 Only texts over the limit leave the JVM.  A text is cut in O(length).
 
@@ -21,6 +22,7 @@ boundary are cut at the limit; ``end_line`` and other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselog.session import ship
+
 LIMIT, FLOOR, OVERLAP = 1600, 800, 160
 _BLANK = re.compile(r"^[ \t\r]*\n", re.M)
 _WORD = re.compile(r"\w+")
-_BLOCK_LINES, _DIMS = 6, 256
+_UNIT = re.compile(r"\n|[.!?](?=[ \t])[ \t]+|[。！？]")
+_BLOCK_UNITS, _DIMS, _STRIDE = 6, 512, 2048
 
 Depths = Callable[[str], tuple[np.ndarray, np.ndarray]]
 
@@ -51,34 +56,61 @@ def natural_depths(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, depth[at]
 
 
+def similarities(units: np.ndarray, bins: np.ndarray, n: int, block: int = _BLOCK_UNITS) -> np.ndarray:
+    """Cosine of the word counts of the ``block`` units before and after each of the gaps 1 .. n - 1 between n units.
+
+    units and bins tell, word by word in order, the unit a word stands in and
+    the bin its hash falls into.  Counts are made for _STRIDE gaps at a time.
+    """
+    out = np.zeros(max(n - 1, 0))
+    for first in range(1, n, _STRIDE):
+        last = min(n, first + _STRIDE)
+        low, high = max(0, first - block), min(n, last - 1 + block)
+        a, b = np.searchsorted(units, (low, high))
+        sums = np.zeros((high - low + 1, _DIMS), np.float32)
+        np.add.at(sums, (units[a:b] - low + 1, bins[a:b]), 1)
+        np.cumsum(sums, axis=0, out=sums)
+        gap = np.arange(first, last)
+        at = sums[gap - low]
+        before = at - sums[np.maximum(gap - block, low) - low]
+        after = sums[np.minimum(gap + block, high) - low] - at
+        norms = np.sqrt((before * before).sum(1, dtype=np.float64) * (after * after).sum(1, dtype=np.float64))
+        out[first - 1 : last - 1] = np.where(norms > 0, (before * after).sum(1, dtype=np.float64) / np.where(norms > 0, norms, 1), 0.0)
+    return out
+
+
+def valleys(alike: np.ndarray) -> np.ndarray:
+    """How far each value lies below the nearest peak to its left and to its right, together: from each place one climbs as long as it doesn't go down."""
+
+    def climb(x: list[float]) -> list[float]:
+        peak = x[:1]
+        for i in range(1, len(x)):
+            peak.append(peak[-1] if x[i - 1] >= x[i] else x[i])
+        return peak
+
+    rounded = np.round(alike, 6)
+    left, right = climb(rounded.tolist()), climb(rounded[::-1].tolist())[::-1]
+    return np.asarray(left) + np.asarray(right) - 2 * rounded
+
+
 def cohesion_depths(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Natural boundaries, those behind line feeds deepened by the valley of lexical cohesion found there."""
+    """Natural boundaries and sentence ends; the deeper the valley of lexical cohesion there, the deeper the boundary."""
     at, depth = natural_depths(text)
-    ends = np.flatnonzero(_codes(text) == 10) + 1
-    if len(ends) < 2:
+    ends = np.array([m.end() for m in _UNIT.finditer(text)], np.int64)
+    ends = ends[ends < len(text)]
+    if not len(ends):
         return at, depth
-    lines = text.split("\n")
-    sums = np.zeros((len(lines) + 1, _DIMS))
-    for i, line in enumerate(lines):
-        for word in _WORD.findall(line.lower()):
-            sums[i + 1, sum(word.encode()) * 31 % _DIMS if len(word) < 2 else (len(word) * 131 + sum(k * b for k, b in enumerate(word.encode(), 1))) % _DIMS] += 1
-    np.cumsum(sums, axis=0, out=sums)
-    gap = np.arange(1, len(ends) + 1)
-    before = sums[gap] - sums[np.maximum(gap - _BLOCK_LINES, 0)]
-    after = sums[np.minimum(gap + _BLOCK_LINES, len(lines))] - sums[gap]
-    norms = np.sqrt((before**2).sum(1) * (after**2).sum(1))
-    alike = np.where(norms > 0, (before * after).sum(1) / np.where(norms > 0, norms, 1), 0.0)
-    left, right = alike.copy(), alike.copy()
-    for i in range(1, len(alike)):  # climb to the nearest peak on either side
-        if left[i - 1] >= alike[i]:
-            left[i] = max(left[i - 1], alike[i])
-    for i in range(len(alike) - 2, -1, -1):
-        if right[i + 1] >= alike[i]:
-            right[i] = max(right[i + 1], alike[i])
-    valley = (left - alike) + (right - alike)
-    depth = depth.copy()
-    depth[np.searchsorted(at, ends)] += 10 * np.round(valley, 6)
-    return at, depth
+    words = [(m.start(), zlib.crc32(m[0].encode("utf-8", "surrogatepass")) % _DIMS) for m in _WORD.finditer(text.lower())] if len(text.lower()) == len(text) else [
+        (m.start(), zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % _DIMS) for m in _WORD.finditer(text)
+    ]
+    place, bins = (np.array(x, np.int64) for x in zip(*words)) if words else (np.zeros(0, np.int64),) * 2
+    valley = valleys(similarities(np.searchsorted(ends, place, "right"), bins, len(ends) + 1))
+    every = np.union1d(at, ends)
+    out = np.zeros(len(every))
+    out[np.searchsorted(every, at)] = depth
+    spot = np.searchsorted(every, ends)
+    out[spot] = np.maximum(out[spot], 1) + 1000 * np.round(valley, 6)
+    return every, out
 
 
 def cut(text: str, depths: Depths = natural_depths, limit: int = LIMIT, floor: int = FLOOR, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -126,5 +158,6 @@ def split_oversized(chunks: DataFrame, depths: Depths = natural_depths, limit: i
     large = chunks.where(F.col("chunk_id").isNotNull() & (F.length("content") > limit))
     best = F.max(F.struct(F.col("start_line").isNotNull().alias("known"), "content", "start_line", "file_path")).alias("b")
     once = large.groupBy("chunk_id").agg(best).select("chunk_id", "b.file_path", F.coalesce("b.start_line", F.lit(1)).cast("bigint").alias("start_line"), "b.content")
+    ship(chunks.sparkSession)
     schema = "chunk_id bigint, file_path string, piece_no bigint, start_char bigint, end_char bigint, start_line bigint, end_line bigint, content string"
     return once.mapInArrow(_split(depths, limit, floor, overlap), schema)

@@ -58,3 +58,37 @@ def test_frame(spark):
     assert S.split_oversized(spark.createDataFrame([], schema)).count() == 0
     with pytest.raises(ValueError):
         S.split_oversized(spark.createDataFrame([], schema), overlap=900)
+
+
+def test_valleys_reach_to_the_nearest_peaks():
+    """A known series: each depth is measured from the nearest peak on either side, not from the largest value of the text."""
+    alike = np.array([0.9, 0.2, 0.6, 0.5, 0.7, 0.1, 0.3, 0.3, 0.0, 0.4])
+    want = [0.0, 0.7 + 0.4, 0.0, 0.1 + 0.2, 0.0, 0.6 + 0.2, 0.0, 0.0, 0.3 + 0.4, 0.0]
+    assert np.allclose(S.valleys(alike), want)
+
+
+def test_similarities_in_strides(monkeypatch):
+    rng = np.random.default_rng(3)
+    units, bins = np.sort(rng.integers(0, 90, 700)), rng.integers(0, 40, 700)
+    whole = S.similarities(units, bins, 90)
+    monkeypatch.setattr(S, "_STRIDE", 7)
+    assert np.allclose(whole, S.similarities(units, bins, 90))
+    counts = np.zeros((90, 512))
+    np.add.at(counts, (units, bins), 1)
+    for gap in (1, 5, 44, 89):
+        x, y = counts[max(0, gap - 6) : gap].sum(0), counts[gap : gap + 6].sum(0)
+        assert abs(whole[gap - 1] - x @ y / np.sqrt((x @ x) * (y @ y))) < 1e-6
+
+
+def test_cohesion_within_one_line():
+    """A text without line feeds is cut at the sentence where the topic changes."""
+    one = "".join(f"The parser reads a token of the grammar {i}. " for i in range(26))
+    two = "".join(f"Rivers cross the mountain forest {i}. " for i in range(40))
+    (a, b), *rest = S.cut(one + two, S.cohesion_depths)
+    assert abs(b - len(one)) <= 100 and (one + two)[b - 2 : b] == ". "
+
+
+@pytest.mark.parametrize("text", ["\n" * 5000, " " * 5000, "a" * 1601, "a.b" * 900, "İ. " * 2000, "x\n" * 3000])
+def test_cohesion_of_odd_texts(text):
+    pieces = S.cut(text, S.cohesion_depths)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(b - a <= 1600 for a, b in pieces)

@@ -3,7 +3,7 @@
 Sum-of-squares packing: with N[g] open containers whose free room is g, each
 item goes where the sum of the squares of N grows least.  The items are dealt
 to shards by a hash of their place in the table of sizes, so that no shard holds
-more than about ``SHARD_ITEMS`` items whatever their keys; each shard packs its
+more than about ``SHARD_ITEMS`` items, pieces of long texts counted, whatever their keys; each shard packs its
 items, larger ones first, in one task with O(capacity) state plus its open
 containers.  Only (key, piece, size) is shuffled, never a text.
 
@@ -99,7 +99,8 @@ def pack_counts(sizes: DataFrame, capacity: int = CAPACITY, shard_items: int = S
     pieces = sizes.select("doc_id", n.alias("n"), F.posexplode(starts).alias("piece_no", "first_token")).select(
         "doc_id", F.col("piece_no").cast("bigint").alias("piece_no"), "first_token", F.least(F.lit(capacity), F.col("n") - F.col("first_token")).cast("bigint").alias("n_tokens")
     )
-    shards = max(1, -(-sizes.count() // shard_items))
+    boxes = sizes.agg(F.sum(F.greatest(F.lit(1), F.ceil(n / capacity)))).first()[0] or 0
+    shards = max(1, -(-int(boxes) // shard_items))
     shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     schema = "doc_id bigint, piece_no bigint, first_token bigint, n_tokens bigint, container_id bigint, place bigint"
     return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(_pack(capacity), schema)

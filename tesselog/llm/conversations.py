@@ -7,10 +7,11 @@ small-star joins shrink every component to a star around its smallest message.
 Messages without an identifier get the one of their component.
 
 Validity is decided by aggregates wherever order plays no role; the order is
-then only needed for the conversations still in question.  A conversation over
-``BUCKET_ROWS`` messages is cut into buckets of time, ordered bucket by bucket
-and stitched by the buckets' summaries, so that no window holds one hot
-conversation whole.
+then only needed for the conversations still in question.  Their messages are
+partitioned by ranges of (conversation, time, message_id) of about
+``BUCKET_ROWS`` each, ordered range by range and stitched by the ranges'
+summaries, so that no window holds one hot conversation whole, however its
+messages cluster in time.
 
 Defined cases: of rows of one message_id the one received last counts (of those
 the one with the largest other fields); a null message_id belongs nowhere; a
@@ -26,9 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselog.session import materialise
+from tesselog.session import materialise, release
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 50_000
 
 #: The spellings of the speakers, lower-case, words separated by one space.
 SPEAKERS = {
@@ -112,7 +113,10 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     edges = materialise(edges, "edges")
     before = _mark(edges)
     for _ in range(max_rounds):
-        edges = materialise(_shrink(materialise(_shrink(edges, True), "large"), False), "small")
+        large = materialise(_shrink(edges, True), "large")
+        small = materialise(_shrink(large, False), "small")
+        release(edges, large)
+        edges = small
         now = _mark(edges)
         if now == before:
             break
@@ -146,13 +150,12 @@ def conversations(messages: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFr
         F.max(F.col("speaker").isNull() | F.col("at").isNull()).alias("broken"),
         first["speaker"].alias("opens"),
         F.max((F.col("speaker") == "user") & F.col("shows")).alias("asks"),
-        F.min("at").alias("t0"),
-        F.max("at").alias("t1"),
     )
-    buckets = F.ceil(F.col("n") / bucket_rows)
-    open_ = stats.where("not broken and opens = 'user' and asks").select("conv", "session_id", "t0", F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0") + 1) / buckets)).alias("width"))
+    open_ = materialise(stats.where("not broken and opens = 'user' and asks").select("conv", "session_id", "n"), "open")
+    ranges = max(1, -(-(open_.agg(F.sum("n")).first()[0] or 0) // bucket_rows))
     event = F.when(F.col("speaker") == "user", "u").when((F.col("speaker") == "assistant") & F.col("shows"), "a")
-    kept = rows.join(open_, "conv").select("conv", "session_id", "message_id", "speaker", "at", F.floor((F.col("at") - F.col("t0")) / F.col("width")).alias("bucket"), event.alias("event"))
+    kept = rows.join(open_, "conv").select("conv", "session_id", "message_id", "speaker", "at", event.alias("event"))
+    kept = materialise(kept.repartitionByRange(ranges, "conv", "at", "message_id").withColumn("bucket", F.spark_partition_id()), "kept")
     order = Window.partitionBy("conv", "bucket").orderBy("at", "message_id")
     earlier = F.last("event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     ordered = materialise(kept.withColumns({"rn": F.row_number().over(order), "unanswered": (F.col("event") == "u") & F.coalesce(earlier == "u", F.lit(False))}), "ordered")

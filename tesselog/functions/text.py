@@ -74,21 +74,27 @@ def language(path: Column) -> Column:
     return F.element_at(_map(LANGUAGES), F.lower(F.regexp_extract(base, r"^.+\.([^.]*)$", 1)))
 
 
+#: What in a word or two marks an identifier.
+SYMBOL_MARK = r"_|-|[a-z0-9][A-Z]|[A-Z]+[A-Z][a-z]"
+
+
 def symbol_like(query: Column) -> Column:
     """Whether a query looks like an identifier."""
     text = F.trim(F.regexp_replace(query, r"\s+", " "))
     parts = F.split(text, " ")
-    return (text != "") & ((F.size(parts) == 1) | (F.size(parts) < 3) & text.rlike(r"_|-|[a-z0-9][A-Z]|[A-Z]+[A-Z][a-z]"))
+    return (text != "") & ((F.size(parts) == 1) | (F.size(parts) < 3) & text.rlike(SYMBOL_MARK))
+
+
+#: Names of types, of variables, dotted names, and words about code.
+ENTITY_MARKS = (r"[A-Z][a-z]+[A-Z][a-z]", rf"{_EDGE0}[a-z]+_[a-z_]+{_EDGE1}", rf"{_EDGE0}[A-Za-z][A-Za-z0-9]*\.[A-Za-z][A-Za-z0-9]+", rf"(?i){_EDGE0}({CODE_WORDS}){_EDGE1}")
 
 
 def entity_shaped(query: Column) -> Column:
     """Whether a question is likely to be about code."""
-    return (
-        query.rlike(r"[A-Z][a-z]+[A-Z][a-z]")
-        | query.rlike(rf"{_EDGE0}[a-z]+_[a-z_]+{_EDGE1}")
-        | query.rlike(rf"{_EDGE0}[A-Za-z][A-Za-z0-9]*\.[A-Za-z][A-Za-z0-9]+")
-        | query.rlike(rf"(?i){_EDGE0}({CODE_WORDS}){_EDGE1}")
-    )
+    hit = F.lit(False)
+    for mark in ENTITY_MARKS:
+        hit = hit | query.rlike(mark)
+    return hit
 
 
 def keywords(query: Column, most: int = 3) -> Column:
@@ -108,6 +114,18 @@ def keywords(query: Column, most: int = 3) -> Column:
     return F.slice(first, 1, most)
 
 
+#: Extensions of files that count as text in an evaluation, and folders never entered there.
+TEXT_EXTENSIONS = tuple("ts tsx js jsx mjs cjs py pyi java kt scala go rs rb php c h cpp hpp cc cs swift md rst txt json toml yaml yml".split())
+SKIPPED_FOLDERS = ("node_modules", ".git")
+
+
+def is_text_file(path: Column) -> Column:
+    """Whether a path has one of TEXT_EXTENSIONS and lies in none of SKIPPED_FOLDERS."""
+    parts = F.split(path, "/")
+    outside = ~F.exists(parts, lambda x: x.isin(*SKIPPED_FOLDERS))
+    return F.coalesce(outside & F.lower(F.regexp_extract(F.element_at(parts, -1), r"^.+\.([^.]*)$", 1)).isin(*TEXT_EXTENSIONS), F.lit(False))
+
+
 def path_factor(path: Column) -> Column:
     """Product of the factors of the classes that a path belongs to."""
     low = F.lower(path)
@@ -171,15 +189,61 @@ def approx_tokens(text: Column) -> Column:
     return F.ceil(F.coalesce(F.length(text), F.lit(0)) / 4).cast("bigint")
 
 
+def wire_snippet(text: Column, most: int = 120) -> Column:
+    """Line feeds as arrows, cut to ``most`` characters."""
+    flat = F.regexp_replace(text, "\r?\n", "↵")
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
+
+
+def _half_up(n: Column) -> Column:
+    """The nearest whole number, halves upwards."""
+    return F.floor(n + 0.5)
+
+
+def _fixed(n: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", n.cast("double"))
+
+
 def human_count(n: Column) -> Column:
-    """12.4k, 1.23M."""
+    """847, 12.4k, 1.23M; of either sign."""
+    size = F.abs(n)
     return (
-        F.when(n < 1000, n.cast("bigint").cast("string"))
-        .when(n < 1_000_000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("k")))
-        .otherwise(F.concat(F.format_string("%.2f", n / 1000000.0), F.lit("M")))
+        F.when(size < 1000, _half_up(n).cast("bigint").cast("string"))
+        .when(size < 1_000_000, F.concat(_fixed(n / 1000.0, 1), F.lit("k")))
+        .otherwise(F.concat(_fixed(n / 1000000.0, 2), F.lit("M")))
     )
 
 
+def token_badge(n: Column) -> Column:
+    """847, 1.2k, 12k."""
+    t = _half_up(n).cast("bigint")
+    return F.when(t >= 10_000, F.concat(_fixed(t / 1000.0, 0), F.lit("k"))).when(t >= 1000, F.concat(_fixed(t / 1000.0, 1), F.lit("k"))).otherwise(t.cast("string"))
+
+
+def duration(ms: Column) -> Column:
+    """840ms, 47s, 2m 18s; empty for none and for negative ones."""
+    s = _half_up(ms / 1000.0).cast("bigint")
+    text = F.when(ms < 1000, F.concat(ms.cast("bigint").cast("string"), F.lit("ms"))).when(s < 60, F.concat(s.cast("string"), F.lit("s")))
+    text = text.otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.pmod(s, F.lit(60)).cast("string"), F.lit("s")))
+    return F.when(ms.isNull() | F.isnan(ms.cast("double")) | (ms < 0), "").otherwise(text)
+
+
+def percent(share: Column) -> Column:
+    """57.7%; 0% for what is no number."""
+    return F.when(share.isNull() | F.isnan(share) | (F.abs(share) == float("inf")), "0%").otherwise(F.concat(_fixed(share * 100, 1), F.lit("%")))
+
+
+def short_id(name: Column) -> Column:
+    """The first eight characters."""
+    return F.substring(name, 1, 8)
+
+
+def basename(path: Column) -> Column:
+    """The last segment of a path of either slash; the path itself if it has none."""
+    last = F.regexp_extract(path, r"([^/\\]+)[/\\]*$", 1)
+    return F.when(last == "", path).otherwise(last)
+
+
 def instruction_prefixes(model: Column) -> Column:
     """struct<query, doc>: what an embedding model wants in front of queries and documents."""
     low = F.lower(model)

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from tesselog.functions import text as T
 
 SEARCH_TOOLS = ("search_chunks", "find_related")
+#: What a tool's name must hold, without case and punctuation, to be a search where its spelling plays no role.
+SEARCH_NAMES = ("searchchunks",)
+#: Tools that read or change one file.
 CONSUMERS = ("Read", "Edit", "MultiEdit", "Write", "NotebookEdit")
-FILE_TOOLS = ("Read", "Edit", "Write", "MultiEdit")
+FILE_TOOLS = CONSUMERS
 HEAVY_BYTES = 5000
 #: Keys of a call's input that may name its file, in order.
 PATH_KEYS = ("file_path", "filePath", "path", "file", "target_file_path")
@@ -37,6 +40,7 @@ class Replay:
 
     files: int = 5
     chunk_tokens: int = 300
+    #: Tools and shell commands that a search can stand for.
     tools: tuple[str, ...] = ("Read", "Grep", "Glob")
     commands: tuple[str, ...] = (r"(?i)^\s*(grep|rg|ag)(?!\w)", r"(?i)^\s*(find|fd)(?!\w)", r"(?i)^\s*(cat|head|tail|less|more)(?!\w)", r"(?i)^\s*sed\s+-n(?!\w)")
 
@@ -63,7 +67,7 @@ def _number(v: Column, path: str) -> Column:
 
 def _usage(v: Column, narrow: bool) -> tuple[Column, Column]:
     """Tokens in and out: the line's own tokensIn and tokensOut, else of its usage, else of its message's usage (alone, in snake case, if ``narrow``)."""
-    told = [F.try_variant_get(v, f"$.message.usage.{k}_tokens", "bigint") for k in ("input", "output")]
+    told = [_number(v, f"$.message.usage.{k}_tokens") for k in ("input", "output")]
     if narrow:
         return told[0], told[1]
     direct = [_number(v, f"$.tokens{k}") for k in ("In", "Out")]
@@ -115,6 +119,7 @@ def events(lines: DataFrame, narrow_usage: bool = False) -> DataFrame:
         F.try_variant_get(b, "$.is_error", "boolean").alias("is_error"),
         _string(b, "$.input.command").alias("command"),
         F.coalesce(*(F.nullif(_string(b, f"$.input.{k}"), F.lit("")) for k in PATH_KEYS)).alias("path"),
+        _string(b, "$.input.file_path").alias("file_path"),
         _string(b, "$.input.query").alias("query"),
         (F.schema_of_variant(b) == "STRING").alias("bare"),
     )
@@ -122,19 +127,19 @@ def events(lines: DataFrame, narrow_usage: bool = False) -> DataFrame:
     piece = lambda b: F.when(b["bare"] | (b["type"] == "text"), F.coalesce(b["text"], F.lit(""))).when(b["type"] == "tool_use", F.concat(F.lit("[tool_use:"), F.coalesce(b["name"], F.lit("unknown")), F.lit("]"))).otherwise("")
     joined = F.array_join(F.transform("blocks", piece), "")
     none = F.lit(None)
-    names = ("kind", "text", "tool", "is_error", "input", "output", "output_kind", "command", "path", "query")
-    types = ("string", "string", "string", "boolean", "string", "string", "string", "string", "string", "string")
+    names = ("kind", "text", "tool", "is_error", "input", "output", "output_kind", "command", "path", "file_path", "query")
+    types = ("string", "string", "string", "boolean", "string", "string", "string", "string", "string", "string", "string")
     make = lambda *c: F.struct(*(x.cast(t).alias(n) for x, n, t in zip(c, names, types)))
     who = F.when(F.col("kind") == "user", "user_message").otherwise("assistant_message")
-    said = lambda t: make(who, t, *[none] * 8)
+    said = lambda t: make(who, t, *[none] * 9)
     calls = F.transform(
         F.filter("blocks", lambda b: b["type"].isin("tool_use", "tool_result")),
-        lambda b: F.when(b["type"] == "tool_use", make(b["type"], none, b["name"], none, b["input"], none, none, b["command"], b["path"], b["query"])).otherwise(
-            make(b["type"], none, none, b["is_error"], none, b["output"], b["output_kind"], none, none, none)
+        lambda b: F.when(b["type"] == "tool_use", make(b["type"], none, b["name"], none, b["input"], none, none, b["command"], b["path"], b["file_path"], b["query"])).otherwise(
+            make(b["type"], none, none, b["is_error"], none, b["output"], b["output_kind"], none, none, none, none)
         ),
     )
     blocks = F.concat(F.when((joined != "") | (F.size(calls) == 0), F.array(said(joined))).otherwise(F.array().cast(calls_type(names, types))), calls)
-    made = F.when(F.col("form") == "string", F.array(said(F.col("plain")))).when(F.col("form") == "array", blocks).otherwise(F.array(make(F.col("form"), *[none] * 9)))
+    made = F.when(F.col("form") == "string", F.array(said(F.col("plain")))).when(F.col("form") == "array", blocks).otherwise(F.array(make(F.col("form"), *[none] * 10)))
     out = flat.select("file", "line_no", "ts", "session_id", "tokens_in", "tokens_out", "model", F.posexplode(made).alias("sub", "e"))
     order = Window.partitionBy("file").orderBy("line_no", "sub")
     return out.select(
@@ -173,6 +178,15 @@ def is_search(tool: Column, tools: tuple[str, ...] = SEARCH_TOOLS) -> Column:
     return F.coalesce(tool.isin(*tools), F.lit(False))
 
 
+def names_search(tool: Column, names: tuple[str, ...] = SEARCH_NAMES) -> Column:
+    """Whether a tool's name, without case and punctuation, holds one of ``names``; so prefixes and separators of clients play no role."""
+    bare = F.regexp_replace(F.lower(tool), "[^a-z0-9]", "")
+    hit = F.lit(False)
+    for n in names:
+        hit = hit | F.contains(bare, F.lit(n))
+    return F.coalesce(hit, F.lit(False))
+
+
 def kind_counts(ev: DataFrame) -> DataFrame:
     """session, total, and the number of events of each kind."""
     kinds = ("user_message", "assistant_message", "tool_use", "tool_result", "system", "unknown")
@@ -282,7 +296,7 @@ def replay(ev: DataFrame, options: Replay = Replay()) -> DataFrame:
     actual = (
         F.when(F.col("kind") == "assistant_message", F.coalesce(usage, T.approx_tokens(F.col("text"))))
         .when(F.col("kind") == "user_message", T.approx_tokens(F.col("text")))
-        .when(F.col("kind") == "tool_result", T.approx_tokens(F.col("output")))
+        .when(F.col("kind") == "tool_result", T.approx_tokens(F.coalesce("text", "output")))
         .otherwise(0)
         .cast("bigint")
     )
@@ -303,7 +317,7 @@ def with_turns(ev: DataFrame) -> DataFrame:
     return ev.withColumn("turn", F.count_if(F.col("kind") == "user_message").over(_up_to()))
 
 
-def turns(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFrame:
+def turns(ev: DataFrame, search_names: tuple[str, ...] = SEARCH_NAMES) -> DataFrame:
     """One row for each turn: number, times, flags, tools in order of first use, and metrics; search_chunks are the hits its searches returned.
 
     Numbers go 1, 2, ...; after a turn 0 the next is 2.  A turn is interrupted
@@ -327,8 +341,8 @@ def turns(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFr
         F.coalesce(F.max("is_error"), F.lit(False)).alias("has_error"),
         (F.max_by("s", "event_index") - F.least(F.lit(0), F.min("s")) > 0).alias("interrupted"),
         F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(use & F.col("tool").isNotNull(), F.struct("event_index", "tool")))), lambda x: x["tool"])).alias("tools"),
-        F.count_if(use & is_search(F.col("tool"), search_tools)).alias("searches"),
-        F.sum(F.when(result & is_search(F.col("of_tool"), search_tools), F.coalesce(_hit_count(F.col("output")), F.lit(0))).otherwise(0)).cast("bigint").alias("search_chunks"),
+        F.count_if(use & names_search(F.col("tool"), search_names)).alias("searches"),
+        F.sum(F.when(result & names_search(F.col("of_tool"), search_names), F.coalesce(result_count(F.col("output")), F.lit(0))).otherwise(0)).cast("bigint").alias("search_chunks"),
         F.sum(F.when(result & (F.col("of_tool") == "Read"), size).otherwise(0)).alias("read_bytes"),
         F.sum(F.when(result & (F.col("of_tool") == "Bash"), size).otherwise(0)).alias("bash_bytes"),
         F.min("first_turn").alias("first_turn"),
@@ -381,27 +395,50 @@ def tool_pairs(ev: DataFrame) -> DataFrame:
 
 
 def search_payload(output: Column) -> Column:
-    """The JSON array of results in a search output, unwrapped up to three times from texts and text envelopes; null if there is none."""
+    """The JSON value that a search output holds, unwrapped up to three times from texts and text envelopes."""
     for _ in range(3):
         inner = F.coalesce(F.get_json_object(output, "$.content[0].text"), F.get_json_object(output, "$[0].text"), F.when(F.ltrim(output).startswith('"'), F.get_json_object(output, "$")))
         output = F.coalesce(inner, output)
-    listed = F.coalesce(F.get_json_object(output, "$.results"), F.get_json_object(output, "$.hits"), output)
+    return output
+
+
+def search_results(output: Column) -> Column:
+    """The JSON array of results in a search output (its results, its hits, or the bare array); null if there is none."""
+    payload = search_payload(output)
+    listed = F.coalesce(F.get_json_object(payload, "$.results"), F.get_json_object(payload, "$.hits"), payload)
     return F.when(F.ltrim(listed).startswith("["), listed)
 
 
-def _hits(output: Column) -> Column:
-    return F.from_json(search_payload(output), "array<struct<filePath:string,startLine:bigint>>")
+def result_count(output: Column) -> Column:
+    """How many results a search output holds; null if it can't be read."""
+    return F.json_array_length(search_results(output)).cast("bigint")
+
 
+def latency(output: Column) -> Column:
+    """The latencyMs that a search output tells, null if there is none."""
+    return F.get_json_object(search_payload(output), "$.latencyMs").try_cast("double")
 
-def _hit_count(output: Column) -> Column:
-    return F.size(F.filter(_hits(output), lambda h: h["filePath"].isNotNull()))
 
+def search_label(call_input: Column) -> Column:
+    """One line on a search call from its input: the query of at most 60 characters, the mode, the number of results asked for; null without a query."""
+    v = F.try_parse_json(call_input)
+    query = _string(v, "$.query")
+    short = F.when(F.length(query) > 60, F.concat(F.substring(query, 1, 59), F.lit("…"))).otherwise(query)
+    plain = F.coalesce(F.try_variant_get(v, "$.hybrid", "boolean") == F.lit(False), F.lit(False)) & (F.schema_of_variant(F.try_variant_get(v, "$.hybrid", "variant")) == "BOOLEAN")
+    top = F.coalesce(_number(v, "$.top"), F.lit(10)).cast("string")
+    return F.when(query.isNotNull(), F.concat(F.lit('"'), short, F.lit('"  ·  '), F.when(plain, "bm25").otherwise("hybrid"), F.lit("  ·  top="), top))
 
-def search_hits(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFrame:
+
+def _hits(output: Column) -> Column:
+    return F.from_json(search_results(output), "array<struct<filePath:string,startLine:bigint>>")
+
+
+def search_hits(ev: DataFrame, search_names: tuple[str, ...] = SEARCH_NAMES) -> DataFrame:
     """session, result_index, search_index, chunk_index, file_path of each hit in the results of searches."""
-    searches = ev.withColumn("near", F.last(F.when((F.col("kind") == "tool_use") & is_search(F.col("tool"), search_tools), F.col("event_index")), ignorenulls=True).over(_before()))
+    narrow = ev.select("session", "event_index", "kind", "tool")
+    searches = narrow.withColumn("near", F.last(F.when((F.col("kind") == "tool_use") & names_search(F.col("tool"), search_names), F.col("event_index")), ignorenulls=True).over(_before()))
     near = searches.where("kind = 'tool_result'").select("session", F.col("event_index").alias("result_index"), "near")
-    results = tool_pairs(ev).where(is_search(F.col("tool"), search_tools)).join(near, ["session", "result_index"])
+    results = tool_pairs(ev).where(names_search(F.col("tool"), search_names)).join(near, ["session", "result_index"])
     out = results.select("session", "result_index", F.coalesce("near", "result_index").alias("search_index"), F.posexplode(_hits(F.col("output"))).alias("chunk_index", "h"))
     return out.where("h.filePath is not null").select("session", "result_index", "search_index", "chunk_index", F.col("h.filePath").alias("file_path"))
 
@@ -410,17 +447,20 @@ def _segments(path: Column) -> Column:
     return F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda s: s != "")
 
 
-def provenance(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFrame:
-    """session, event_index, search_index, chunk_index, file_path: the search that a file access follows from.
+def accesses(ev: DataFrame) -> DataFrame:
+    """session, event_index, target: the calls that read or change a file."""
+    return ev.where((F.col("kind") == "tool_use") & F.col("tool").isin(*CONSUMERS) & (F.col("path") != "")).select("session", "event_index", F.col("path").alias("target"))
+
+
+def link_accesses(hits: DataFrame, used: DataFrame) -> DataFrame:
+    """session, event_index, search_index, chunk_index, file_path: the hit of ``search_hits`` that each access (session, event_index, target) follows from.
 
     The latest earlier hit of exactly the same path wins, else the latest whose
     path agrees in at least two segments from the end.  Accesses meet hits by
     session and the last segment of the path, an equi join.
     """
-    hits = search_hits(ev, search_tools)
     h = hits.withColumns({"h_seg": _segments(F.col("file_path"))}).withColumn("base", F.try_element_at("h_seg", F.lit(-1)))
-    used = ev.where((F.col("kind") == "tool_use") & F.col("tool").isin(*CONSUMERS) & (F.col("path") != ""))
-    u = used.select("session", "event_index", F.col("path").alias("target"), _segments(F.col("path")).alias("u_seg")).withColumn("base", F.try_element_at("u_seg", F.lit(-1)))
+    u = used.withColumn("u_seg", _segments(F.col("target"))).withColumn("base", F.try_element_at("u_seg", F.lit(-1)))
     n = F.least(F.size("u_seg"), F.size("h_seg"))
     tail = lambda c: F.slice(c, F.size(c) - n + 1, n)
     exact = F.col("target") == F.col("file_path")
@@ -430,6 +470,19 @@ def provenance(ev: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> D
     return both.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("session", "event_index", "search_index", "chunk_index", "file_path")
 
 
+def provenance(ev: DataFrame, search_names: tuple[str, ...] = SEARCH_NAMES) -> DataFrame:
+    """``link_accesses`` of the searches and accesses of the same events."""
+    return link_accesses(search_hits(ev, search_names), accesses(ev))
+
+
+def use_rows(ev: DataFrame, replayed: DataFrame) -> DataFrame:
+    """session, event_index, tool, actual, counterfactual of each replaceable call, with the cost of the result right behind it, 0 where there is none."""
+    rows = replayed.join(ev.select("session", "event_index", "tool"), ["session", "event_index"])
+    ahead = lambda c: F.coalesce(F.when((F.lead("kind").over(_order()) == "tool_result") & (F.lead("event_index").over(_order()) == F.col("event_index") + 1), F.lead(c).over(_order())), F.lit(0))
+    paired = rows.withColumns({"a": ahead("actual"), "c": ahead("counterfactual")})
+    return paired.where("kind = 'tool_use' and replaceable").select("session", "event_index", "tool", F.col("a").cast("bigint").alias("actual"), F.col("c").cast("bigint").alias("counterfactual"))
+
+
 def projects(sessions: DataFrame, now: str, group_inferred: bool = True) -> DataFrame:
     """project, sessions, worktrees, live, inferred: a row for each effective project root, live ones and large ones first."""
     inferred = F.coalesce(F.col("project_root_source") == "inferred-prefix", F.lit(False))
@@ -455,20 +508,20 @@ def prefix_roots(cwds: DataFrame, roots: DataFrame) -> DataFrame:
     return cwds.select("cwd").distinct().join(best, "cwd", "left")
 
 
-def ground_truth(ev: DataFrame, roots: DataFrame, search_tools: tuple[str, ...] = SEARCH_TOOLS) -> DataFrame:
+def ground_truth(ev: DataFrame, roots: DataFrame, search_names: tuple[str, ...] = SEARCH_NAMES) -> DataFrame:
     """session, event_index, source, query, files: each query with the files its session touched before the next one.
 
     roots has session, project_root; files are relative to it, first-seen
     order.  A query too short to be used still ends the one before it.
     """
-    call = (F.col("kind") == "tool_use") & is_search(F.col("tool"), search_tools)
+    call = (F.col("kind") == "tool_use") & names_search(F.col("tool"), search_names)
     said = (F.col("kind") == "user_message") & (F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")) != "") & ~F.regexp_replace("text", r"^\s+", "").startswith("[")
     asks = call | F.coalesce(said, F.lit(False))
     rows = ev.withColumns({"asks": asks, "win": F.count_if(asks).over(_up_to())}).where("win > 0")
     query = F.when(call, F.nullif(F.trim(F.regexp_replace(F.coalesce("query", F.lit("")), r"^\s+|\s+$", "")), F.lit(""))).otherwise(T.first_sentence(F.col("text")))
     root = F.regexp_replace("project_root", "/+$", "")
-    inside = F.col("path").startswith(F.concat(root, F.lit("/"))) & (F.length("path") > F.length(root) + 1)
-    rel = F.when((F.col("kind") == "tool_use") & F.col("tool").isin(*FILE_TOOLS) & inside, F.substring(F.col("path"), F.length(root) + 2, F.length("path")))
+    inside = F.col("file_path").startswith(F.concat(root, F.lit("/"))) & (F.length("file_path") > F.length(root) + 1)
+    rel = F.when((F.col("kind") == "tool_use") & F.col("tool").isin(*FILE_TOOLS) & inside, F.substring(F.col("file_path"), F.length(root) + 2, F.length("file_path")))
     rows = rows.join(roots, "session", "left").select("session", "event_index", "win", "asks", F.when(F.col("asks"), query).alias("query"), F.when(call, "search_call").otherwise("user_message").alias("source"), rel.alias("rel"))
     out = rows.groupBy("session", "win").agg(
         F.min(F.when(F.col("asks"), F.col("event_index"))).alias("event_index"),
@@ -480,16 +533,43 @@ def ground_truth(ev: DataFrame, roots: DataFrame, search_tools: tuple[str, ...]
 
 
 def merged_truth(truth: DataFrame, roots: DataFrame) -> DataFrame:
-    """project_root, query (first spelling), source, sessions, files: queries of one project that differ by case only, merged."""
+    """project_root, query (first spelling), source, sessions, files, first_session, first_index: queries of one project that differ by case only, merged.
+
+    Files are folded to their first place before they are listed, so a popular
+    query gathers its distinct files, not all its askings.
+    """
     rows = truth.join(roots, "session").withColumn("key", F.lower("query"))
     order = F.struct("session", "event_index")
-    listed = F.sort_array(F.collect_list(F.struct("session", "event_index", "files")))
-    return rows.groupBy("project_root", "key").agg(
-        F.min_by("query", order).alias("query"),
-        F.min("source").alias("source"),
-        F.count_distinct("session").alias("sessions"),
-        F.array_distinct(F.flatten(F.transform(listed, lambda x: x["files"]))).alias("files"),
-    ).drop("key")
+    seen = rows.select("project_root", "key", "session", "event_index", F.posexplode("files").alias("i", "file"))
+    firsts = seen.groupBy("project_root", "key", "file").agg(F.min(F.struct("session", "event_index", "i")).alias("at"))
+    files = firsts.groupBy("project_root", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("files"))
+    out = rows.groupBy("project_root", "key").agg(F.min(F.struct(order.alias("o"), "query")).alias("m"), F.min("source").alias("source"), F.count_distinct("session").alias("sessions"))
+    none = F.array().cast("array<string>")
+    return out.join(files, ["project_root", "key"], "left").select(
+        "project_root", F.col("m.query").alias("query"), "source", "sessions", F.coalesce("files", none).alias("files"), F.col("m.o.session").alias("first_session"), F.col("m.o.event_index").alias("first_index")
+    )
+
+
+def retained_queries(merged: DataFrame, most: int = 10) -> DataFrame:
+    """The ``most`` best queries of each project from ``merged_truth``, with their place.
+
+    Search calls come first, then queries that have files, in order of their
+    first asking; of the messages those stay that have files or look like a
+    question on code.
+    """
+    rows = merged.where((F.col("source") == "search_call") | (F.size("files") > 0) | T.entity_shaped(F.col("query")))
+    order = Window.partitionBy("project_root").orderBy((F.col("source") != "search_call").cast("int"), (F.size("files") == 0).cast("int"), "first_session", "first_index")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def asked_queries(ev: DataFrame, search_names: tuple[str, ...] = SEARCH_NAMES) -> DataFrame:
+    """session, query, place: the distinct queries of each session, those of search calls before first sentences of messages, whatever the case, first spelling kept."""
+    call = (F.col("kind") == "tool_use") & names_search(F.col("tool"), search_names) & (F.col("query") != "")
+    query = F.when(call, F.regexp_replace("query", r"^\s+|\s+$", "")).when(F.col("kind") == "user_message", T.first_sentence(F.col("text")))
+    rows = ev.select("session", "event_index", F.when(call, 0).otherwise(1).alias("rank"), query.alias("query")).where("query is not null")
+    first = rows.groupBy("session", F.lower("query").alias("key")).agg(F.min(F.struct("rank", "event_index", "query")).alias("m"))
+    place = F.row_number().over(Window.partitionBy("session").orderBy("m.rank", "m.event_index"))
+    return first.select("session", F.col("m.query").alias("query"), place.cast("bigint").alias("place"))
 
 
 def recent(rows: DataFrame, when: str, now: str, days: int) -> DataFrame:

@@ -15,6 +15,7 @@ from tesselog.session import table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+SEARCHES = "coalesce(contains(regexp_replace(lower({}), '[^a-z0-9]', '', 'g'), 'searchchunks'), false)"
 NOW = "2026-03-01T00:00:00Z"  # the time that stands for the present in queries on recent sessions
 TOOLS = "('search_chunks', 'find_related')"
 
@@ -30,7 +31,9 @@ def query(sql: str | None = None):
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "raw_lines").select("line_id", "file", "line_no", "value").distinct()
+    """Each line once: copies meet by line_id and a hash, not by their text."""
+    lines = table(spark, sf_dir, "raw_lines").select("line_id", "file", "line_no", "value")
+    return lines.withColumn("h", F.xxhash64("value")).dropDuplicates(["line_id", "file", "line_no", "h"]).drop("h")
 
 
 def log_events(spark: SparkSession, sf_dir: str, narrow_usage: bool = False) -> DataFrame:
@@ -48,6 +51,18 @@ def _str(j: str, path: str) -> str:
     return f"CASE WHEN json_type({j}, '{path}') = 'VARCHAR' THEN json_extract_string({j}, '{path}') END"
 
 
+def _num(path: str) -> str:
+    return f"CASE WHEN json_type(v, '{path}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN trunc(json_extract_string(v, '{path}')::DOUBLE)::BIGINT END"
+
+
+def _usage(way: str) -> str:
+    """Tokens of a line: told by itself, else by its usage, else by its message's usage."""
+    name = {"in": ("tokensIn", "input_tokens", "inputTokens"), "out": ("tokensOut", "output_tokens", "outputTokens")}[way]
+    told = "json_type(v, '$.tokensIn') IN ('UBIGINT', 'BIGINT', 'DOUBLE') OR json_type(v, '$.tokensOut') IN ('UBIGINT', 'BIGINT', 'DOUBLE')"
+    pick = lambda at: f"coalesce({_num(f'{at}.{name[1]}')}, {_num(f'{at}.{name[2]}')})"
+    return f"CASE WHEN {told} THEN {_num('$.' + name[0])} WHEN json_type(v, '$.usage') IN ('OBJECT', 'ARRAY') THEN {pick('$.usage')} ELSE {pick('$.message.usage')} END"
+
+
 EVENTS = f"""ln AS (SELECT DISTINCT line_id, file, line_no, value FROM raw_lines),
 js AS (SELECT file, line_no, CASE WHEN json_valid(value) THEN value::JSON END AS v FROM ln),
 ps AS (SELECT file, line_no, v, coalesce(json_type(v) = 'OBJECT', false) AS obj, {_str('v', '$.type')} AS type, json_type(v, '$.message') AS mt, json_type(v, '$.message.content') AS ct, {_str('v', '$.timestamp')} AS ts FROM js),
@@ -58,14 +73,15 @@ bt AS (SELECT file, line_no, i, b, {_str('b', '$.type')} AS t, json_type(b) AS k
 jt AS (SELECT file, line_no, string_agg(CASE WHEN k = 'VARCHAR' THEN json_extract_string(b, '$') WHEN t = 'text' THEN coalesce({_str('b', '$.text')}, '') WHEN t = 'tool_use' THEN '[tool_use:' || coalesce({_str('b', '$.name')}, 'unknown') || ']' ELSE '' END, '' ORDER BY i) AS txt,
  count(*) FILTER (t IN ('tool_use', 'tool_result')) AS calls FROM bt GROUP BY 1, 2),
 e0 AS (SELECT file, line_no, 0 AS sub, CASE form WHEN 'string' THEN CASE type WHEN 'user' THEN 'user_message' ELSE 'assistant_message' END WHEN 'array' THEN CASE type WHEN 'user' THEN 'user_message' ELSE 'assistant_message' END ELSE form END AS kind,
- CASE form WHEN 'string' THEN json_extract_string(v, '$.message.content') WHEN 'array' THEN coalesce(txt, '') END AS text, NULL::VARCHAR AS tool, NULL::BOOLEAN AS is_error, NULL::VARCHAR AS output, NULL::VARCHAR AS output_kind, NULL::VARCHAR AS command, NULL::VARCHAR AS path, NULL::VARCHAR AS query, ts
+ CASE form WHEN 'string' THEN json_extract_string(v, '$.message.content') WHEN 'array' THEN coalesce(txt, '') END AS text, NULL::VARCHAR AS tool, NULL::BOOLEAN AS is_error, NULL::VARCHAR AS output, NULL::VARCHAR AS output_kind, NULL::VARCHAR AS command, NULL::VARCHAR AS path, NULL::VARCHAR AS file_path, NULL::VARCHAR AS query, ts
  FROM fm LEFT JOIN jt USING (file, line_no) WHERE form <> 'array' OR coalesce(txt, '') <> '' OR coalesce(calls, 0) = 0
 UNION ALL SELECT bt.file, bt.line_no, i, t, NULL, CASE WHEN t = 'tool_use' THEN {_str('b', '$.name')} END, CASE WHEN t = 'tool_result' THEN CASE json_type(b, '$.is_error') WHEN 'BOOLEAN' THEN (b->>'$.is_error')::BOOLEAN END END,
  CASE WHEN t = 'tool_result' THEN CASE WHEN json_type(b, '$.content') = 'VARCHAR' THEN json_extract_string(b, '$.content') ELSE json_extract(b, '$.content')::VARCHAR END END, CASE WHEN t = 'tool_result' THEN json_type(b, '$.content') END,
- CASE WHEN t = 'tool_use' THEN {_str('b', '$.input.command')} END, CASE WHEN t = 'tool_use' THEN {_PATH} END, CASE WHEN t = 'tool_use' THEN {_str('b', '$.input.query')} END, fm.ts FROM bt JOIN fm USING (file, line_no) WHERE t IN ('tool_use', 'tool_result')),
-ev AS (SELECT e0.file AS session, row_number() OVER (PARTITION BY e0.file ORDER BY e0.line_no, sub) - 1 AS event_index, e0.line_no, kind, text, tool, is_error, output, output_kind, command, path, query, e0.ts,
- CASE WHEN kind = 'assistant_message' THEN try_cast(json_extract_string(fm.v, '$.message.usage.input_tokens') AS BIGINT) END AS tokens_in, CASE WHEN kind = 'assistant_message' THEN try_cast(json_extract_string(fm.v, '$.message.usage.output_tokens') AS BIGINT) END AS tokens_out,
- CASE WHEN kind = 'assistant_message' THEN nullif({_str('fm.v', '$.message.model')}, '') END AS model FROM e0 JOIN fm ON fm.file = e0.file AND fm.line_no = e0.line_no)"""
+ CASE WHEN t = 'tool_use' THEN {_str('b', '$.input.command')} END, CASE WHEN t = 'tool_use' THEN {_PATH} END, CASE WHEN t = 'tool_use' THEN {_str('b', '$.input.file_path')} END, CASE WHEN t = 'tool_use' THEN {_str('b', '$.input.query')} END, fm.ts FROM bt JOIN fm USING (file, line_no) WHERE t IN ('tool_use', 'tool_result')),
+ev AS (SELECT e0.file AS session, row_number() OVER (PARTITION BY e0.file ORDER BY e0.line_no, sub) - 1 AS event_index, e0.line_no, kind, text, tool, is_error, output, output_kind, command, path, file_path, query, e0.ts,
+ CASE WHEN kind = 'assistant_message' THEN {_usage('in')} END AS tokens_in, CASE WHEN kind = 'assistant_message' THEN {_usage('out')} END AS tokens_out,
+ CASE WHEN kind = 'assistant_message' THEN {_num('$.message.usage.input_tokens')} END AS replay_in, CASE WHEN kind = 'assistant_message' THEN {_num('$.message.usage.output_tokens')} END AS replay_out,
+ CASE WHEN kind = 'assistant_message' THEN coalesce(nullif({_str('fm.v', '$.model')}, ''), nullif({_str('fm.v', '$.message.model')}, '')) END AS model FROM e0 JOIN fm ON fm.file = e0.file AND fm.line_no = e0.line_no)"""
 
 W = "PARTITION BY session ORDER BY event_index"
 PRIOR = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -146,7 +162,7 @@ def top_sessions(spark, sf_dir):
 _COMMAND = " OR ".join(f"regexp_matches(command, '{p}')" for p in (r"(?i)^\s*(grep|rg|ag)\b", r"(?i)^\s*(find|fd)\b", r"(?i)^\s*(cat|head|tail|less|more)\b", r"(?i)^\s*sed\s+-n\b"))
 REPLAY = f"""rp0 AS (SELECT *, coalesce(kind = 'tool_use' AND (tool IN ('Read', 'Grep', 'Glob') OR tool = 'Bash' AND ({_COMMAND})), false) AS use, coalesce(sum(CASE WHEN kind = 'tool_result' THEN 1 ELSE 0 END) OVER {PRIOR}, 0) AS grp FROM ev),
 rp1 AS (SELECT *, kind = 'tool_result' AND coalesce(bool_or(use) OVER (PARTITION BY session, grp ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS replaced,
- CASE kind WHEN 'assistant_message' THEN CASE WHEN tokens_in IS NOT NULL OR tokens_out IS NOT NULL THEN coalesce(tokens_in, 0) + coalesce(tokens_out, 0) ELSE ceil(length(coalesce(text, '')) / 4.0)::BIGINT END
+ CASE kind WHEN 'assistant_message' THEN CASE WHEN replay_in IS NOT NULL OR replay_out IS NOT NULL THEN coalesce(replay_in, 0) + coalesce(replay_out, 0) ELSE ceil(length(coalesce(text, '')) / 4.0)::BIGINT END
  WHEN 'user_message' THEN ceil(length(coalesce(text, '')) / 4.0)::BIGINT WHEN 'tool_result' THEN ceil(length(coalesce(output, '')) / 4.0)::BIGINT ELSE 0 END AS actual FROM rp0),
 rp AS (SELECT session, event_index, kind, use AS replaceable, replaced, actual::BIGINT AS actual, (CASE WHEN replaced THEN 1500 ELSE actual END)::BIGINT AS counterfactual, text FROM rp1)"""
 _SNIP = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -165,32 +181,65 @@ def replay_totals(spark, sf_dir):
     return L.replay_totals(L.replay(log_events(spark, sf_dir, narrow_usage=True)))
 
 
-@query(
-    f"""WITH {EVENTS}, t0 AS (SELECT *, sum(CASE WHEN kind = 'user_message' THEN 1 ELSE 0 END) OVER {SO_FAR} AS turn FROM ev),
-t1 AS (SELECT *, sum(CASE kind WHEN 'tool_use' THEN 1 WHEN 'tool_result' THEN -1 ELSE 0 END) OVER (PARTITION BY session, turn ORDER BY event_index ROWS UNBOUNDED PRECEDING) AS s,
- last_value(CASE WHEN kind = 'tool_use' THEN tool END IGNORE NULLS) OVER (PARTITION BY session, turn ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ot, min(turn) OVER (PARTITION BY session) AS ft FROM t0),
-fs AS (SELECT session, turn, tool, min(event_index) AS i FROM t0 WHERE kind = 'tool_use' AND tool IS NOT NULL GROUP BY 1, 2, 3), fl AS (SELECT session, turn, string_agg(tool, ',' ORDER BY i) AS tools FROM fs GROUP BY 1, 2),
+def _unwrap_sql(x: str) -> str:
+    inner = f"coalesce(json_extract_string({x}, '$.content[0].text'), json_extract_string({x}, '$[0].text'), CASE WHEN starts_with(ltrim({x}), '\"') THEN json_extract_string({x}, '$') END, {x})"
+    return f"CASE WHEN json_valid({x}) THEN {inner} ELSE {x} END"
+
+
+def _unwrapped(source: str, name: str) -> str:
+    """CTEs that end in ``name``: the rows of ``source`` with payload, the output unwrapped three times, and body, its array of results."""
+    return f"""{name}1 AS (SELECT *, {_unwrap_sql('output')} AS u1 FROM {source}), {name}2 AS (SELECT *, {_unwrap_sql('u1')} AS u2 FROM {name}1), {name}3 AS (SELECT *, {_unwrap_sql('u2')} AS payload FROM {name}2),
+{name}4 AS (SELECT *, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload::JSON) = 'ARRAY' THEN payload::JSON ELSE coalesce(json_extract(payload::JSON, '$.results'), json_extract(payload::JSON, '$.hits')) END END AS b0 FROM {name}3),
+{name} AS (SELECT * EXCLUDE (u1, u2, b0), CASE WHEN json_type(b0) = 'ARRAY' THEN b0 END AS body FROM {name}4)"""
+
+
+_TEXTS = "list_sum(list_transform(from_json(output, '[\"json\"]'), lambda x: CASE json_type(x) WHEN 'VARCHAR' THEN length(json_extract_string(x, '$')) WHEN 'OBJECT' THEN CASE WHEN json_type(x, '$.text') = 'VARCHAR' THEN length(json_extract_string(x, '$.text')) ELSE 0 END ELSE 0 END))"
+_SIZE = f"CASE output_kind WHEN 'VARCHAR' THEN length(output) WHEN 'OBJECT' THEN length(output) WHEN 'ARRAY' THEN coalesce({_TEXTS}, 0) ELSE 0 END"
+TURNS = f"""tt0 AS (SELECT *, sum(CASE WHEN kind = 'user_message' THEN 1 ELSE 0 END) OVER {SO_FAR} AS turn FROM ev),
+tt1 AS (SELECT *, sum(CASE kind WHEN 'tool_use' THEN 1 WHEN 'tool_result' THEN -1 ELSE 0 END) OVER (PARTITION BY session, turn ORDER BY event_index ROWS UNBOUNDED PRECEDING) AS s,
+ last_value(CASE WHEN kind = 'tool_use' THEN tool END IGNORE NULLS) OVER (PARTITION BY session, turn ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ot, min(turn) OVER (PARTITION BY session) AS ft FROM tt0),
+{_unwrapped("tt1", "tu")},
+fs AS (SELECT session, turn, tool, min(event_index) AS i FROM tt0 WHERE kind = 'tool_use' AND tool IS NOT NULL GROUP BY 1, 2, 3), fl AS (SELECT session, turn, string_agg(tool, ',' ORDER BY i) AS tools FROM fs GROUP BY 1, 2),
 g AS (SELECT session, turn, count(*) AS events, min(event_index) AS first_event, arg_min(coalesce(ts, '~'), event_index) AS st, arg_max(ts, event_index) FILTER (ts IS NOT NULL) AS ended_at, coalesce(bool_or(is_error), false) AS has_error,
- arg_max(s, event_index) - least(0, min(s)) > 0 AS interrupted, count(*) FILTER (kind = 'tool_use' AND tool IN {TOOLS}) AS searches,
- sum(CASE WHEN kind = 'tool_result' AND ot = 'Read' THEN coalesce(length(output), 0) ELSE 0 END)::BIGINT AS read_bytes, sum(CASE WHEN kind = 'tool_result' AND ot = 'Bash' THEN coalesce(length(output), 0) ELSE 0 END)::BIGINT AS bash_bytes, min(ft) AS ft FROM t1 GROUP BY 1, 2)
-SELECT session, events, first_event, nullif(st, '~') AS started_at, ended_at, has_error, interrupted, coalesce(tools, '') AS tools, searches, read_bytes, bash_bytes,
- (CASE WHEN turn = 0 THEN 0 WHEN ft = 0 THEN turn + 1 ELSE turn END)::BIGINT AS turn_no, searches = 0 AND read_bytes + bash_bytes >= 5000 AS missed, CASE WHEN interrupted THEN 'interrupted' WHEN has_error THEN 'errored' ELSE 'ok' END AS outcome FROM g LEFT JOIN fl USING (session, turn)"""
-)
+ arg_max(s, event_index) - least(0, min(s)) > 0 AS interrupted, count(*) FILTER (kind = 'tool_use' AND {SEARCHES.format("tool")}) AS searches,
+ sum(CASE WHEN kind = 'tool_result' AND {SEARCHES.format("ot")} THEN coalesce(json_array_length(body), 0) ELSE 0 END)::BIGINT AS search_chunks,
+ sum(CASE WHEN kind = 'tool_result' AND ot = 'Read' THEN {_SIZE} ELSE 0 END)::BIGINT AS read_bytes, sum(CASE WHEN kind = 'tool_result' AND ot = 'Bash' THEN {_SIZE} ELSE 0 END)::BIGINT AS bash_bytes, min(ft) AS ft FROM tu GROUP BY 1, 2),
+turns AS (SELECT session, events, first_event, nullif(st, '~') AS started_at, ended_at, has_error, interrupted, coalesce(tools, '') AS tools, searches, search_chunks, read_bytes, bash_bytes,
+ (CASE WHEN turn = 0 THEN 0 WHEN ft = 0 THEN turn + 1 ELSE turn END)::BIGINT AS turn_no, searches = 0 AND read_bytes + bash_bytes >= 5000 AS missed, CASE WHEN interrupted THEN 'interrupted' WHEN has_error THEN 'errored' ELSE 'ok' END AS outcome FROM g LEFT JOIN fl USING (session, turn))"""
+
+
+@query(f"WITH {EVENTS}, {TURNS} SELECT * FROM turns")
 def turns(spark, sf_dir):
-    return L.turns(log_events(spark, sf_dir)).drop("search_chunks")
+    return L.turns(log_events(spark, sf_dir))
 
 
 @query(
-    f"""WITH {EVENTS}, {SAVINGS}, t0 AS (SELECT *, sum(CASE WHEN kind = 'user_message' THEN 1 ELSE 0 END) OVER {SO_FAR} AS turn FROM ev), g AS (SELECT session, turn, arg_min(coalesce(ts, '~'), event_index) AS st, arg_max(ts, event_index) FILTER (ts IS NOT NULL) AS en,
-count(*) FILTER (kind = 'tool_use' AND tool IN {TOOLS}) AS n, min(min(turn)) OVER (PARTITION BY session) AS ft FROM t0 GROUP BY 1, 2)
-SELECT session, (CASE WHEN turn = 0 THEN 0 WHEN ft = 0 THEN turn + 1 ELSE turn END)::BIGINT AS turn_no, round(epoch(try_cast(en AS TIMESTAMP)) - epoch(try_cast(nullif(st, '~') AS TIMESTAMP)), 3) AS seconds,
-CASE WHEN searches > 0 AND n > 0 THEN floor(tokens_saved * least(1.0::DOUBLE, n::DOUBLE / searches) + 0.5)::BIGINT END AS saved FROM g JOIN sv USING (session)"""
+    f"""WITH {EVENTS}, {SAVINGS}, {TURNS}
+SELECT session, turn_no, round(epoch(try_cast(ended_at AS TIMESTAMP)) - epoch(try_cast(started_at AS TIMESTAMP)), 3) AS seconds,
+CASE WHEN tokens_saved > 0 AND chunks > 0 AND search_chunks > 0 THEN floor(tokens_saved * least(1.0::DOUBLE, search_chunks::DOUBLE / chunks) + 0.5)::BIGINT END AS saved FROM turns JOIN sv USING (session)"""
 )
 def turn_savings(spark, sf_dir):
     ev = log_events(spark, sf_dir)
     return L.turn_savings(L.turns(ev), L.savings(ev, table(spark, sf_dir, "model_prices")))
 
 
+_MS = "(epoch_ms(try_cast(ended_at AS TIMESTAMP)) - epoch_ms(try_cast(started_at AS TIMESTAMP)))"
+
+
+@query(
+    f"""WITH {EVENTS}, {TURNS}, f AS (SELECT session, turn_no, {_MS} AS ms, read_bytes + bash_bytes AS bytes FROM turns), h AS (SELECT *, floor(ms / 1000.0::DOUBLE + 0.5)::BIGINT AS s, floor(bytes / 4.0::DOUBLE + 0.5)::BIGINT AS t FROM f)
+SELECT session, turn_no, CASE WHEN ms IS NULL OR ms < 0 THEN '' WHEN ms < 1000 THEN ms || 'ms' WHEN s < 60 THEN s || 's' ELSE (s // 60) || 'm ' || (s % 60) || 's' END AS lasted,
+CASE WHEN t >= 10000 THEN format('{{:.0f}}k', t / 1000.0::DOUBLE) WHEN t >= 1000 THEN format('{{:.1f}}k', t / 1000.0::DOUBLE) ELSE t::VARCHAR END AS context,
+CASE WHEN bytes < 1000 THEN bytes::VARCHAR WHEN bytes < 1000000 THEN format('{{:.1f}}k', bytes / 1000.0::DOUBLE) ELSE format('{{:.2f}}M', bytes / 1000000.0::DOUBLE) END AS size,
+substring(regexp_extract(session, '([^/]+)/*$', 1), 1, 8) AS short FROM h"""
+)
+def turn_badges(spark, sf_dir):
+    t = L.turns(log_events(spark, sf_dir))
+    ms = F.unix_millis(F.col("ended_at").try_cast("timestamp")) - F.unix_millis(F.col("started_at").try_cast("timestamp"))
+    size = F.col("read_bytes") + F.col("bash_bytes")
+    return t.select("session", "turn_no", T.duration(ms).alias("lasted"), T.token_badge(size / 4).alias("context"), T.human_count(size).alias("size"), T.short_id(T.basename(F.col("session"))).alias("short"))
+
+
 PAIRS = f"""k0 AS (SELECT session, event_index, kind, tool, output, output_kind, sum(CASE kind WHEN 'tool_use' THEN 1 ELSE -1 END) OVER {SO_FAR} AS s FROM ev WHERE kind = 'tool_result' OR kind = 'tool_use' AND tool IS NOT NULL),
 k1 AS (SELECT *, least(0, min(s) OVER {SO_FAR}) AS low, coalesce(least(0, min(s) OVER {PRIOR}), 0) AS was FROM k0),
 k2 AS (SELECT *, CASE WHEN kind = 'tool_use' THEN s - low WHEN s < was THEN 0 ELSE s - low + 1 END AS level FROM k1),
@@ -203,16 +252,9 @@ def tool_pairs(spark, sf_dir):
     return L.tool_pairs(log_events(spark, sf_dir)).drop("output", "output_kind")
 
 
-def _unwrap_sql(x: str) -> str:
-    inner = f"coalesce(json_extract_string({x}, '$.content[0].text'), json_extract_string({x}, '$[0].text'), CASE WHEN starts_with(ltrim({x}), '\"') THEN json_extract_string({x}, '$') END, {x})"
-    return f"CASE WHEN json_valid({x}) THEN {inner} ELSE {x} END"
-
-
-HITS = f"""{PAIRS}, nr AS (SELECT session, event_index, last_value(CASE WHEN kind = 'tool_use' AND tool IN {TOOLS} THEN event_index END IGNORE NULLS) OVER {PRIOR} AS near FROM ev),
-u1 AS (SELECT * EXCLUDE (output), {_unwrap_sql('output')} AS output FROM pairs), u2 AS (SELECT * EXCLUDE (output), {_unwrap_sql('output')} AS output FROM u1), u3 AS (SELECT * EXCLUDE (output), {_unwrap_sql('output')} AS output FROM u2),
-bd AS (SELECT p.session, result_index, coalesce(near, result_index) AS search_index, CASE WHEN json_valid(output) THEN CASE WHEN json_type(output::JSON) = 'ARRAY' THEN output::JSON ELSE coalesce(json_extract(output::JSON, '$.results'), json_extract(output::JSON, '$.hits')) END END AS body
- FROM u3 p JOIN nr ON nr.session = p.session AND nr.event_index = result_index WHERE tool IN {TOOLS}),
-h0 AS (SELECT session, result_index, search_index, generate_subscripts(a, 1) - 1 AS chunk_index, unnest(a) AS h FROM (SELECT *, from_json(body, '["json"]') AS a FROM bd WHERE json_type(body) = 'ARRAY')),
+HITS = f"""{PAIRS}, nr AS (SELECT session, event_index, last_value(CASE WHEN kind = 'tool_use' AND {SEARCHES.format("tool")} THEN event_index END IGNORE NULLS) OVER {PRIOR} AS near FROM ev), {_unwrapped("pairs", "hu")},
+bd AS (SELECT p.session, result_index, coalesce(near, result_index) AS search_index, body FROM hu p JOIN nr ON nr.session = p.session AND nr.event_index = result_index WHERE {SEARCHES.format("tool")}),
+h0 AS (SELECT session, result_index, search_index, generate_subscripts(a, 1) - 1 AS chunk_index, unnest(a) AS h FROM (SELECT *, from_json(body, '["json"]') AS a FROM bd WHERE body IS NOT NULL)),
 hits AS (SELECT session, result_index, search_index, chunk_index, {_str('h', '$.filePath')} AS file_path FROM h0 WHERE json_type(h, '$.filePath') = 'VARCHAR')"""
 
 
@@ -224,15 +266,54 @@ def search_hits(spark, sf_dir):
 _SEG = "list_filter(string_split(replace({}, chr(92), '/'), '/'), lambda s: s <> '')"
 
 
+def _linked(hits: str, used: str) -> str:
+    """Rows of ``used`` (session, event_index, target) with the hit they follow from; an access without one is kept."""
+    return f"""u AS (SELECT session, event_index, target, {_SEG.format('target')} AS us FROM {used}),
+x AS (SELECT u.session, u.event_index, search_index, chunk_index, file_path, target = file_path AS exact, result_index, us, {_SEG.format('file_path')} AS hs FROM u JOIN {hits} h ON h.session = u.session AND result_index < u.event_index),
+y AS (SELECT *, least(len(us), len(hs)) AS n FROM x),
+z AS (SELECT session, event_index, search_index, chunk_index, file_path FROM (SELECT *, row_number() OVER (PARTITION BY session, event_index ORDER BY exact DESC, result_index DESC, chunk_index DESC) AS rn FROM y
+WHERE exact OR us = hs OR n >= 2 AND us[len(us) - n + 1 : len(us)] = hs[len(hs) - n + 1 : len(hs)]) WHERE rn = 1)
+SELECT u.session, u.event_index, target, search_index, chunk_index, file_path FROM u LEFT JOIN z USING (session, event_index)"""
+
+
+@query(f"WITH {EVENTS}, {HITS}, ac AS (SELECT session, event_index, path AS target FROM ev WHERE kind = 'tool_use' AND tool IN ('Read', 'Edit', 'MultiEdit', 'Write', 'NotebookEdit') AND path <> ''), {_linked('hits', 'ac')}")
+def search_provenance(spark, sf_dir):
+    """Every access to a file with the search it follows from, null where there is none."""
+    ev = log_events(spark, sf_dir)
+    used = L.accesses(ev)
+    return used.join(L.provenance(ev), ["session", "event_index"], "left").withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
+
+
 @query(
-    f"""WITH {EVENTS}, {HITS}, u AS (SELECT session, event_index, path AS target, {_SEG.format('path')} AS us FROM ev WHERE kind = 'tool_use' AND tool IN ('Read', 'Edit', 'MultiEdit', 'Write', 'NotebookEdit') AND path <> ''),
-x AS (SELECT u.session, u.event_index, search_index, chunk_index, file_path, target = file_path AS exact, result_index, us, {_SEG.format('file_path')} AS hs FROM u JOIN hits h ON h.session = u.session AND result_index < u.event_index),
-y AS (SELECT *, least(len(us), len(hs)) AS n FROM x)
-SELECT session, event_index, search_index, chunk_index, file_path FROM (SELECT *, row_number() OVER (PARTITION BY session, event_index ORDER BY exact DESC, result_index DESC, chunk_index DESC) AS rn FROM y
-WHERE exact OR us = hs OR n >= 2 AND us[len(us) - n + 1 : len(us)] = hs[len(hs) - n + 1 : len(hs)]) WHERE rn = 1"""
+    f"""WITH {EVENTS}, {HITS} SELECT session, result_index, json_array_length(body)::BIGINT AS results, CASE WHEN json_type(CASE WHEN json_valid(payload) THEN payload::JSON END, '$.latencyMs') IS NOT NULL THEN try_cast(json_extract_string(payload, '$.latencyMs') AS DOUBLE) END AS latency
+FROM hu WHERE {SEARCHES.format("tool")}"""
 )
-def search_provenance(spark, sf_dir):
-    return L.provenance(log_events(spark, sf_dir)).withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
+def search_results(spark, sf_dir):
+    """How many results each answer to a search holds, and the latency it tells."""
+    pairs = L.tool_pairs(log_events(spark, sf_dir)).where(L.names_search(F.col("tool")))
+    return pairs.select("session", "result_index", L.result_count(F.col("output")).alias("results"), L.latency(F.col("output")).alias("latency"))
+
+
+@query(
+    f"""WITH {EVENTS}, iu AS (SELECT file AS session, line_no, json_extract(b, '$.input') AS inp, row_number() OVER (PARTITION BY file, line_no ORDER BY i) AS k FROM bt WHERE t = 'tool_use'),
+eu AS (SELECT session, event_index, line_no, tool, row_number() OVER (PARTITION BY session, line_no ORDER BY event_index) AS k FROM ev WHERE kind = 'tool_use'),
+q AS (SELECT session, event_index, {_str('inp', '$.query')} AS q, CASE WHEN json_type(inp, '$.hybrid') = 'BOOLEAN' AND json_extract_string(inp, '$.hybrid') = 'false' THEN 'bm25' ELSE 'hybrid' END AS mode,
+ coalesce(CASE WHEN json_type(inp, '$.top') IN ('UBIGINT', 'BIGINT') THEN json_extract_string(inp, '$.top') END, '10') AS top FROM eu JOIN iu USING (session, line_no, k) WHERE {SEARCHES.format("tool")})
+SELECT session, event_index, '"' || CASE WHEN length(q) > 60 THEN substring(q, 1, 59) || '…' ELSE q END || '"  ·  ' || mode || '  ·  top=' || top AS label FROM q"""
+)
+def search_labels(spark, sf_dir):
+    calls = log_events(spark, sf_dir).where((F.col("kind") == "tool_use") & L.names_search(F.col("tool")))
+    return calls.select("session", "event_index", L.search_label(F.col("input")).alias("label"))
+
+
+@query(
+    f"""WITH {EVENTS}, {REPLAY}, n AS (SELECT session, event_index, kind, replaceable, lead(kind) OVER ({W}) AS nk, lead(event_index) OVER ({W}) AS ni, lead(actual) OVER ({W}) AS na, lead(counterfactual) OVER ({W}) AS nc FROM rp),
+m AS (SELECT *, coalesce(nk = 'tool_result' AND ni = event_index + 1, false) AS met FROM n WHERE kind = 'tool_use' AND replaceable)
+SELECT m.session, m.event_index, tool, CASE WHEN met THEN na ELSE 0 END AS actual, CASE WHEN met THEN nc ELSE 0 END AS counterfactual FROM m JOIN ev ON ev.session = m.session AND ev.event_index = m.event_index"""
+)
+def replay_pairs(spark, sf_dir):
+    ev = log_events(spark, sf_dir, narrow_usage=True)
+    return L.use_rows(ev, L.replay(ev))
 
 
 def _projects_sql(grouped: bool) -> str:
@@ -265,11 +346,11 @@ def prefix_roots(spark, sf_dir):
 
 _SENTENCE = r"regexp_extract(f, '^[^.?!]{1,200}[.?!]?')"
 TRUTH = f"""sm AS (SELECT file AS session, arg_min(cwd, line_no) FILTER (cwd IS NOT NULL) AS root FROM (SELECT file, line_no, nullif({_str('v', '$.cwd')}, '') AS cwd FROM js) GROUP BY 1),
-a0 AS (SELECT *, coalesce(kind = 'tool_use' AND tool IN {TOOLS}, false) AS call, coalesce(kind = 'user_message' AND regexp_replace(text, '\\s+', '', 'g') <> '' AND NOT starts_with(regexp_replace(text, '^\\s+', ''), '['), false) AS said, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM ev),
+a0 AS (SELECT *, (kind = 'tool_use' AND {SEARCHES.format('tool')}) AS call, coalesce(kind = 'user_message' AND regexp_replace(text, '\\s+', '', 'g') <> '' AND NOT starts_with(regexp_replace(text, '^\\s+', ''), '['), false) AS said, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM ev),
 a1 AS (SELECT *, sum(CASE WHEN call OR said THEN 1 ELSE 0 END) OVER {SO_FAR} AS win, trim(substring(CASE WHEN {_SENTENCE} = '' THEN f ELSE {_SENTENCE} END, 1, 200)) AS q FROM a0),
 a2 AS (SELECT *, CASE WHEN call THEN nullif(trim(coalesce(query, '')), '') WHEN said AND length(q) >= 6 THEN q END AS qq FROM a1 WHERE win > 0),
-fl AS (SELECT a2.session, win, event_index, substring(path, length(regexp_replace(root, '/+$', '')) + 2) AS rel FROM a2 JOIN sm USING (session) WHERE kind = 'tool_use' AND tool IN ('Read', 'Edit', 'Write', 'MultiEdit')
- AND starts_with(path, regexp_replace(root, '/+$', '') || '/') AND length(path) > length(regexp_replace(root, '/+$', '')) + 1),
+fl AS (SELECT a2.session, win, event_index, substring(file_path, length(regexp_replace(root, '/+$', '')) + 2) AS rel FROM a2 JOIN sm USING (session) WHERE kind = 'tool_use' AND tool IN ('Read', 'Edit', 'Write', 'MultiEdit', 'NotebookEdit')
+ AND starts_with(file_path, regexp_replace(root, '/+$', '') || '/') AND length(file_path) > length(regexp_replace(root, '/+$', '')) + 1),
 ff AS (SELECT session, win, rel, min(event_index) AS i FROM fl GROUP BY 1, 2, 3), fg AS (SELECT session, win, list(rel ORDER BY i) AS files FROM ff GROUP BY 1, 2),
 truth AS (SELECT session, event_index, CASE WHEN call THEN 'search_call' ELSE 'user_message' END AS source, qq AS query, coalesce(files, []) AS files FROM a2 LEFT JOIN fg USING (session, win) WHERE (call OR said) AND qq IS NOT NULL)"""
 
@@ -279,14 +360,41 @@ def ground_truth(spark, sf_dir):
     return L.ground_truth(log_events(spark, sf_dir), roots(spark, sf_dir)).withColumn("files", F.array_join("files", ","))
 
 
+MERGED = f"""{TRUTH}, j AS (SELECT truth.*, root FROM truth JOIN sm USING (session) WHERE root IS NOT NULL), o AS (SELECT root, lower(query) AS k, unnest(files) AS x, session, event_index FROM j),
+o1 AS (SELECT root, k, x, min((session, event_index)) AS at FROM o GROUP BY 1, 2, 3), fx AS (SELECT root, k, count(x) AS files FROM o1 GROUP BY 1, 2),
+merged AS (SELECT j.root AS project_root, arg_min(query, (session, event_index)) AS query, min(source) AS source, count(DISTINCT session) AS sessions, coalesce(any_value(fx.files), 0) AS files, min((session, event_index)) AS first
+ FROM j LEFT JOIN fx ON fx.root = j.root AND fx.k = lower(query) GROUP BY j.root, lower(query))"""
+
+
+@query(f"WITH {EVENTS}, {MERGED} SELECT project_root, query, source, sessions, files FROM merged")
+def merged_ground_truth(spark, sf_dir):
+    r = roots(spark, sf_dir)
+    return L.merged_truth(L.ground_truth(log_events(spark, sf_dir), r), r).select("project_root", "query", "source", "sessions", F.size("files").cast("bigint").alias("files"))
+
+
+_ENTITY = rf"(regexp_matches(query, '[A-Z][a-z]+[A-Z][a-z]') OR regexp_matches(query, '\b[a-z]+_[a-z_]+\b') OR regexp_matches(query, '\b[A-Za-z][A-Za-z0-9]*\.[A-Za-z][A-Za-z0-9]+') OR regexp_matches(query, '(?i)\b({T.CODE_WORDS})\b'))"
+
+
 @query(
-    f"""WITH {EVENTS}, {TRUTH}, j AS (SELECT truth.*, root FROM truth JOIN sm USING (session) WHERE root IS NOT NULL), o AS (SELECT root, lower(query) AS k, unnest(files) AS x, session, event_index FROM j),
-o1 AS (SELECT root, k, x, min((session, event_index)) AS at FROM o GROUP BY 1, 2, 3), fx AS (SELECT root, k, count(x) AS files FROM o1 GROUP BY 1, 2)
-SELECT j.root AS project_root, arg_min(query, (session, event_index)) AS query, min(source) AS source, count(DISTINCT session) AS sessions, coalesce(any_value(fx.files), 0) AS files FROM j LEFT JOIN fx ON fx.root = j.root AND fx.k = lower(query) GROUP BY j.root, lower(query)"""
+    f"""WITH {EVENTS}, {MERGED}, k AS (SELECT * FROM merged WHERE source = 'search_call' OR files > 0 OR {_ENTITY})
+SELECT project_root, query, source, files, row_number() OVER (PARTITION BY project_root ORDER BY CASE source WHEN 'search_call' THEN 0 ELSE 1 END, CASE WHEN files > 0 THEN 0 ELSE 1 END, first)::BIGINT AS place FROM k QUALIFY place <= 10"""
 )
-def merged_ground_truth(spark, sf_dir):
+def retained_queries(spark, sf_dir):
     r = roots(spark, sf_dir)
-    return L.merged_truth(L.ground_truth(log_events(spark, sf_dir), r), r).withColumn("files", F.size("files").cast("bigint"))
+    kept = L.retained_queries(L.merged_truth(L.ground_truth(log_events(spark, sf_dir), r), r))
+    return kept.select("project_root", "query", "source", F.size("files").cast("bigint").alias("files"), F.col("place").cast("bigint").alias("place"))
+
+
+_FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(
+    rf"""WITH {EVENTS}, c AS (SELECT session, event_index, 0 AS r, trim(query) AS q FROM ev WHERE kind = 'tool_use' AND {SEARCHES.format("tool")} AND query <> '' UNION ALL
+SELECT session, event_index, 1, q FROM (SELECT session, event_index, f, trim(substring(CASE WHEN {_SENTENCE} = '' THEN f ELSE {_SENTENCE} END, 1, 200)) AS q FROM (SELECT session, event_index, {_FLAT} AS f FROM ev WHERE kind = 'user_message')) WHERE f <> '' AND NOT starts_with(f, '[') AND length(q) >= 6),
+d AS (SELECT session, arg_min(q, (r, event_index)) AS query, min((r, event_index)) AS asked FROM c GROUP BY session, lower(q)) SELECT session, query, row_number() OVER (PARTITION BY session ORDER BY asked) AS place FROM d"""
+)
+def asked_queries(spark, sf_dir):
+    return L.asked_queries(log_events(spark, sf_dir))
 
 
 @query("SELECT id, project, updated_at FROM sessions WHERE try_cast(updated_at AS TIMESTAMP) >= TIMESTAMP '2026-01-30 00:00:00'")

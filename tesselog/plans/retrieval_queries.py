@@ -128,7 +128,7 @@ def dotted_names(spark, sf_dir):
 
 
 @query(
-    r"""WITH q AS (SELECT DISTINCT symbol_name AS text FROM chunks WHERE symbol_name IS NOT NULL UNION SELECT DISTINCT content FROM chunks WHERE length(content) < 60),
+    r"""WITH q AS (SELECT DISTINCT symbol_name AS text FROM chunks WHERE symbol_name IS NOT NULL UNION SELECT DISTINCT content FROM chunks WHERE content IS NOT NULL),
 p AS (SELECT text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM q)
 SELECT text, t <> '' AND (len(string_split(t, ' ')) = 1 OR (len(string_split(t, ' ')) < 3 AND regexp_matches(t, '_|-|[a-z0-9][A-Z]|[A-Z]+[A-Z][a-z]'))) AS symbol_like FROM p"""
 )

@@ -5,7 +5,7 @@ import pytest
 
 from tesselog.operators import logs as L
 
-EV = "session string, event_index bigint, kind string, text string, tool string, is_error boolean, output string, output_kind string, command string, path string, query string, ts string, tokens_in bigint, tokens_out bigint, model string"
+EV = "session string, event_index bigint, kind string, text string, tool string, is_error boolean, output string, output_kind string, command string, path string, file_path string, query string, ts string, tokens_in bigint, tokens_out bigint, model string"
 
 
 def events(spark, rows):
@@ -13,6 +13,7 @@ def events(spark, rows):
     names, at, out = [x.split()[0] for x in EV.split(", ")], {}, []
     for session, kind, fields in rows:
         i = at[session] = at.get(session, -1) + 1
+        fields = {"file_path": fields["path"], **fields} if "path" in fields else fields
         out.append(tuple({"session": session, "event_index": i, "kind": kind, **fields}.get(n) for n in names))
     return spark.createDataFrame(out, EV)
 
@@ -239,6 +240,103 @@ def test_ground_truth(spark):
     assert [(r.query, r.source, r.sessions, r.files) for r in merged] == [("fix the parser now.", "search_call", 1, ["a.py", "c.py", "d.py"])]
 
 
+def user(text="go", **f):
+    return ("s", "user_message", {"text": text, **f})
+
+
+@pytest.mark.parametrize(
+    "output,kind,size",
+    [
+        ("x" * 4990, "STRING", 4990),
+        (json.dumps([{"type": "text", "text": "x" * 4990}]), "ARRAY<OBJECT<text: STRING>>", 4990),
+        (json.dumps(["ab", {"text": "cde"}, {"text": 5}, 7, None]), "ARRAY<VARIANT>", 5),
+        ('{"a":1}', "OBJECT<a: BIGINT>", 7),
+        ("null", "VOID", 0),
+        (None, None, 0),
+        ("5", "BIGINT", 0),
+    ],
+)
+def test_size_of_a_result(spark, output, kind, size):
+    (turn,) = L.turns(events(spark, [user(), use("Read"), result(output, kind)])).collect()
+    assert (turn.read_bytes, turn.bash_bytes, turn.missed) == (size, 0, False)
+
+
+def test_heavy_context_is_the_sum_of_reads_and_commands(spark):
+    heavy = [user(), use("Read"), result("r" * 3000), use("Bash"), result("b" * 2000)]
+    assert [t.missed for t in L.turns(events(spark, heavy)).collect()] == [True]
+    assert [t.missed for t in L.turns(events(spark, [*heavy[:-1], result("b" * 1999)])).collect()] == [False]
+    assert [t.missed for t in L.turns(events(spark, [*heavy, use(SEARCH)])).collect()] == [False]
+    split = [user(), use("Read"), result("r" * 3000), user(), use("Bash"), result("b" * 2000)]
+    assert [t.missed for t in L.turns(events(spark, split)).collect()] == [False, False]
+
+
+def test_search_names_without_case_and_punctuation(spark):
+    names = ["search_chunks", "mcp__tool__search-chunks", "Search.Chunks", "searchChunks", "find_related", "search", "chunks_search", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "tool string")
+    assert [r[0] for r in df.select(L.names_search(df.tool)).collect()] == [True] * 4 + [False] * 5
+    assert [r[0] for r in df.select(L.names_search(df.tool, ("findrelated", "search"))).collect()] == [True] * 7 + [False] * 2
+    turn = L.turns(events(spark, [user(), use("mcp__x__search_chunks"), hits("a", "b")])).collect()[0]
+    assert (turn.searches, turn.search_chunks) == (1, 2)
+
+
+@pytest.mark.parametrize(
+    "output,count,latency",
+    [
+        ('{"results":[1,2],"latencyMs":12.5}', 2, 12.5),
+        ('{"hits":[{"filePath":"a"}]}', 1, None),
+        (json.dumps('{"results":[1]}'), 1, None),
+        (json.dumps({"content": [{"type": "text", "text": '{"results":[1,2,3],"latencyMs":4}'}]}), 3, 4.0),
+        (json.dumps({"content": [{"text": json.dumps({"content": [{"text": '{"results":[]}'}]})}]}), 0, None),
+        ('{"other":1}', None, None),
+        ("plain", None, None),
+        (None, None, None),
+    ],
+)
+def test_search_outputs(spark, output, count, latency):
+    df = spark.createDataFrame([(output,)], "o string")
+    assert tuple(df.select(L.result_count(df.o), L.latency(df.o)).first()) == (count, latency)
+
+
+def test_search_labels(spark):
+    cases = [
+        ({"query": "auth"}, '"auth"  ·  hybrid  ·  top=10'),
+        ({"query": "q" * 61, "hybrid": False, "top": 5}, '"' + "q" * 59 + '…"  ·  bm25  ·  top=5'),
+        ({"query": "x", "hybrid": "false", "top": "3"}, '"x"  ·  hybrid  ·  top=10'),
+        ({"query": 5}, None),
+        ([], None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)], "i int, v string")
+    assert [r[1] for r in df.select("i", L.search_label(df.v)).orderBy("i").collect()] == [w for _, w in cases]
+
+
+def test_pairs_for_display(spark):
+    rows = [use("Read"), result("x" * 400), use("Grep"), ("s", "system", {}), result("y" * 40), use("Glob"), use("Task"), result("z")]
+    ev = events(spark, rows)
+    assert [tuple(r)[1:] for r in L.use_rows(ev, L.replay(ev)).orderBy("event_index").collect()] == [(0, "Read", 100, 1500), (2, "Grep", 0, 0), (5, "Glob", 0, 0)]
+
+
+def test_queries_of_a_session(spark):
+    rows = [user("Fix the parser. Then rest"), use(SEARCH, query="  Token limit "), user("[marker] nothing"), user("token LIMIT"), use("mcp.search_chunks", query="token limit"), user("ok"), use(SEARCH, query="")]
+    assert [(r.query, r.place) for r in L.asked_queries(events(spark, rows)).orderBy("place").collect()] == [("Token limit", 1), ("Fix the parser.", 2)]
+
+
+def test_which_queries_are_kept(spark):
+    rows = [
+        user("go on with it please"),  # vague, no files: out
+        user("now the second thing"),
+        use("Read", path="/p/a.py"),
+        user("where is ParserError raised"),
+        use(SEARCH, query="vague words"),
+        use(SEARCH, query="limits"),
+        use("NotebookEdit", path="/p/n.ipynb"),
+    ]
+    roots = spark.createDataFrame([("s", "/p")], "session string, project_root string")
+    merged = L.merged_truth(L.ground_truth(events(spark, rows), roots), roots)
+    kept = [(r.query, r.place) for r in L.retained_queries(merged, 3).orderBy("place").collect()]
+    assert kept == [("limits", 1), ("vague words", 2), ("now the second thing", 3)]
+    assert {r.query for r in L.retained_queries(merged).collect()} == {"limits", "vague words", "now the second thing", "where is ParserError raised"}
+
+
 def test_empty_inputs(spark):
     ev = events(spark, [use("x")]).limit(0)
     for f in (L.kind_counts, L.search_calls, L.replay, L.turns, L.tool_pairs, L.search_hits, L.provenance):

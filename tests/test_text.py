@@ -103,3 +103,18 @@ def test_hashed_vector_equals_hashlib_in_all_blocks(spark):
         want = [int.from_bytes(raw[i * 4 : i * 4 + 4], "big", signed=True) / 2**31 for i in range(dim)]
         n = sum(x * x for x in want) ** 0.5
         assert one(spark, "hello", lambda c: V.hashed_vector(c, dim)) == pytest.approx([x / n for x in want], abs=1e-12)  # noqa: B023
+
+
+def test_formats(spark):
+    assert [one(spark, n, T.human_count, "double") for n in (950.0, 1500.0, 1234567.0, -5000.0)] == ["950", "1.5k", "1.23M", "-5.0k"]
+    assert [one(spark, n, T.token_badge, "double") for n in (846.5, 1249.0, 12400.0)] == ["847", "1.2k", "12k"]
+    assert [one(spark, n, T.duration, "bigint") for n in (840, 47_000, 138_000, -1, None, 59_600)] == ["840ms", "47s", "2m 18s", "", "", "1m 0s"]
+    assert [one(spark, n, T.percent, "double") for n in (0.577, 1.0, float("nan"), None)] == ["57.7%", "100.0%", "0%", "0%"]
+    assert [one(spark, n, T.basename, "string") for n in ("/a/b", "a\\b\\", "x", "/", "")] == ["b", "b", "x", "/", ""]
+    assert one(spark, "0123456789", T.short_id, "string") == "01234567"
+    assert one(spark, "a\r\nb" + "c" * 200, T.wire_snippet, "string") == "a↵b" + "c" * 116 + "…"
+
+
+def test_text_files(spark):
+    paths = {"a/b.py": True, "README.MD": True, "node_modules/x.js": False, "a/.git/x.md": False, ".json": False, "a.bin": False, "noext": False, "src/x.d.ts": True}
+    assert {p: one(spark, p, T.is_text_file, "string") for p in paths} == paths

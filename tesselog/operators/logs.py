@@ -79,8 +79,8 @@ def _usage(v: Column, narrow: bool) -> tuple[Column, Column]:
     return pick(0), pick(1)
 
 
-def events(lines: DataFrame, narrow_usage: bool = False) -> DataFrame:
-    """Events of raw lines (file, line_no, value): session, event_index, line_no, kind, ts, text, tool, is_error, input, output, usage, model.
+def event_rows(lines: DataFrame, narrow_usage: bool = False) -> DataFrame:
+    """Events of raw lines (file, line_no, value): file, line_no, sub (place in the line), kind, text, tool, is_error, input, output, ..., usage, model.
 
     A user or assistant line with a message gives one message event (its text
     blocks joined, calls as placeholders) and one event for each call and
@@ -102,7 +102,6 @@ def events(lines: DataFrame, narrow_usage: bool = False) -> DataFrame:
         .when(kind.isin("user", "assistant"), "unknown").when(kind.isNotNull(), "system").otherwise("unknown")).otherwise("unknown").alias("form"),
         F.when(_is_object(v), kind).alias("kind"),
         F.when(_is_object(v), _string(v, "$.timestamp")).alias("ts"),
-        F.when(_is_object(v), _string(v, "$.sessionId")).alias("session_id"),
         F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(v, "$.message.content", "string")).alias("plain"),
         F.when(_is_array(content), F.try_variant_get(v, "$.message.content", "array<variant>")).alias("blocks"),
         tokens_in.alias("tokens_in"),
@@ -140,18 +139,17 @@ def events(lines: DataFrame, narrow_usage: bool = False) -> DataFrame:
     )
     blocks = F.concat(F.when((joined != "") | (F.size(calls) == 0), F.array(said(joined))).otherwise(F.array().cast(calls_type(names, types))), calls)
     made = F.when(F.col("form") == "string", F.array(said(F.col("plain")))).when(F.col("form") == "array", blocks).otherwise(F.array(make(F.col("form"), *[none] * 10)))
-    out = flat.select("file", "line_no", "ts", "session_id", "tokens_in", "tokens_out", "model", F.posexplode(made).alias("sub", "e"))
+    out = flat.select("file", "line_no", "ts", "tokens_in", "tokens_out", "model", F.posexplode(made).alias("sub", "e"))
+    mine = lambda c: F.when(F.col("e.kind") == "assistant_message", F.col(c)).alias(c)
+    return out.select("file", "line_no", "sub", *(F.col(f"e.{n}").alias(n) for n in names), "ts", mine("tokens_in"), mine("tokens_out"), mine("model"))
+
+
+def events(lines: DataFrame, narrow_usage: bool = False) -> DataFrame:
+    """``event_rows`` numbered from 0 in each file: session, event_index, line_no, kind, ..."""
+    rows = event_rows(lines, narrow_usage)
     order = Window.partitionBy("file").orderBy("line_no", "sub")
-    return out.select(
-        F.col("file").alias("session"),
-        (F.row_number().over(order) - 1).cast("bigint").alias("event_index"),
-        "line_no",
-        *(F.col(f"e.{n}").alias(n) for n in names),
-        "ts",
-        F.when(F.col("e.kind") == "assistant_message", F.col("tokens_in")).alias("tokens_in"),
-        F.when(F.col("e.kind") == "assistant_message", F.col("tokens_out")).alias("tokens_out"),
-        F.when(F.col("e.kind") == "assistant_message", F.col("model")).alias("model"),
-    )
+    number = (F.row_number().over(order) - 1).cast("bigint").alias("event_index")
+    return rows.select(F.col("file").alias("session"), number, *(c for c in rows.columns if c not in ("file", "sub")))
 
 
 def calls_type(names, types) -> str:

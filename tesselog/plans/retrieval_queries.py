@@ -447,3 +447,29 @@ def grep_token_cost(spark, sf_dir):
 )
 def chunk_coverage(spark, sf_dir):
     return code_chunks.coverage(corpus(spark, sf_dir).withColumn("path", F.concat("repo", F.lit("/"), "file_path")))
+
+
+def _source_files(spark, sf_dir):
+    """Each distinct content as a file of its own."""
+    c = table(spark, sf_dir, "chunks").where("chunk_id is not null and content is not null").groupBy("chunk_id").agg(F.max(F.struct("file_path", "content")).alias("x"))
+    return spread(c.select(F.concat(F.col("chunk_id").cast("string"), F.lit("/"), F.coalesce("x.file_path", F.lit(""))).alias("path"), "x.content"))
+
+
+@query(
+    r"""WITH c AS (SELECT chunk_id, max(struct_pack(f := file_path, c := content)) AS x FROM chunks WHERE chunk_id IS NOT NULL AND content IS NOT NULL GROUP BY 1)
+SELECT chunk_id || '/' || coalesce(x.f, '') AS path, len(list_filter(string_split(x.c, chr(10)), lambda l: regexp_matches(l, '[^ \t\r\n\f\x0b]')))::BIGINT AS lines FROM c WHERE regexp_matches(x.c, '[^ \t\r\n\f\x0b]')"""
+)
+def chunked_lines(spark, sf_dir):
+    """How many lines that hold something the chunks of each file cover; the twin counts the lines of the files."""
+    pieces = code_chunks.chunk_files(_source_files(spark, sf_dir)).select("path", F.explode(F.sequence("start_line", "end_line")).alias("no"), "content", "start_line")
+    line = F.get(F.split("content", "\n", -1), (F.col("no") - F.col("start_line")).cast("int"))
+    held = pieces.where(line.rlike(r"[^ \t\r\n\f\x0b]")).select("path", "no").distinct()
+    return held.groupBy("path").agg(F.count("*").alias("lines"))
+
+
+def file_chunks(spark, sf_dir):
+    """Definitions and line windows of every content, cut by the grammar of its path's language."""
+    return code_chunks.chunk_files(_source_files(spark, sf_dir)).select("path", "language", "start_line", "end_line", "kind", "node_type", "symbol_name", F.md5("content").alias("digest"))
+
+
+QUERIES["file_chunks"] = file_chunks

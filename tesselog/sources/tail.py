@@ -1,14 +1,19 @@
 """A streaming source of the complete lines appended to log files.
 
-The offset of a file is the byte behind its last line feed and a generation
-that grows when the file shrinks; after that it is read from its start again.
-Only whole lines are emitted; a carriage return before the line feed goes.
+The offset of a file is the byte behind its last line feed, a mark of which
+file it is (its first line and its place on the disk) and a generation that
+grows when the file shrinks or gives way to another one; after that it is read
+from its start again.  A reader that starts anew finds the mark in the file
+itself and the generation in the offset it starts from, so nothing is read
+twice.  Only whole lines are emitted; a carriage return before the line feed
+goes.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -36,31 +41,52 @@ def _whole_lines(path: str, start: int) -> int:
     return start
 
 
+_HEAD = 1 << 16  # bytes of the first line that count for a file's mark
+
+
+def _mark(path: str) -> int:
+    """What tells a file from another one at the same path; 0 as long as it has no whole line."""
+    with open(path, "rb") as f:
+        head = f.read(_HEAD)
+        at = head.find(b"\n")
+        if at < 0 and len(head) < _HEAD:
+            return 0
+        return (zlib.crc32(head[:at] if at >= 0 else head) ^ (os.fstat(f.fileno()).st_ino << 20)) & (2**52 - 1) or 1
+
+
 class TailReader(DataSourceStreamReader):
+    """Offsets are {path: [generation, position, mark]}; the generation is null until the start of this run tells it."""
+
     def __init__(self, pattern: str):
         self.pattern = pattern
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, list] = {}
 
     def initialOffset(self) -> dict:
         return {"files": {}}
 
     def latestOffset(self) -> dict:
         for path in sorted(glob.glob(self.pattern)):
-            generation, end = self.seen.get(path, [0, 0])
+            generation, end, mark = self.seen.get(path, [None, 0, 0])
             try:
-                if os.path.getsize(path) < end:
-                    generation, end = generation + 1, 0
-                self.seen[path] = [generation, _whole_lines(path, end)]
+                now = _mark(path)
+                if os.path.getsize(path) < end or mark and now != mark:
+                    generation, end = None if generation is None else generation + 1, 0
+                self.seen[path] = [generation, _whole_lines(path, end), now]
             except OSError:
                 continue
         return {"files": {p: list(v) for p, v in self.seen.items()}}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         before, out = start["files"], []
-        for path, (generation, stop) in end["files"].items():
-            was, begin = before.get(path, [generation, 0])
-            self.seen.setdefault(path, [generation, stop])
-            begin = begin if was == generation else 0
+        for path, (generation, stop, mark) in end["files"].items():
+            was, begin, old = before.get(path, [None, 0, 0])
+            same = stop >= begin and old in (0, mark) and (generation is None or was is None or generation == was)
+            if generation is None:
+                generation = 0 if path not in before else (was or 0) + (0 if same else 1)
+            known = self.seen.setdefault(path, [generation, stop, mark])
+            if known[0] is None:
+                known[0] = generation
+            begin = begin if same else 0
             if stop > begin:
                 out.append(_Piece(path, generation, begin, stop))
         return out

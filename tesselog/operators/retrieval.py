@@ -9,18 +9,24 @@ is a window with a group limit, which keeps k rows per query and task.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselog.functions import text as T
-from tesselog.functions import vectors as V
-from tesselog.session import materialise
+from tesselog.session import materialise, ship
 
 
 @dataclass(frozen=True)
 class Bm25:
+    """Parameters of the ranking."""
+
     k1: float = 1.2
     b: float = 0.75
 
@@ -89,17 +95,78 @@ def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(
     return top_k(hits.where("score > 0"), k)
 
 
+#: Queries answered by one pass over the rows; a larger query set takes several.
+QUERY_BLOCK = 4096
+_CELLS = 1 << 21  # scores held at a time
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _best_scores(asked: pa.Table, k: int, digits: int, exclude_self: bool):
+    names = asked.column("query_id").to_numpy()
+    q = _matrix(asked.column("q"))
+
+    def best(at: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The k best of each query among the rows, larger scores and smaller ids first."""
+        order = np.lexsort((ids, -score, at))
+        at, ids, score = at[order], ids[order], score[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        return at[place < k], ids[place < k], score[place < k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        floor = np.full(len(q), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, v = batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch.column("v"))
+            for first in range(0, len(v), max(1, _CELLS // len(q))):
+                part, here = v[first : first + max(1, _CELLS // len(q))], ids[first : first + max(1, _CELLS // len(q))]
+                score = q @ part.T
+                score = np.floor(score * 10.0**digits + 0.5) / 10.0**digits
+                if exclude_self:
+                    score[names[:, None] == here[None, :]] = -np.inf
+                m = min(k, len(here))
+                floor = np.maximum(floor, np.partition(score, len(here) - m, axis=1)[:, len(here) - m] if m == k else -np.inf)
+                at, of = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+                held = best(*(np.concatenate(x) for x in zip(held, (at, here[of], score[at, of]))))
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(names[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "id", "score"])
+
+    return run
+
+
+def blocks_of(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[pa.Table]:
+    """The query set (query_id, ...) in Arrow tables of about ``size`` rows, one at a time."""
+    n = queries.count()
+    blocks = -(-n // size)
+    for b in range(blocks):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow() if blocks > 1 else queries.toArrow()
+
+
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 5, exclude_self: bool = False) -> DataFrame:
     """query_id, id, score, rank: exact search of a stated query set (query_id, q) against all rows (id, v) of unit vectors.
 
-    The query set is gathered per task by a broadcast that Spark checks by
-    size; each row is scored once per query and only k rows per query leave a
-    task.
+    The set is taken in blocks of QUERY_BLOCK; each block goes to every task,
+    the rows stream past it as matrix products, and k rows of each query leave
+    a task.
     """
-    scored = vectors.crossJoin(queries).select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), digits).alias("score"))
-    if exclude_self:
-        scored = scored.where("id <> query_id")
-    return top_k(scored, k, tie="id")
+    spark = vectors.sparkSession
+    ship(spark)
+    ids = vectors.schema["id"].dataType.simpleString()
+    name = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {name}, id {ids}, score double"
+    found = None
+    for block in blocks_of(queries.select("query_id", "q")):
+        part = vectors.select("id", "v").mapInArrow(_best_scores(block, k, digits, exclude_self), schema)
+        part = materialise(part, "scores")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    return top_k(found.withColumn("score", F.round("score", digits)), k, tie="id")
 
 
 def fuse(lists: list[DataFrame], k: int | None = None, rrf_k: int = RRF_K, digits: int = 8) -> DataFrame:
@@ -270,15 +337,51 @@ def round_robin(tasks: DataFrame, group: str, order: str, limit: int) -> DataFra
     return tasks.withColumn("turn", turn).orderBy("turn", group).limit(limit)
 
 
+def _grep(asked: pa.Table, most: int):
+    names, words = asked.column("query_id").to_pylist(), asked.column("k").to_pylist()
+    of: dict[str, list[int]] = {}
+    for i, ws in enumerate(words):
+        for w in ws:
+            of.setdefault(w, []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for w, queries in of.items():
+            automaton.add_word(w, queries)
+        automaton.make_automaton()
+        for batch in batches:
+            taken = [0] * len(names)
+            rows: list[tuple] = []
+            paths, texts = batch.column("path").to_pylist(), batch.column("content").to_pylist()
+            for i in sorted(range(len(paths)), key=paths.__getitem__):
+                ends = [j for j, c in enumerate(texts[i]) if c == "\n"] if len(texts[i]) < 256 else np.flatnonzero(np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32) == 10).tolist()
+                hits = {(q, bisect_left(ends, at)) for at, queries in automaton.iter(texts[i]) for q in queries if taken[q] < most}
+                for q, no in sorted(hits, key=lambda x: (x[0], x[1])):
+                    if taken[q] < most:
+                        taken[q] += 1
+                        rows.append((names[q], paths[i], no + 1))
+            a, b, c = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, asked.schema.field("query_id").type), pa.array(b, pa.string()), pa.array(c, pa.int32())], names=["query_id", "path", "line_no"])
+
+    return run
+
+
 def grep(files: DataFrame, queries: DataFrame, most: int = 100) -> DataFrame:
     """query_id, path, line_no, rank of the first ``most`` lines, by path and line, that hold a keyword of the query (case counts).
 
-    A stated query set against all lines: the patterns are gathered per task,
-    the lines stream past them, and only ``most`` rows per query leave a task.
+    A stated query set in blocks against all files: each file is read once past
+    one automaton of all keywords of the block, and at most ``most`` lines for
+    each query and batch leave a task.
     """
+    spark = files.sparkSession
+    ship(spark)
     asked = queries.select("query_id", T.keywords(F.col("text")).alias("k")).where(F.size("k") > 0)
-    asked = asked.select("query_id", F.array_join(F.transform("k", lambda w: F.replace(w, F.lit("."), F.lit("\\."))), "|").alias("pattern"))
-    lines = files.where("content is not null").select("path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
-    hits = lines.crossJoin(asked).where(F.rlike("line", "pattern")).select("query_id", "path", (F.col("i") + 1).alias("line_no"))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, path string, line_no int"
+    found = None
+    for block in blocks_of(asked):
+        part = materialise(files.where("content is not null and path is not null").select("path", "content").mapInArrow(_grep(block, most), schema), "grep")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy("path", "line_no")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

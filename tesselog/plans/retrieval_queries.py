@@ -13,7 +13,7 @@ from tesselog.functions import text as T
 from tesselog.functions import vectors as V
 from tesselog.operators import code_chunks, index_store
 from tesselog.operators import retrieval as R
-from tesselog.session import materialise, spread, table
+from tesselog.session import materialise, once, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,12 +31,12 @@ def query(sql: str | None = None):
 
 # -- inputs -----------------------------------------------------------------------------------
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
+    return once(table(spark, sf_dir, "chunks"), "chunk_id")
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms of the corpus, written once as an index is."""
-    return materialise(R.index_terms(spread(table(spark, sf_dir, "chunks"))).dropDuplicates(["chunk_id"]), "index")
+    return materialise(R.index_terms(once(spread(table(spark, sf_dir, "chunks").select("chunk_id", "content")), "chunk_id")), "index")
 
 
 def symbol_queries(chunks: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def symbol_queries(chunks: DataFrame) -> DataFrame:
 
 
 def index_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "cached_index").dropDuplicates(["vec_id"]).where(V.usable(F.col("embedding"), 64))
-    return rows.select(F.col("vec_id").alias("id"), "chunk_id", F.transform("embedding", lambda x: x / V.norm(F.col("embedding"))).alias("v"))
+    rows = once(table(spark, sf_dir, "cached_index").select("vec_id", "chunk_id", "embedding", "created_at"), "vec_id", "created_at").where(V.usable(F.col("embedding"), 64))
+    return rows.select(F.col("vec_id").alias("id"), "chunk_id", V.scaled(F.col("embedding")).alias("v"))
 
 
 CORPUS = "chunk AS (SELECT DISTINCT * FROM chunks)"
@@ -300,26 +300,29 @@ def related_by_vector(spark, sf_dir):
 
 
 # -- embeddings -------------------------------------------------------------------------------
-_MOCK = """list_transform(flatten(list_transform(generate_series(0, 0), lambda i: list_transform(generate_series(0, 7), lambda j:
+_MOCK = """list_transform(flatten(list_transform(generate_series(0, 7), lambda i: list_transform(generate_series(0, 7), lambda j:
  ('0x' || substring(sha256('mock:' || {x} || ':' || i), (j * 8 + 1)::INT, 8))::BIGINT))), lambda n: (CASE WHEN n >= 2147483648 THEN n - 4294967296 ELSE n END)::DOUBLE / 2147483648.0::DOUBLE)"""
-_TERM_VECTORS = f"""tv AS (SELECT term, list_transform(r, lambda x: x / sqrt(list_sum(list_transform(r, lambda y: y * y)))) AS v FROM (SELECT term, {_MOCK.format(x="term")} AS r FROM (SELECT DISTINCT unnest(terms) AS term FROM terms)))"""
+_TERM_VECTORS = f"""tv AS (SELECT term, list_transform(r, lambda x: x / n) AS v FROM (SELECT term, r, sqrt(list_sum(list_transform(r, lambda y: y * y))) AS n FROM (SELECT term, {_MOCK.format(x="term")} AS r FROM (SELECT DISTINCT unnest(terms) AS term FROM terms))))"""
 
 
-@query(f"SELECT text, round(r[1] / sqrt(list_sum(list_transform(r, lambda y: y * y))), 6) AS v0, round(r[8] / sqrt(list_sum(list_transform(r, lambda y: y * y))), 6) AS v7 FROM (SELECT text, {_MOCK.format(x='text')} AS r FROM (SELECT DISTINCT symbol_name AS text FROM chunks WHERE symbol_name IS NOT NULL))")
+@query(
+    f"""SELECT text, i - 1 AS dim, round(r[i] / n, 6) + 0.0 AS value FROM (SELECT text, r, sqrt(list_sum(list_transform(r, lambda y: y * y))) AS n FROM (SELECT text, {_MOCK.format(x='text')} AS r FROM
+(SELECT DISTINCT symbol_name AS text FROM chunks WHERE symbol_name IS NOT NULL))), generate_series(1, 64) g(i)"""
+)
 def mock_embedding(spark, sf_dir):
     names = table(spark, sf_dir, "chunks").where("symbol_name is not null").select(F.col("symbol_name").alias("text")).distinct()
-    return names.select("text", V.hashed_vector(F.col("text"), 8).alias("v")).select("text", F.round(F.col("v")[0], 6).alias("v0"), F.round(F.col("v")[7], 6).alias("v7"))
+    return names.select("text", F.posexplode(V.hashed_vector(F.col("text"), 64)).alias("dim", "value")).select("text", F.col("dim").cast("bigint").alias("dim"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query(
-    f"""WITH {CORPUS}, {TERMS}, {_TERM_VECTORS}, e AS (SELECT chunk_id, unnest(terms) AS term FROM terms),
-m AS (SELECT chunk_id, i, avg(tv.v[i]) AS m FROM e JOIN tv USING (term), generate_series(1, 8) g(i) GROUP BY 1, 2), n AS (SELECT chunk_id, sqrt(sum(m * m)) AS n FROM m GROUP BY 1)
+    f"""WITH {CORPUS}, {TERMS}, {_TERM_VECTORS}, e AS (SELECT chunk_id, term, count(*) AS c FROM (SELECT chunk_id, unnest(terms) AS term FROM terms) GROUP BY 1, 2),
+m AS (SELECT chunk_id, i, sum(c * tv.v[i]) AS m FROM e JOIN tv USING (term), generate_series(1, 64) g(i) GROUP BY 1, 2), n AS (SELECT chunk_id, sqrt(sum(m * m)) AS n FROM m GROUP BY 1)
 SELECT chunk_id, i - 1 AS dim, round(m / n, 5) + 0.0 AS value FROM m JOIN n USING (chunk_id)"""
 )
 def static_embedding(spark, sf_dir):
-    terms = index(spark, sf_dir)
-    vectors = terms.select(F.explode("terms").alias("term")).distinct().select("term", V.hashed_vector(F.col("term"), 8).alias("v"))
-    return index_store.static_embedding(terms, vectors, 8).select("chunk_id", F.posexplode("v").alias("dim", "value")).select("chunk_id", F.col("dim").cast("bigint").alias("dim"), (F.round("value", 5) + 0.0).alias("value"))
+    """The mean of the vectors of its terms for each chunk; the vectors are made of the terms, as no table is at hand."""
+    found = index_store.embed_terms(index(spark, sf_dir), index_store.hashed_lookup(64), 64)
+    return found.select("chunk_id", F.posexplode("v").alias("dim", "value")).select("chunk_id", F.col("dim").cast("bigint").alias("dim"), (F.round("value", 5) + 0.0).alias("value"))
 
 
 # -- index state -------------------------------------------------------------------------------
@@ -339,13 +342,17 @@ SELECT repo, count(*) AS chunks, count(old.sig) AS reused, count(*) - count(old.
 )
 def signature_reuse(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
-    cached = table(spark, sf_dir, "cached_index").where("embedding is not null and chunk_id is not null").groupBy("chunk_id").agg(F.first("embedding").alias("v"))
+    cached = table(spark, sf_dir, "cached_index").where("embedding is not null and chunk_id is not null").groupBy("chunk_id").agg(F.max("embedding").alias("v"))
     old = chunks.join(cached, "chunk_id").select("content", "v")
     plan = index_store.reuse(chunks.select("chunk_id", "repo", "content"), old)
     return plan.groupBy("repo").agg(F.count("*").alias("chunks"), F.count("v").alias("reused"), F.count_if(F.col("v").isNull()).alias("to_embed"))
 
 
-@query("SELECT repo, 'mtime:' || sha256(string_agg(file_path || ':' || m || chr(10), '' ORDER BY file_path)) AS state FROM (SELECT repo, file_path, max(start_line)::BIGINT AS m FROM chunks WHERE file_path IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+@query(
+    """WITH f AS (SELECT repo, file_path, max(start_line)::BIGINT AS m FROM chunks WHERE file_path IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT repo, substring(sha256(file_path), 1, 2) AS part, sha256(string_agg(file_path || ':' || m || chr(10), '' ORDER BY file_path)) AS t FROM f GROUP BY 1, 2)
+SELECT repo, 'mtime:' || sha256(string_agg(t, '' ORDER BY part)) AS state FROM p GROUP BY 1"""
+)
 def state_id(spark, sf_dir):
     files = table(spark, sf_dir, "chunks").where("file_path is not null").groupBy("repo", "file_path").agg(F.max("start_line").cast("bigint").alias("mtime"))
     return index_store.state_ids(files, "repo", "file_path", "mtime")

@@ -15,7 +15,8 @@ import uuid
 import zipfile
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -64,6 +65,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def once(rows: DataFrame, key: str, latest: str | None = None) -> DataFrame:
+    """One row for each value of ``key`` (not null): the last by ``latest``, then by the other columns in order of their names.
+
+    Which keys occur again is counted on the key alone; only their rows are
+    shuffled, the others pass through where they were read.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    again = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    order = [F.desc(c) for c in ([latest] if latest else []) + sorted(c for c, t in rows.dtypes if c not in (key, latest) and not t.startswith(("map", "variant")))]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    several = rows.join(again, key, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    return rows.join(again, key, "left_anti").unionByName(several)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only for a local master that names none."""
     found = spark.conf.get(CHECKPOINT_DIR, None)

@@ -88,10 +88,11 @@ def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(
     found = _each(terms).join(wanted.select("term").distinct(), "term", "left_semi")
     posts = materialise(found.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = posts.join(df, "term").crossJoin(corpus_stats(terms))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    hits = weighed.select("term", "chunk_id", part.alias("part")).join(wanted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), digits).alias("score"))
+    # the weight of each query term is a narrow table whose size is known when the postings meet it
+    weights = materialise(wanted.join(df, "term").crossJoin(corpus_stats(terms)).select("query_id", "term", idf.alias("idf"), "avgdl"), "weights")
+    part = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
+    hits = posts.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), digits).alias("score"))
     return top_k(hits.where("score > 0"), k)
 
 

@@ -36,7 +36,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms of the corpus, written once as an index is."""
-    return materialise(R.index_terms(once(spread(table(spark, sf_dir, "chunks").select("chunk_id", "content")), "chunk_id")), "index")
+    scan = table(spark, sf_dir, "chunks").select("chunk_id", "content")
+    return materialise(R.index_terms(spread(once(scan, "chunk_id"), scan)), "index")
 
 
 def symbol_queries(chunks: DataFrame) -> DataFrame:

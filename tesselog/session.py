@@ -59,10 +59,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with at least one partition for each core; one that has them already, as any large table, is left as it is."""
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """``df`` with at least one partition for each core; one whose ``scan`` (itself, if not given) has them already, as any large table, is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if (df if scan is None else scan).rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def once(rows: DataFrame, key: str, latest: str | None = None) -> DataFrame:

@@ -9,8 +9,9 @@ is a window with a group limit, which keeps k rows per query and task.
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -45,15 +46,16 @@ DEFINITION_FACTOR, PER_CHUNK, CHUNK_CAP, PER_STEM, STEM_CAP = 1.25, 0.05, 1.25,
 RRF_K = 60
 
 
-def index_terms(chunks: DataFrame, keep_dotted: bool = True) -> DataFrame:
-    """chunk_id, terms, dl of chunks that have a content."""
-    terms = chunks.where("chunk_id is not null and content is not null").select("chunk_id", T.tokens(F.col("content"), keep_dotted).alias("terms"))
+def index_terms(chunks: DataFrame, keep_dotted: bool = True, by: str | None = None) -> DataFrame:
+    """chunk_id, terms, dl (and ``by``) of chunks that have a content."""
+    keep = [by] if by else []
+    terms = chunks.where("chunk_id is not null and content is not null").select("chunk_id", *keep, T.tokens(F.col("content"), keep_dotted).alias("terms"))
     return terms.withColumn("dl", F.size("terms").cast("bigint"))
 
 
-def _each(terms: DataFrame) -> DataFrame:
+def _each(terms: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """chunk_id, dl, term: one row per occurrence; the outer explode keeps Spark from tokenising once more for a filter."""
-    return terms.select("chunk_id", "dl", F.explode_outer("terms").alias("term")).where("term is not null")
+    return terms.select("chunk_id", *(keep or []), "dl", F.explode_outer("terms").alias("term")).where("term is not null")
 
 
 def postings(terms: DataFrame) -> DataFrame:
@@ -77,22 +79,31 @@ def top_k(hits: DataFrame, k: int, by: str = "score", tie: str = "chunk_id", gro
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def query_terms(queries: DataFrame, keep_dotted: bool = True) -> DataFrame:
-    """query_id, term: distinct terms of each query."""
-    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text"), keep_dotted))).alias("term"))
+def query_terms(queries: DataFrame, keep_dotted: bool = True, by: str | None = None) -> DataFrame:
+    """query_id, term (and ``by``): distinct terms of each query."""
+    keep = [by] if by else []
+    return queries.select("query_id", *keep, F.explode(F.array_distinct(T.tokens(F.col("text"), keep_dotted))).alias("term"))
 
 
-def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(), digits: int = 6) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k best chunks of each query, scores over 0 only."""
-    wanted = materialise(query_terms(queries), "query_terms")
-    found = _each(terms).join(wanted.select("term").distinct(), "term", "left_semi")
-    posts = materialise(found.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(), digits: int = 6, by: str | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best chunks of each query, scores over 0 only.
+
+    With ``by``, a column of both tables, its values are corpora of their own:
+    a query meets only chunks of its value, under their statistics.
+    """
+    keep = [by] if by else []
+    key = ["term", *keep]
+    wanted = materialise(query_terms(queries, by=by), "query_terms")
+    found = _each(terms, keep).join(wanted.select(key).distinct(), key, "left_semi")
+    posts = materialise(found.groupBy(*key, "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+    df = posts.groupBy(key).agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     # the weight of each query term is a narrow table whose size is known when the postings meet it
-    weights = materialise(wanted.join(df, "term").crossJoin(corpus_stats(terms)).select("query_id", "term", idf.alias("idf"), "avgdl"), "weights")
+    known = wanted.join(df, key)
+    known = known.join(terms.groupBy(by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), by) if by else known.crossJoin(corpus_stats(terms))
+    weights = materialise(known.select("query_id", *key, idf.alias("idf"), "avgdl"), "weights")
     part = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    hits = posts.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), digits).alias("score"))
+    hits = posts.join(weights, key).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), digits).alias("score"))
     return top_k(hits.where("score > 0"), k)
 
 
@@ -294,21 +305,31 @@ def random_index(i: Column, n: Column | int, seed: int = 0xB7C8D9E1) -> Column:
     return F.floor(t / F.lit(float(2**32)) * n).cast("bigint")
 
 
-def bootstrap_mean(samples: DataFrame, iterations: int = 2000, digits: int = 6) -> DataFrame:
-    """name, mean, p05, p50, p95 of the resampled mean of each group of samples (name, pos from 0, value).
+Statistic = Callable[[Column], Column]
+
+
+def bootstrap(samples: DataFrame, statistic: Statistic = F.avg, iterations: int = 2000, digits: int = 6) -> DataFrame:
+    """name, value, p05, p50, p95: a statistic of each group of samples (name, pos from 0, value), and of its resamples.
 
-    Draw j of iteration i is draw i * n + j of the generator, computed from its
-    number alone, so iterations are spread over the cluster; a group's sample
-    is joined by position.
+    ``statistic`` is any aggregate of a column: F.avg, F.median, a grouped
+    Pandas function.  Draw j of iteration i is draw i * n + j of the generator,
+    computed from its number alone, so iterations are spread over the cluster;
+    a group's sample is joined by position.
     """
     sizes = samples.groupBy("name").agg(F.count("*").alias("n"))
     draws = sizes.select("name", "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it")).select("name", "n", "it", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("j"))
     picked = draws.select("name", "n", "it", random_index(F.col("it") * F.col("n") + F.col("j"), F.col("n")).alias("pos")).join(samples, ["name", "pos"])
-    means = picked.groupBy("name", "it").agg(F.round(F.sum("value") / F.first("n"), 9).alias("m"))
+    stats = picked.groupBy("name", "it").agg(statistic(F.col("value")).alias("m")).withColumn("m", F.round("m", 9))
     place = F.row_number().over(Window.partitionBy("name").orderBy("m", "it"))
     at = lambda p: F.max(F.when(F.col("rn") == math.floor(iterations * p) + 1, F.col("m")))
-    ci = means.withColumn("rn", place).groupBy("name").agg(*(F.round(at(p), digits).alias(f"p{int(p * 100):02d}") for p in (0.05, 0.5, 0.95)))
-    return samples.groupBy("name").agg(F.round(F.avg("value"), digits).alias("mean")).join(ci, "name")
+    ci = stats.withColumn("rn", place).groupBy("name").agg(*(F.round(at(p), digits).alias(f"p{int(p * 100):02d}") for p in (0.05, 0.5, 0.95)))
+    whole = samples.groupBy("name").agg(statistic(F.col("value")).alias("value"))
+    return whole.withColumn("value", F.round("value", digits)).join(ci, "name")
+
+
+def bootstrap_mean(samples: DataFrame, iterations: int = 2000, digits: int = 6) -> DataFrame:
+    """name, mean, p05, p50, p95 of the resampled mean."""
+    return bootstrap(samples, F.avg, iterations, digits).withColumnRenamed("value", "mean")
 
 
 def summary(values: DataFrame, group: str, value: str, digits: int = 6) -> DataFrame:
@@ -339,7 +360,7 @@ def round_robin(tasks: DataFrame, group: str, order: str, limit: int) -> DataFra
 
 
 def _grep(asked: pa.Table, most: int):
-    names, words = asked.column("query_id").to_pylist(), asked.column("k").to_pylist()
+    names, words, groups = (asked.column(c).to_pylist() for c in ("query_id", "k", "group"))
     of: dict[str, list[int]] = {}
     for i, ws in enumerate(words):
         for w in ws:
@@ -353,34 +374,42 @@ def _grep(asked: pa.Table, most: int):
         for batch in batches:
             taken = [0] * len(names)
             rows: list[tuple] = []
-            paths, texts = batch.column("path").to_pylist(), batch.column("content").to_pylist()
+            paths, texts, homes = (batch.column(c).to_pylist() for c in ("path", "content", "group"))
             for i in sorted(range(len(paths)), key=paths.__getitem__):
-                ends = [j for j, c in enumerate(texts[i]) if c == "\n"] if len(texts[i]) < 256 else np.flatnonzero(np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32) == 10).tolist()
-                hits = {(q, bisect_left(ends, at)) for at, queries in automaton.iter(texts[i]) for q in queries if taken[q] < most}
-                for q, no in sorted(hits, key=lambda x: (x[0], x[1])):
+                found = [(q, at) for at, queries in automaton.iter(texts[i]) for q in queries if taken[q] < most and groups[q] == homes[i]]
+                if not found:
+                    continue
+                ends = [m.start() for m in _FEED.finditer(texts[i])] + [len(texts[i])]
+                for q, no in sorted({(q, bisect_left(ends, at)) for q, at in found}):
                     if taken[q] < most:
                         taken[q] += 1
-                        rows.append((names[q], paths[i], no + 1))
-            a, b, c = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, asked.schema.field("query_id").type), pa.array(b, pa.string()), pa.array(c, pa.int32())], names=["query_id", "path", "line_no"])
+                        rows.append((names[q], paths[i], no + 1, ends[no] - (ends[no - 1] + 1 if no else 0)))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (asked.schema.field("query_id").type, pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "path", "line_no", "chars"])
 
     return run
 
 
-def grep(files: DataFrame, queries: DataFrame, most: int = 100) -> DataFrame:
-    """query_id, path, line_no, rank of the first ``most`` lines, by path and line, that hold a keyword of the query (case counts).
+_FEED = re.compile("\n")
+
+
+def grep(files: DataFrame, queries: DataFrame, most: int = 100, by: str | None = None) -> DataFrame:
+    """query_id, path, line_no, chars, rank of the first ``most`` lines, by path and line, that hold a keyword of the query (case counts).
 
     A stated query set in blocks against all files: each file is read once past
     one automaton of all keywords of the block, and at most ``most`` lines for
-    each query and batch leave a task.
+    each query and batch leave a task.  With ``by``, a column of both tables, a
+    query reads only files of its value.
     """
     spark = files.sparkSession
     ship(spark)
-    asked = queries.select("query_id", T.keywords(F.col("text")).alias("k")).where(F.size("k") > 0)
-    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, path string, line_no int"
+    group = (F.col(by).cast("string") if by else F.lit("")).alias("group")
+    asked = queries.select("query_id", T.keywords(F.col("text")).alias("k"), group).where(F.size("k") > 0)
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, path string, line_no int, chars int"
     found = None
     for block in blocks_of(asked):
-        part = materialise(files.where("content is not null and path is not null").select("path", "content").mapInArrow(_grep(block, most), schema), "grep")
+        part = materialise(files.where("content is not null and path is not null").select("path", "content", group).mapInArrow(_grep(block, most), schema), "grep")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)

@@ -317,7 +317,10 @@ def bootstrap(samples: DataFrame, statistic: Statistic = F.avg, iterations: int
     a group's sample is joined by position.
     """
     sizes = samples.groupBy("name").agg(F.count("*").alias("n"))
-    draws = sizes.select("name", "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it")).select("name", "n", "it", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("j"))
+    rounds = sizes.select("name", "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it"))
+    # few bytes, much work: dealt to all cores, which the number of bytes would not call for
+    rounds = rounds.repartition(samples.sparkSession.sparkContext.defaultParallelism, "name", "it")
+    draws = rounds.select("name", "n", "it", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("j"))
     picked = draws.select("name", "n", "it", random_index(F.col("it") * F.col("n") + F.col("j"), F.col("n")).alias("pos")).join(samples, ["name", "pos"])
     stats = picked.groupBy("name", "it").agg(statistic(F.col("value")).alias("m")).withColumn("m", F.round("m", 9))
     place = F.row_number().over(Window.partitionBy("name").orderBy("m", "it"))

@@ -106,6 +106,37 @@ def test_logs_and_listing(spark, tmp_path):
     assert {r.id: (r.project_root, r.project_root_source) for r in S.with_inferred_roots(listed).collect()}["s1"] == ("work/app", "inferred-prefix")
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """Files cut into many splits keep the numbers of their lines, whatever the endings."""
+    want = {}
+    for name, end in (("a", "\n"), ("b", "\r\n"), ("c", "\n")):
+        lines = [f"{name}{i}" + "x" * (i * 7 % 50) for i in range(400)] + ["", "last"]
+        (tmp_path / "p").mkdir(exist_ok=True)
+        (tmp_path / "p" / f"{name}.jsonl").write_bytes(end.join(lines).encode() + (b"" if name == "c" else end.encode()))
+        want |= {(f"p/{name}.jsonl", i): x for i, x in enumerate(lines, 1)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        rows = S.read_logs(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.file, r.line_no): r.value for r in rows} == want and len(rows) == len(want)
+
+
+def test_session_sources(spark, tmp_path):
+    line = lambda text: json.dumps({"type": "user", "cwd": "/w", "timestamp": "2025-01-01", "message": {"content": text}})
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "one.jsonl").write_text(line("a") + "\n" + line("b") + "\n")
+    (tmp_path / "p" / "two.jsonl").write_text(line("c") + "\n")
+    folder = S.LogFolder(spark, str(tmp_path))
+    table = S.LogTable(folder.lines)
+    for source in (folder, table):
+        assert sorted(r.id for r in source.sessions().collect()) == ["one", "two"]
+        assert sorted(r.text for r in source.events().collect()) == ["a", "b", "c"]
+        one = source.events(source.sessions().where("id = 'one'")).orderBy("event_index").collect()
+        assert [(r.event_index, r.text) for r in one] == [(0, "a"), (1, "b")]
+
+
 def test_tail_reader(tmp_path):
     log = tmp_path / "a.jsonl"
     log.write_bytes(b"one\r\ntwo\npart")

@@ -150,29 +150,34 @@ def _payload(text: str | None) -> dict | None:
 
 
 # -- fields of the files -----------------------------------------------------------------------
-def plain(value) -> str:
-    """A leaf without its spelling: numbers, truth values and times in digits or text, lists and their comma forms are told by what they say."""
-    if isinstance(value, bool):
-        return "1" if value else "0"
-    if isinstance(value, list):
-        return ",".join(plain(x) if not isinstance(x, (dict, list)) and x is not None else json.dumps(x) for x in value)
-    if isinstance(value, (int, float)):
-        return repr(float(value)) if abs(value) < 2**53 and value != int(value) else str(int(value))
-    text = value.strip()
-    kind = shape(value)
-    if kind == "bool":
-        return "1" if text.lower() == "true" else "0"
+def _plain_text(text: str, kind: str) -> str:
+    """``plain`` of a stripped text of a known shape."""
+    if kind == "text":
+        return ",".join(x.strip() for x in text.split(",")) if "," in text else text
     if kind in ("bit", "int"):
         return str(int(text))
+    if kind == "bool":
+        return "1" if text.lower() == "true" else "0"
     if kind == "float":
         return plain(float(text)) if math.isfinite(float(text)) else text
-    if kind == "time":
-        try:
-            at = datetime.datetime.fromisoformat(re.sub(r"([+-]\d\d)(\d\d)$", r"\1:\2", text.replace(" Z", "Z")))
-            return str(round((at if at.tzinfo else at.replace(tzinfo=datetime.timezone.utc)).timestamp() * 1000))
-        except ValueError:
-            return text
-    return ",".join(x.strip() for x in text.split(",")) if "," in text else text
+    try:
+        at = datetime.datetime.fromisoformat(text.replace(" Z", "Z"))
+    except ValueError:
+        return text
+    return str(round((at if at.tzinfo else at.replace(tzinfo=datetime.timezone.utc)).timestamp() * 1000))
+
+
+def plain(value) -> str:
+    """A leaf without its spelling: numbers, truth values and times in digits or text, lists and their comma forms are told by what they say."""
+    if isinstance(value, bool):
+        return "1" if value else "0"
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, str):
+        return _plain_text(value.strip(), shape(value))
+    if isinstance(value, float):
+        return repr(value) if not math.isfinite(value) or abs(value) < 2**53 and value != int(value) else str(int(value))
+    return ",".join(plain(x) if not isinstance(x, (dict, list)) and x is not None else json.dumps(x) for x in value)
 
 
 def _hash(said: str) -> int:
@@ -181,8 +186,11 @@ def _hash(said: str) -> int:
 
 @lru_cache(maxsize=1 << 14)
 def _text_leaf(text: str) -> tuple[int, int, float]:
-    kind = shape(text)
-    return 2 | (_TEXT if kind == "text" else 0), _hash(plain(text)), math.log10(1 + (abs(float(text)) if kind in ("bit", "int", "float") and math.isfinite(float(text)) else len(text)))
+    kind, bare = shape(text), text.strip()
+    size = len(text)
+    if kind in ("bit", "int", "float"):
+        size = abs(float(bare)) if math.isfinite(float(bare)) else size
+    return 2 | (_TEXT if kind == "text" else 0), _hash(_plain_text(bare, kind)), math.log10(1 + size)
 
 
 #: Kinds as bits, so that many fold by a bitwise or: number, string, boolean, array; and whether a value is a text of no other shape.
@@ -192,11 +200,14 @@ _TEXT = 16
 
 def _leaf(value) -> tuple[int, int, float]:
     """(bits of its kind, hash of what it says, order of its size) of a JSON leaf."""
-    if isinstance(value, str):
+    kind = type(value)
+    if kind is str:
         return _text_leaf(value)
     said = plain(value)
-    size = math.log10(1 + abs(value)) if isinstance(value, (int, float)) and math.isfinite(value) else math.log10(1 + len(said))
-    return _KIND_BITS[_kind(value)], _hash(said), size
+    if kind is int:
+        return 1, _hash(said), math.log10(1 + abs(value))
+    size = abs(value) if kind is not list and math.isfinite(value) else len(said)
+    return _KIND_BITS[_kind(value)], _hash(said), math.log10(1 + size)
 
 
 _LEAF = "struct<path:string,kind:int,value:int,size:float>"
@@ -258,7 +269,10 @@ def file_schemas(read: DataFrame) -> DataFrame:
         kind = F.when(only == bit, name).otherwise(kind)
     sketch = F.filter(F.array(*(f"v{i}" for i in range(SKETCH))), lambda x: x.isNotNull())
     per_path = materialise(per.select("producer", "file_seq", "path", kind.alias("kind"), (F.col("kinds") >= _TEXT).alias("text"), sketch.alias("sketch"), "size"), "fields")
-    known = per_path.select("path", F.explode("sketch").alias("v")).groupBy("path").agg(F.log2(F.approx_count_distinct("v") + 0.0).alias("bits"))
+    # how many values a path has: those seen in the sketches, or what a file's occupied classes tell
+    k = F.size("sketch")
+    counted = -SKETCH * F.log(1 - F.least(k, F.lit(SKETCH - 0.5)) / SKETCH)
+    known = per_path.select("path", counted.alias("c"), F.explode("sketch").alias("v")).groupBy("path").agg(F.log2(F.greatest(F.approx_count_distinct("v") + 0.0, F.max("c"))).alias("bits"))
     fields = F.struct("path", "kind", "text", "sketch", "size", "bits")
     return per_path.join(known, "path", "left").groupBy("producer", "file_seq").agg(F.sort_array(F.collect_list(F.when(F.col("path").isNotNull(), fields))).alias("fields"))
 

@@ -201,7 +201,7 @@ def _half_up(n: Column) -> Column:
 
 
 def _fixed(n: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", n.cast("double"))
+    return F.when(n.isNotNull(), F.format_string(f"%.{digits}f", n.cast("double")))
 
 
 def human_count(n: Column) -> Column:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import struct
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,6 +86,66 @@ def embed_remote(df: DataFrame, key: str, text: str, client: Callable[[list[str]
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, v array<float>")
 
 
+class WireError(RuntimeError):
+    """An embedder that can't be reached, answers with an error, or says something else than vectors."""
+
+
+def http_client(url: str, model: str = "", timeout: float = 30.0, key: str = "", batch: int = 64) -> Callable[[list[str]], list[list[float]]]:
+    """A client for ``embed_remote``: texts go out as {"model", "input": [...]} in batches.
+
+    Both usual answers are read: {"data": [{"embedding", "index"}, ...]} for
+    many texts, and {"embedding": [...]} for one, for which texts are sent one
+    by one (as "prompt") when a batch is refused as malformed.
+    """
+
+    def post(body: dict) -> dict:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        request = urllib.request.Request(url, json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                return json.load(answer)
+        except urllib.error.HTTPError as e:
+            if e.code == 400 and isinstance(body.get("input"), list):
+                return {}
+            raise WireError(f"{url} answered {e.code}") from e
+        except (OSError, ValueError) as e:
+            raise WireError(f"{url}: {e}") from e
+
+    def vectors(got: dict) -> list[list[float]] | None:
+        if isinstance(got.get("data"), list):
+            rows = got["data"]
+            if all(isinstance(r, dict) and isinstance(r.get("index"), int) for r in rows):
+                rows = sorted(rows, key=lambda r: r["index"])
+            return [r.get("embedding") for r in rows]
+        return [got["embedding"]] if isinstance(got.get("embedding"), list) else None
+
+    def run(texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for first in range(0, len(texts), batch):
+            part = texts[first : first + batch]
+            found = vectors(post({"model": model, "input": part}))
+            if found is None or len(found) != len(part):
+                found = [(vectors(post({"model": model, "prompt": t})) or [None])[0] for t in part]
+            if any(not isinstance(v, list) for v in found):
+                raise WireError(f"{url} sent no vectors")
+            out += found
+        return out
+
+    return run
+
+
+def fetch_to_cache(name: str, folder: str, fetch: Callable[[str], bytes]) -> str:
+    """The path of a file in a cache folder; ``fetch`` is asked for its bytes only if it isn't there, and it appears whole or not at all."""
+    path = os.path.join(folder, name)
+    if not os.path.exists(path):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        own = f"{path}.{os.getpid()}"
+        with open(own, "wb") as f:
+            f.write(fetch(name))
+        os.replace(own, path)
+    return path
+
+
 def cross_encoder(score: Callable[[list[str], list[str]], list[float]]):
     """A scoring function over (query, document) batches as a column function for ``retrieval.rerank``."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import subprocess
 from functools import lru_cache
 
 import pandas as pd
@@ -219,3 +220,30 @@ def url_problem(url: Column, allow_private: bool = False) -> Column:
     private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|169\.254\.|0\.|::1?$|f[cd][0-9a-f]{2}:|fe80:)|\.(local|localhost|internal)$")
     out = F.when(~scheme.isin(*SCHEMES), "scheme").when(host == "", "host")
     return out if allow_private else out.when(private, "private host")
+
+
+def clone(spark: SparkSession, url: str, target: str, commit: str | None = None, allow_private: bool = False, allow_local: bool = False, timeout: float = 600) -> str:
+    """Fetch a repository into a folder, at a commit if one is named; the folder as it is if it already stands there.
+
+    The URL is checked by ``url_problem`` first; nothing of it is ever run by a
+    shell.  A folder on this machine counts only with ``allow_local``.
+    """
+    local = allow_local and os.path.isdir(url)
+    problem = None if local else spark.createDataFrame([(url,)], "u string").select(url_problem(F.col("u"), allow_private)).first()[0]
+    if problem or url.startswith("-"):
+        raise ValueError(f"{url!r} may not be fetched: {problem}")
+
+    def git(*args: str) -> str:
+        done = subprocess.run(["git", *args], capture_output=True, timeout=timeout, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"})
+        if done.returncode:
+            raise RuntimeError(f"git {args[0]}: {done.stderr.decode('utf-8', 'replace').strip()}")
+        return done.stdout.decode().strip()
+
+    if os.path.isdir(os.path.join(target, ".git")):
+        if commit is None or git("-C", target, "rev-parse", "HEAD") == commit:
+            return target
+    else:
+        git("clone", "--quiet", *([] if commit else ["--depth", "1"]), "--", url, target)
+    if commit:
+        git("-C", target, "checkout", "--quiet", "--detach", commit)
+    return target

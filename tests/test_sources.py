@@ -1,6 +1,10 @@
+import http.server
 import json
 import os
 import struct
+import subprocess
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -187,3 +191,72 @@ def test_tensors_history_envelope_embedder(spark, tmp_path):
     assert {r.id: r.v for r in D.embed_remote(df, "id", "text", lambda ts: [[float(len(t)), 0.0] for t in ts], 2).collect()} == {1: [1.0, 0.0], 2: [0.0, 0.0]}
     with pytest.raises(Exception, match="another number or size"):
         D.embed_remote(df, "id", "text", lambda ts: [[1.0]] * len(ts), 2).collect()
+
+
+class Embedder(http.server.BaseHTTPRequestHandler):
+    """Answers /many with all vectors in reverse order, /one with one vector a request, and else with what the path says."""
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        code, answer = 200, {}
+        if self.path == "/many":
+            answer = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body["input"])))]}
+        elif self.path == "/one":
+            code, answer = (400, {}) if "input" in body else (200, {"embedding": [float(len(body["prompt"])), 1.0]})
+        elif self.path == "/slow":
+            time.sleep(2)
+        elif self.path == "/broken":
+            code = 500
+        data = json.dumps(answer).encode()
+        try:
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+        except OSError:
+            pass
+
+    def log_message(self, *args):
+        pass
+
+
+def test_http_embedder(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Embedder)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = lambda path, **k: D.http_client(f"http://127.0.0.1:{server.server_port}/{path}", "m", **k)
+    try:
+        for path in ("many", "one"):
+            assert at(path, batch=2)(["a", "bbb", "cc"]) == [[1.0, 1.0], [3.0, 1.0], [2.0, 1.0]]
+        for path in ("empty", "broken"):
+            with pytest.raises(D.WireError):
+                at(path)(["a"])
+        with pytest.raises(D.WireError):
+            at("slow", timeout=0.2)(["a"])
+        df = spark.createDataFrame([(1, "aaa")], "id bigint, text string")
+        (row,) = D.embed_remote(df, "id", "text", at("many"), 2).collect()
+        assert np.allclose(row.v, np.array([3, 1]) / np.sqrt(10))
+    finally:
+        server.shutdown()
+
+
+def test_clone_and_cache(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "r"), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True).stdout.decode().strip()
+    (tmp_path / "r").mkdir()
+    git("init", "-q", "-b", "main")
+    for text in ("one", "two"):
+        (tmp_path / "r" / "a.txt").write_text(text)
+        git("add", "."), git("commit", "-qm", text)
+    first = git("rev-parse", "HEAD~1")
+    for _ in range(2):
+        R.clone(spark, str(tmp_path / "r"), str(tmp_path / "c"), first, allow_local=True)
+        assert (tmp_path / "c" / "a.txt").read_text() == "one"
+    for url in (str(tmp_path / "r"), "file:///x", "https://127.0.0.1/x", "--upload-pack=x", "ext::sh -c x"):
+        with pytest.raises(ValueError):
+            R.clone(spark, url, str(tmp_path / "d"))
+    asked = []
+    for _ in range(2):
+        path = D.fetch_to_cache("m/x.bin", str(tmp_path / "cache"), lambda name: asked.append(name) or b"data")
+    assert open(path, "rb").read() == b"data" and asked == ["m/x.bin"]
+    with pytest.raises(OSError):
+        D.fetch_to_cache("m/y.bin", str(tmp_path / "cache"), lambda name: (_ for _ in ()).throw(OSError("gone")))
+    assert not os.path.exists(tmp_path / "cache" / "m" / "y.bin")

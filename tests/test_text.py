@@ -111,6 +111,7 @@ def test_formats(spark):
     assert [one(spark, n, T.duration, "bigint") for n in (840, 47_000, 138_000, -1, None, 59_600)] == ["840ms", "47s", "2m 18s", "", "", "1m 0s"]
     assert [one(spark, n, T.percent, "double") for n in (0.577, 1.0, float("nan"), None)] == ["57.7%", "100.0%", "0%", "0%"]
     assert [one(spark, n, T.basename, "string") for n in ("/a/b", "a\\b\\", "x", "/", "")] == ["b", "b", "x", "/", ""]
+    assert [one(spark, None, f, "double") for f in (T.human_count, T.token_badge)] == [None, None]
     assert one(spark, "0123456789", T.short_id, "string") == "01234567"
     assert one(spark, "a\r\nb" + "c" * 200, T.wire_snippet, "string") == "a↵b" + "c" * 116 + "…"
 

@@ -45,7 +45,7 @@ LEAST = 200
 SPAN = 96
 _LOOK = 8  # characters behind a position whose hash decides about it
 _BACK = 2  # characters before it that tell a sentence start
-_BLOCK_CHARS = 500_000
+_BLOCK_CHARS = 250_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)

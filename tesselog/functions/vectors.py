@@ -28,8 +28,8 @@ def unit(a: Column) -> Column:
 
 
 def scaled(a: Column) -> Column:
-    """array<double> of length 1, whatever the length of ``a`` unless that is zero."""
-    return _by_norm(a, lambda n: F.transform(a, lambda x: x.cast("double") / n))
+    """array<double> of length 1, whatever the length of ``a``; zeros stay zeros."""
+    return _by_norm(a, lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0)))
 
 
 def same_size(a: Column, dim: int) -> Column:

@@ -191,7 +191,12 @@ def fuse(lists: list[DataFrame], k: int | None = None, rrf_k: int = RRF_K, digit
 
 
 def factors(hits: DataFrame, chunks: DataFrame, queries: DataFrame, config: Signals = Signals()) -> DataFrame:
-    """Hits (query_id, chunk_id, score, rank) with the four factors as columns; hits without a chunk are dropped."""
+    """Hits (query_id, chunk_id, score, rank) with the four factors as columns; hits without a chunk are dropped.
+
+    Hits are written first, so their size is known where they meet the
+    contents, which few of them then have to move.
+    """
+    hits = materialise(hits, "hits")
     text = queries.select("query_id", T.words(F.col("text")).alias("q_terms"), T.symbol_like(F.col("text")).alias("q_symbol"))
     known = chunks.select("chunk_id", "file_path", F.coalesce("content", F.lit("")).alias("content"))
     rows = hits.join(known, "chunk_id").join(text, "query_id").withColumn("c_terms", F.array_distinct(T.words(F.col("content"))))
@@ -226,7 +231,7 @@ def mock_relevance(query: Column, document: Column) -> Column:
 
 def rerank(hits: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, top_n: int = 50, relevance=mock_relevance, digits: int = 6) -> DataFrame:
     """The best ``top_n`` hits of each query re-sorted by ``relevance(query, content)``, cut to k; each pair is scored once."""
-    first = hits.where(F.col("rank") <= top_n).join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "text"), "query_id")
+    first = materialise(hits.where(F.col("rank") <= top_n), "hits").join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "text"), "query_id")
     scored = first.select("query_id", "chunk_id", F.round(relevance(F.col("text"), F.coalesce("content", F.lit(""))), digits).alias("score"))
     return top_k(scored, k)
 

@@ -1,10 +1,14 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesselog.functions import vectors as V
 from tesselog.operators import index_store as S
 from tesselog.operators import retrieval as R
+from tesselog.session import once
 
 CHUNKS = [(0, "a.py", "alpha alpha beta"), (1, "b.py", "gamma delta"), (2, "c.py", "alpha gamma delta"), (3, "d.py", None)]
 
@@ -142,3 +146,90 @@ def test_symbol_like_takes_contents_of_any_length(spark, tmp_path):
     spark.createDataFrame(rows, "symbol_name string, content string").write.parquet(str(tmp_path / "chunks.parquet"))
     got = {r.text: r.symbol_like for r in Q.symbol_like(spark, str(tmp_path)).collect()}
     assert got == {"aName": True, "x" * 100: True, "long " * 40: False, "short_one": True}
+
+
+def test_means_of_term_vectors(spark):
+    """In every task, by a join, and from the terms themselves: the same means."""
+    rows = [(1, ["a", "b", "a"]), (2, ["c"]), (3, []), (4, None), (5, ["none"]), (6, ["a", "none"]), (7, ["b"] * 3000)]
+    terms = spark.createDataFrame(rows, "chunk_id bigint, terms array<string>")
+    known = {t: v for t, v in zip("abc", V.hashed_matrix(list("abc"), 12))}
+    table = spark.createDataFrame([(t, v.tolist()) for t, v in known.items()], "term string, v array<double>")
+
+    def mean(ts):
+        total = sum(known[t] for t in ts if t in known)
+        return total / np.linalg.norm(total)
+
+    want = {i: mean(ts) for i, ts in rows if ts and any(t in known for t in ts)}
+
+    def check(df):
+        got = {r.chunk_id: np.array(r.v) for r in df.collect()}
+        assert set(got) == set(want) and all(np.allclose(got[i], want[i]) for i in want)
+
+    check(S.static_embedding(terms, table, 12))
+    before = S.TABLE_BYTES
+    try:
+        S.TABLE_BYTES = 0
+        check(S.static_embedding(terms, table, 12))
+    finally:
+        S.TABLE_BYTES = before
+    alone = S.embed_terms(terms.where("chunk_id in (2, 7)"), S.hashed_lookup(12), 12)
+    assert all(np.allclose(r.v, want[r.chunk_id]) for r in alone.collect())
+    assert S.embed_terms(terms.limit(0), S.hashed_lookup(12), 12).count() == 0
+
+
+def test_hashed_matrix_equals_the_column(spark):
+    texts = ["", "a", "ä b", "x" * 1000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.v for r in df.select("t", V.hashed_vector(df.t, 20).alias("v")).collect()}
+    assert np.allclose([got[t] for t in texts], V.hashed_matrix(texts, 20))
+
+
+def test_scaled_and_unit(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([0.6, 0.8],)], "v array<float>")
+    assert [[round(x, 6) for x in r[0]] for r in df.select(V.unit(df.v)).collect()] == [[0.6, 0.8], [0.0, 0.0], [0.6, 0.8]]
+    assert [[round(x, 6) for x in r[0]] for r in df.select(V.scaled(df.v)).collect()] == [[0.6, 0.8], [0.0, 0.0], [0.6, 0.8]]
+
+
+def test_cosine_in_blocks_of_queries_and_with_ties(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 8))
+    v[50:80] = v[0]  # ties go by id
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>").repartition(5)
+    asked = rows.where("id % 10 = 0").selectExpr("id AS query_id", "v AS q")
+    want = {(q, int(i)): r for q in range(0, 300, 10) for r, i in enumerate(np.lexsort((np.arange(300), -np.round(v @ v[q], 5)))[:7], 1)}
+    for size in (4096, 4):
+        monkeypatch.setattr(R, "QUERY_BLOCK", size)
+        monkeypatch.setattr(R.blocks_of, "__defaults__", (size,))
+        assert {(r.query_id, r.id): r["rank"] for r in R.cosine(rows, asked, 7).collect()} == want
+    assert not {(r.query_id, r.id) for r in R.cosine(rows, asked, 7, exclude_self=True).where("query_id = id").collect()}
+    assert R.cosine(rows, asked.limit(0), 7).count() == 0
+
+
+def test_grep_equals_a_loop(spark):
+    rng = random.Random(2)
+    words = "alpha beta gamma_x delta.y Epsilon zeta".split()
+    files = [(f"f{i:03d}", None if i == 7 else "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(30)))) for i in range(60)]
+    queries = [(1, "alpha"), (2, "gamma_x or delta.y"), (3, "the of"), (4, "missing"), (5, "Epsilon")]
+    asked = {1: ["alpha"], 2: ["gamma_x", "delta.y"], 4: ["missing"], 5: ["Epsilon"]}
+    want = {}
+    for q, ws in asked.items():
+        found = [(p, i) for p, c in files if c is not None for i, line in enumerate(c.split("\n"), 1) if any(w in line for w in ws)]
+        want |= {(q, p, i): r for r, (p, i) in enumerate(sorted(found)[:25], 1)}
+    got = R.grep(spark.createDataFrame(files, "path string, content string").repartition(3), spark.createDataFrame(queries, "query_id bigint, text string"), 25)
+    assert {(r.query_id, r.path, r.line_no): r["rank"] for r in got.collect()} == want
+
+
+def test_one_row_for_each_key(spark):
+    rows = [(1, "a", 1), (1, "b", 3), (1, "c", 3), (2, "x", None), (2, "x", None), (3, None, 5), (None, "n", 1)]
+    df = spark.createDataFrame(rows, "k bigint, v string, at int")
+    assert sorted((r.k, r.v, r.at) for r in once(df, "k", "at").collect()) == [(1, "c", 3), (2, "x", None), (3, None, 5)]
+    assert once(df.limit(0), "k").count() == 0
+
+
+def test_states_of_many_files(spark):
+    files = spark.createDataFrame([("r", f"p{i}", i) for i in range(500)] + [("q", "p", 1)], "repo string, path string, mtime bigint")
+    state = lambda df: {r.repo: r.state for r in S.state_ids(df, "repo", "path", "mtime").collect()}
+    first = state(files)
+    assert state(files.repartition(7)) == first and first["r"] != first["q"] and all(s.startswith("mtime:") and len(s) == 70 for s in first.values())
+    assert state(files.where("path <> 'p77'"))["r"] != first["r"] and state(files.withColumn("mtime", F.when(F.col("path") == "p9", 0).otherwise(F.col("mtime"))))["r"] != first["r"]

@@ -129,6 +129,36 @@ def _skip_space(bare: str, at: int) -> int:
     return at
 
 
+def _back(bare: str, at: int) -> int:
+    """The place behind the last character before ``at`` that isn't white space."""
+    while at > 0 and bare[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _before(bare: str, at: int) -> str:
+    """The last character before ``at`` that isn't white space, '' if there is none."""
+    at = _back(bare, at)
+    return bare[at - 1] if at else ""
+
+
+def _innermost(bare: str, pairs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Places in order and, from each on, the innermost open brace (-1 outside of all)."""
+    ends = {b for a, b in pairs.items() if bare[a] == "{"}
+    stack, places, blocks = [-1], [0], [-1]
+    for m in re.finditer(r"[{}]", bare):
+        at = m.start()
+        if at in pairs:
+            stack.append(at)
+        elif at in ends and len(stack) > 1:
+            stack.pop()
+        else:
+            continue
+        places.append(at + 1)
+        blocks.append(stack[-1])
+    return places, blocks
+
+
 def _body(bare: str, pairs: dict[int, int], paren: int) -> int | None:
     """The brace that opens the body behind a parameter list; None if there is none."""
     close = pairs.get(paren)
@@ -141,8 +171,7 @@ def _body(bare: str, pairs: dict[int, int], paren: int) -> int | None:
             c = bare[at]
             if c == "{":
                 after = _skip_space(bare, pairs.get(at, at) + 1)
-                before = bare[:at].rstrip()[-1:]
-                if before in (":", "|", "&", "<", ",") or bare[after : after + 1] == "{":
+                if _before(bare, at) in (":", "|", "&", "<", ",") or bare[after : after + 1] == "{":
                     at = pairs.get(at, len(bare)) + 1
                     continue
                 return at
@@ -168,9 +197,12 @@ def _statement_end(bare: str, pairs: dict[int, int], at: int) -> int:
         if c in "})]":
             return at
         if c == "\n":
-            ahead = bare[_skip_space(bare, at) :][:1]
-            if bare[:at].rstrip()[-1:] not in "=+-*/&|?:,.<>(" and (not ahead or ahead not in ".?:&|+-*/,)=<>"):
+            after = _skip_space(bare, at)
+            prior = _before(bare, at)
+            if (not prior or prior not in "=+-*/&|?:,.<>(") and (after == len(bare) or bare[after] not in ".?:&|+-*/,)=<>"):
                 return at
+            at = after
+            continue
         at += 1
     return len(bare)
 
@@ -291,13 +323,11 @@ def _java(bare: str, pairs: dict[int, int]):
         if m[1] in ("class", "interface", "enum") and not annotation:
             types.append(Definition(statement(m.start()), pairs.get(body, len(bare) - 1) + 1, f"{m[1]}_declaration", m[2]))
     yield from types
-    opened = sorted(p for p in pairs if bare[p] == "{")
+    places, blocks = _innermost(bare, pairs)
     for m in _JAVA_NAME.finditer(bare):
         paren = m.end() - 1
-        k = bisect_right(opened, m.start()) - 1
-        while k >= 0 and pairs[opened[k]] < m.start():
-            k -= 1
-        if k < 0 or bodies.get(opened[k], ("@interface",))[0] == "@interface" or m[1] in _KEYWORDS:
+        kind, owner = bodies.get(blocks[bisect_right(places, m.start()) - 1], ("", ""))
+        if kind in ("", "@interface") or m[1] in _KEYWORDS:
             continue
         start = statement(m.start())
         header = re.sub(r"@[\w.$]+\s*(?:\([^()]*\))?", " ", bare[start : m.start()])
@@ -320,7 +350,7 @@ def _java(bare: str, pairs: dict[int, int]):
         words = re.sub(r"\b(?:public|private|protected|static|final|abstract|native|synchronized|default|strictfp)\b", " ", header).split()
         if words:
             yield Definition(start, end, "method_declaration", m[1])
-        elif bare[at] == "{" and m[1] == bodies[opened[k]][1]:
+        elif bare[at] == "{" and m[1] == owner:
             yield Definition(start, end, "constructor_declaration", m[1])
 
 

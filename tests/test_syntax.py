@@ -198,3 +198,19 @@ def test_table_function_and_given_chunker(spark):
     assert {"add", "make", "Empty"} <= {r.symbol_name for r in rows} and len(rows) == 10
     whole = C.chunk_files(spark.createDataFrame([("a.ts", "x\ny")], "path string, content string"), lambda content, language: [(1, 2, "whole", None, language)])
     assert [(r.kind, r.symbol_name, r.content) for r in whole.collect()] == [("whole", "typescript", "x\ny")]
+
+
+@pytest.mark.parametrize("language,unit", [("java", "  int m%d(int a) { if (a > 0) { return g(a); } return 0; }\n"), ("typescript", "  m%d(a: number): { x: number } { return { x: g(a) }; }\n"), ("javascript", "const f%d = (a) =>\n  g(a)\n    .then(b);\n"), ("go", "func f%d(a int) error { return g(a) }\n")])
+def test_large_files_in_linear_time(language, unit):
+    import time
+
+    def run(n):
+        body = "".join(unit % i for i in range(n))
+        text = f"class A {{\n{body}}}\n" if language in ("java", "typescript") else body
+        began = time.perf_counter()
+        got = named(text, language)
+        return len(got), time.perf_counter() - began
+
+    assert run(500)[0] == 500
+    n, seconds = run(8000)
+    assert n == 8000 and seconds < 10

@@ -248,7 +248,7 @@ def related(chunks: DataFrame, terms: DataFrame, regions: DataFrame, k: int = 5,
 
     By the seed's vector where ``vectors`` (id, v) are given, else by BM25 over its content.
     """
-    found = seeds(chunks, regions)
+    found = materialise(seeds(chunks, regions), "seeds")
     if vectors is not None:
         asked = found.join(vectors.select(F.col("id").alias("chunk_id"), F.col("v").alias("q")), "chunk_id")
         hits = cosine(vectors, asked.select("query_id", "q"), k + 1).withColumnRenamed("id", "chunk_id")

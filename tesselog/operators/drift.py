@@ -410,77 +410,81 @@ def changes(usage: DataFrame, link: str = LINK, synonyms: bool = True) -> DataFr
 #: More columns than this stay together in one map column instead of columns of their own.
 MAX_COLUMNS = 1000
 
-_FIELDS = "path string, shape string, quantity string, apart boolean"
+_SAID = "struct<path:string,text:string,shape:string>"
+_SAID_ARROW = pa.struct([("path", pa.string()), ("text", pa.string()), ("shape", pa.string())])
 
 
-def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: set[tuple] = set()
+        readable, apart, ends = [], [], [0]
+        paths, texts, shapes = [], [], []
         for text in batch.column("payload").to_pylist():
-            found: dict[str, dict[str, str]] = {}
-            for path, value in leaves(_payload(text) or {}):
-                found.setdefault(quantity(path), {})[path] = plain(value)
-                seen.add((path, shape(value), quantity(path), False))
-            for name, values in found.items():  # two values of one quantity in one record: it is no one quantity
-                if len(set(values.values())) > 1:
-                    seen |= {(path, None, name, True) for path in values}
-        rows = list(zip(*seen)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.string(), pa.string(), pa.bool_()))], names=[x.split()[0] for x in _FIELDS.split(", ")])
-
-
-def fields(usage: DataFrame) -> DataFrame:
-    """path, shape, quantity, apart: distinct per task and batch; apart where a record holds another value under another path of the quantity."""
-    ship(usage.sparkSession)
-    return usage.select("payload").mapInArrow(_fields, _FIELDS)
-
-
-def column_names(found: DataFrame) -> DataFrame:
-    """path, column, shapes: paths of one quantity share a column unless some record holds different values under two of them; then each path has its own."""
-    per = found.groupBy("quantity", "path").agg(F.collect_set("shape").alias("shapes"))
-    apart = found.where("apart").select("quantity").distinct().withColumn("apart", F.lit(True))
-    own = F.regexp_replace("path", r"[^\p{L}\p{N}_]+", "_")
-    return per.join(apart, "quantity", "left").select("path", F.when(F.col("apart"), own).otherwise(F.col("quantity")).alias("column"), "shapes")
-
-
-def union_schema(found: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
-    """(path -> column, column -> SQL type): the fold of all files' shapes; of at most MAX_COLUMNS columns, by name, with at most as many paths each on average."""
-    named = materialise(column_names(found), "columns")
-    first = named.select("column").distinct().orderBy("column").limit(MAX_COLUMNS)
-    rows = named.join(first, "column").orderBy("column", "path").limit(MAX_COLUMNS * 10).collect()
+            got = _payload(text)
+            seen: dict[str, str] = {}
+            mixed: set[str] = set()
+            met: set[str] = set()
+            for path, value in leaves(got or {}):
+                said = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+                name = quantity(path)
+                if name in seen and seen[name] != plain(value):  # two values of one quantity in one record: it is no one quantity
+                    mixed.add(name)
+                seen.setdefault(name, _Lazy(value))
+                if path in met:  # a key with a dot and a nested key can have one path
+                    path = f"{path}#{len(met)}"
+                met.add(path)
+                paths.append(path)
+                texts.append(said)
+                shapes.append(shape(value))
+            readable.append(got is not None)
+            apart.append(sorted(mixed))
+            ends.append(len(paths))
+        inner = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in (paths, texts, shapes)], fields=list(_SAID_ARROW))
+        keep = [batch.column(k) for k in ("record_id", "producer", "file_seq", "line_no")]
+        yield pa.RecordBatch.from_arrays(
+            [*keep, pa.array(readable), pa.array(apart, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)],
+            names=["record_id", "producer", "file_seq", "line_no", "readable", "apart", "leaves"],
+        )
+
+
+class _Lazy:
+    """A leaf that is compared by what it says, which is found out only then."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value):
+        self.value = value
+
+    def __eq__(self, said):
+        return plain(self.value) == said
+
+    __hash__ = None
+
+
+def texts(records_: DataFrame) -> DataFrame:
+    """record_id, producer, file_seq, line_no, readable, apart, leaves (path, text, shape): one parse of each record; apart names the quantities that it has different values of."""
+    ship(records_.sparkSession)
+    schema = f"record_id bigint, producer string, file_seq int, line_no int, readable boolean, apart array<string>, leaves array<{_SAID}>"
+    return records_.select("record_id", "producer", F.col("file_seq").cast("int").alias("file_seq"), F.col("line_no").cast("int").alias("line_no"), "payload").mapInArrow(_texts, schema)
+
+
+def union_schema(rows: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+    """(path -> column, column -> SQL type) of rows of ``texts``: the fold of all shapes, of at most MAX_COLUMNS columns by name with ten times as many paths.
+
+    Paths of one quantity share a column unless some record holds different
+    values under two of them; then each path has its own.
+    """
+    per = rows.select(F.explode("leaves").alias("l")).groupBy("l.path").agg(F.sort_array(F.collect_set("l.shape")).alias("shapes"))
+    found = per.orderBy("path").limit(MAX_COLUMNS * 10).collect()
+    apart = {r[0] for r in rows.select(F.explode("apart")).distinct().limit(MAX_COLUMNS * 10).collect()}
     of, kinds = {}, {}
-    for r in rows:
-        of[r["path"]] = r["column"]
-        for s in r["shapes"]:
-            kinds[r["column"]] = join_shapes(kinds.get(r["column"], s), s)
-    return of, {c: _SQL[k] for c, k in kinds.items()}
-
-
-def _texts(of: dict[str, str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, rest, readable = [], [], []
-            for text in batch.column("payload").to_pylist():
-                got = _payload(text)
-                values: dict[str, str] = {}
-                other: dict[str, str] = {}
-                for path, value in leaves(got or {}):
-                    said = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
-                    name = of.get(path)
-                    if name is None or name in values:
-                        if name is None or values[name] != said:
-                            other[path] = said
-                    else:
-                        values[name] = said
-                readable.append(got is not None)
-                out.append(list(values.items()))
-                rest.append(list(other.items()))
-            keep = [batch.column(k) for k in ("record_id", "producer", "file_seq", "line_no")]
-            kind = pa.map_(pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(readable), pa.array(out, kind), pa.array(rest, kind)], names=["record_id", "producer", "file_seq", "line_no", "readable", "fields", "other"]
-            )
-
-    return run
+    for path, shapes in found:
+        name = quantity(path)
+        name = re.sub(r"\W+", "_", path) if name in apart else name
+        of[path] = name
+        for s in shapes:
+            kinds[name] = join_shapes(kinds.get(name, s), s)
+    first = sorted(kinds)[:MAX_COLUMNS]
+    return {p: c for p, c in of.items() if c in set(first)}, {c: _SQL[kinds[c]] for c in first}
 
 
 def _cast(value, kind: str):
@@ -507,15 +511,18 @@ def consistent(usage: DataFrame, link: str = LINK) -> DataFrame:
     file counts.  A value that its column can't take (a second one of its
     quantity, or of a path beyond MAX_COLUMNS) stays in other_fields by path.
     """
-    of, schema = union_schema(fields(usage))
-    rows = latest_records(usage).mapInArrow(_texts(of), "record_id bigint, producer string, file_seq int, line_no int, readable boolean, fields map<string,string>, other map<string,string>")
-    rows = rows.where("readable")
-    named = F.element_at("fields", of[link]) if link in of else F.lit(None).cast("string")
-    key = F.coalesce(named, F.concat(F.lit("\0"), F.col("record_id").cast("string")))
-    entries = [F.map_entries("fields").alias("e"), F.map_entries("other").alias("o")]
-    first = F.min(F.struct(F.coalesce("file_seq", F.lit(2**31 - 1)).alias("s"), "record_id", "file_seq", "line_no", *entries)).alias("b")
+    rows = materialise(texts(latest_records(usage)).where("readable"), "texts")
+    of, schema = union_schema(rows)
+    pair = F.transform("leaves", lambda x: F.struct(x["path"], x["text"])).alias("e")
+    key = F.coalesce(F.get(F.filter("leaves", lambda x: x["path"] == link), 0)["text"], F.concat(F.lit("\0"), F.col("record_id").cast("string")))
+    first = F.min(F.struct(F.coalesce("file_seq", F.lit(2**31 - 1)).alias("s"), "record_id", "file_seq", "line_no", pair)).alias("b")
     once = rows.groupBy("producer", key.alias("_key")).agg(first)
-    once = once.select("b.record_id", "producer", "b.file_seq", "b.line_no", F.map_from_entries("b.e").alias("fields"), F.map_from_entries("b.o").alias("other_fields"))
+    once = once.select("b.record_id", "producer", "b.file_seq", "b.line_no", F.map_from_entries("b.e").alias("fields"))
     taken = {"record_id", "producer", "file_seq", "line_no", "other_fields"}
-    columns = [_cast(F.element_at("fields", q), t).alias(q if q not in taken else f"{q}_value") for q, t in schema.items()]
-    return once.select("record_id", "producer", "file_seq", "line_no", *columns, "other_fields")
+    under: dict[str, list[str]] = {}
+    for path, name in of.items():
+        under.setdefault(name, []).append(path)
+    value = lambda q: F.coalesce(*(F.element_at("fields", F.lit(p)) for p in under[q]))
+    columns = [_cast(value(q), t).alias(q if q not in taken else f"{q}_value") for q, t in schema.items()]
+    rest = F.map_filter("fields", lambda k, _: ~k.isin(list(of)) if of else F.lit(True)).alias("other_fields")
+    return once.select("record_id", "producer", "file_seq", "line_no", *columns, rest)

@@ -140,3 +140,8 @@ def test_one_request_many_times(spark):
     assert report(table(spark, *old, *new)) == [("p", 2, "added", "", "b"), ("p", 2, "removed", "a", "")]
     named = [("p", 2, {"request_id": "r", "a_text": "x" * 100_000})] * 50
     assert report(table(spark, *old, *named)) == [("p", 2, "renamed", "a", "a_text")]
+
+
+def test_one_path_twice_in_a_record(spark):
+    (row,) = drift.consistent(table(spark, ("p", 1, '{"a.b": 1, "a": {"b": 2}}'))).collect()
+    assert {1, 2} <= {v for k, v in row.asDict().items() if k not in ("record_id", "file_seq", "line_no", "other_fields")}

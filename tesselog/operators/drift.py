@@ -22,7 +22,8 @@ count once, the one received last; rows with a null record_id are left out of
 the table; a path whose values have several kinds in one file counts as the
 join of them; empty names and dots inside keys are taken as they are; of
 several records of one file and link one is compared.  Past MAX_COLUMNS columns, by name, fields stay texts in
-``other_fields``; so do further values of a quantity within one record.
+``other_fields``; a second leaf of one path, which a dot inside a key can make,
+goes by the path with a number.
 """
 
 from __future__ import annotations
@@ -508,8 +509,9 @@ def consistent(usage: DataFrame, link: str = LINK) -> DataFrame:
     """All readable records under the union schema; requests reported again count once.
 
     Of several records of one ``link`` and producer the one of the earliest
-    file counts.  A value that its column can't take (a second one of its
-    quantity, or of a path beyond MAX_COLUMNS) stays in other_fields by path.
+    file counts.  A value whose path has no column (beyond MAX_COLUMNS) stays in
+    other_fields by path; of values of one column in one record, which all say
+    the same, the first by path stands.
     """
     rows = materialise(texts(latest_records(usage)).where("readable"), "texts")
     of, schema = union_schema(rows)

@@ -1,9 +1,9 @@
 """Ranked retrieval: an inverted index with BM25, vectors, fusion, ranking signals, reranking and related chunks.
 
 A batch of queries is the unit: queries(query_id, text) against
-chunks(chunk_id, file_path, content).  Only postings of query terms are
-shuffled, after a partial aggregation in the tasks that read the chunks; top k
-is a window with a group limit, which keeps k rows per query and task.
+chunks(chunk_id, file_path, content).  The queries go to the tasks that read
+the chunks, in blocks; of what a query finds only k rows for each task are
+shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +80,102 @@ def top_k(hits: DataFrame, k: int, by: str = "score", tie: str = "chunk_id", gro
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def query_terms(queries: DataFrame, keep_dotted: bool = True, by: str | None = None) -> DataFrame:
-    """query_id, term (and ``by``): distinct terms of each query."""
-    keep = [by] if by else []
-    return queries.select("query_id", *keep, F.explode(F.array_distinct(T.tokens(F.col("text"), keep_dotted))).alias("term"))
+class _Asked:
+    """Queries of one corpus as weights of their terms: those of many queries as a matrix, the others as lists of who asks for them."""
+
+    def __init__(self, asked: pa.Table, rows: np.ndarray):
+        self.rows, self.n = rows, len(rows)
+        part = asked.take(pa.array(rows)).combine_chunks()
+        self.avgdl = part.column("avgdl")[0].as_py()
+        lists = part.column("terms").chunk(0)
+        coded = lists.flatten().dictionary_encode()
+        self.vocabulary = coded.dictionary
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(self.n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        idf = part.column("idf").chunk(0).flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(code, minlength=len(self.vocabulary))
+        often = np.argsort(-counts, kind="stable")[:_DENSE]
+        often = often[counts[often] * 16 >= self.n]
+        self.place = np.full(len(counts), -1)
+        self.place[often] = np.arange(len(often))
+        at = self.place[code]
+        self.matrix = np.zeros((len(often), self.n))
+        self.matrix[at[at >= 0], owner[at >= 0]] = idf[at >= 0]
+        by_term = np.argsort(code, kind="stable")
+        self.owner, self.idf = owner[by_term], idf[by_term]
+        self.starts, self.counts = np.cumsum(counts) - counts, counts
+
+    def scores(self, row: np.ndarray, code: np.ndarray, weight: np.ndarray, height: int) -> np.ndarray:
+        """height x n: the sums over the entries (row, code of a term, weight in that row)."""
+        at = self.place[code]
+        dense, rare = at >= 0, at < 0
+        wide = np.zeros((height, len(self.matrix)))
+        wide[row[dense], at[dense]] = weight[dense]
+        out = wide @ self.matrix
+        counts = self.counts[code[rare]]
+        if counts.any():
+            index = np.arange(counts.sum()) + np.repeat(self.starts[code[rare]] - (np.cumsum(counts) - counts), counts)
+            cell = np.repeat(row[rare] * self.n, counts) + self.owner[index]
+            out += np.bincount(cell, np.repeat(weight[rare], counts) * self.idf[index], minlength=out.size).reshape(out.shape)
+        return out
+
+
+def _best_words(asked: pa.Table, k: int, config: Bm25, digits: int):
+    names = asked.column("query_id").combine_chunks()
+    unit = 10.0**digits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes = np.array(asked.column("group").to_pylist(), object)
+        corpora = {g: _Asked(asked, np.flatnonzero(homes == g)) for g in sorted(set(homes))}
+        floor, floor_id = np.zeros(len(names)), None
+        held: tuple = ()
+        fresh: list[tuple] = []
+
+        def settle() -> None:
+            """Keep the k best of each query, larger scores and smaller ids first, and what others have to pass."""
+            nonlocal held, floor_id
+            at, ids, score = (np.concatenate(x) for x in zip(*([held] if held else []), *fresh))
+            fresh.clear()
+            order = np.lexsort((ids, -score, at))
+            at, ids, score = at[order], ids[order], score[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+            held = at, ids, score = at[keep], ids[keep], score[keep]
+            last = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == k - 1)
+            floor_id = np.zeros(len(floor), ids.dtype) if floor_id is None else floor_id.astype(ids.dtype)
+            floor[at[last]], floor_id[at[last]] = score[last], ids[last]
+
+        for batch in batches:
+            for home, corpus in corpora.items():
+                part = batch.filter(pc.equal(batch.column("group"), home))
+                ids = part.column("chunk_id").to_numpy(zero_copy_only=False)
+                ids = ids.astype(str) if ids.dtype == object else ids
+                lists, dl = part.column("terms"), part.column("dl").to_numpy(zero_copy_only=False)
+                code = pc.fill_null(pc.index_in(lists.flatten(), value_set=corpus.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[code >= 0]
+                entry, tf = np.unique(row * len(corpus.vocabulary) + code[code >= 0], return_counts=True)
+                row, code = np.divmod(entry, len(corpus.vocabulary))
+                weight = tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * dl[row] / corpus.avgdl))
+                step = max(1, _CELLS // 2 // corpus.n)
+                for first in range(0, len(ids), step):
+                    a, b = np.searchsorted(row, (first, first + step))
+                    if a == b:
+                        continue
+                    sums = corpus.scores(row[a:b] - first, code[a:b], weight[a:b], min(step, len(ids) - first))
+                    of, q = np.nonzero(sums > np.maximum(floor[corpus.rows] - 2 / unit, 0))
+                    at, here, score = corpus.rows[q], ids[first + of], np.floor(sums[of, q] * unit + 0.5) / unit
+                    better = score > floor[at]
+                    if floor_id is not None:
+                        better |= (score > 0) & (score == floor[at]) & (here < floor_id[at])
+                    fresh.append((at[better], here[better], score[better]))
+                    if sum(len(x[0]) for x in fresh) >= max(1 << 18, len(held[0]) if held else 0):
+                        settle()
+        if fresh:
+            settle()
+        if held:
+            at, ids, score = held
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(ids.tolist() if ids.dtype.kind == "U" else ids), pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+    return run
 
 
 def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(), digits: int = 6, by: str | None = None) -> DataFrame:
@@ -90,25 +183,43 @@ def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(
 
     With ``by``, a column of both tables, its values are corpora of their own:
     a query meets only chunks of its value, under their statistics.
+
+    Queries of the same terms are scored once.  They go to every task in
+    blocks, the chunks stream past them, and k rows of each leave a task: no
+    pair of a query and a chunk that shares a term with it is ever shuffled.
     """
-    keep = [by] if by else []
-    key = ["term", *keep]
-    wanted = materialise(query_terms(queries, by=by), "query_terms")
-    found = _each(terms, keep).join(wanted.select(key).distinct(), key, "left_semi")
-    posts = materialise(found.groupBy(*key, "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
-    df = posts.groupBy(key).agg(F.count("*").alias("df"))
+    spark = terms.sparkSession
+    ship(spark)
+    group = (F.col(by).cast("string") if by else F.lit("")).alias("group")
+    chunks = terms.select("chunk_id", group, "dl", "terms")
+    words = F.array_sort(F.array_distinct(T.tokens(F.col("text"), True))).alias("terms")
+    asked = queries.select("query_id", group, words).where("group is not null and size(terms) > 0")
+    asked = materialise(asked.withColumn("same", F.sha2(F.to_json(F.struct("group", "terms")), 256)), "asked")
+    wanted = materialise(asked.dropDuplicates(["same"]).select("same", "group", F.explode("terms").alias("term")), "wanted")
+    # which chunks hold a term is counted before anything is shuffled: a task gives out each term once
+    df = chunks.select("group", F.explode_outer(F.array_distinct("terms")).alias("term")).where("term is not null").groupBy("group", "term").agg(F.count("*").alias("df"))
+    stats = chunks.groupBy("group").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    # the weight of each query term is a narrow table whose size is known when the postings meet it
-    known = wanted.join(df, key)
-    known = known.join(terms.groupBy(by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), by) if by else known.crossJoin(corpus_stats(terms))
-    weights = materialise(known.select("query_id", *key, idf.alias("idf"), "avgdl"), "weights")
-    part = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    hits = posts.join(weights, key).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), digits).alias("score"))
-    return top_k(hits.where("score > 0"), k)
+    known = wanted.join(df, ["group", "term"]).join(stats, "group").select(F.col("same").alias("query_id"), "group", "avgdl", F.struct("term", idf.alias("idf")).alias("x"))
+    weights = known.groupBy("query_id", "group").agg(F.first("avgdl").alias("avgdl"), F.collect_list("x").alias("x"))
+    weights = materialise(weights.select("query_id", "group", "avgdl", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf")), "weights")
+    size = weights.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).first()
+    schema = f"query_id string, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+    found = None
+    for block in blocks_of(weights, max(1, min(QUERY_BLOCK, _TERMS * size.n // max(1, size.terms or 0)))):
+        if block.num_rows:
+            part = materialise(chunks.mapInArrow(_best_words(block, k, config, digits), schema), "words")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    best = top_k(found.withColumn("score", F.round("score", digits)), k).withColumnRenamed("query_id", "same")
+    return asked.select("query_id", "same").join(best, "same").select("query_id", "chunk_id", "score", "rank")
 
 
 #: Queries answered by one pass over the rows; a larger query set takes several.
 QUERY_BLOCK = 4096
+#: Terms of the queries of such a block, and how many of them, those of most queries, are weighed by a matrix product.
+_TERMS, _DENSE = 1 << 19, 512
 _CELLS = 1 << 21  # scores held at a time
 
 

@@ -424,14 +424,60 @@ def random_index(i: Column, n: Column | int, seed: int = 0xB7C8D9E1) -> Column:
 Statistic = Callable[[Column], Column]
 
 
+#: Statistics that are taken in the tasks that draw; any other one is taken of the drawn rows.
+_DIRECT = {F.avg: np.mean, F.median: np.median}
+_BOUNDS = (0.05, 0.5, 0.95)
+
+
+def _drawn(first: int, last: int, n: int, seed: int = 0xB7C8D9E1) -> np.ndarray:
+    """(last - first) x n: what ``random_index`` draws in the iterations first .. last - 1."""
+    i = (np.arange(first * n, last * n, dtype=np.uint64) + np.uint64(1)).astype(np.uint32)
+    s = np.uint32(seed) + i * np.uint32(0x6D2B79F5)
+    t = (s ^ (s >> np.uint32(15))) * (s | np.uint32(1))
+    t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+    t ^= t >> np.uint32(14)
+    return np.floor(t / 2.0**32 * n).astype(np.int64).reshape(last - first, n)
+
+
+def _resampled(statistic, iterations: int):
+    def bounds(values: pa.Array) -> list[float | None]:
+        known, v, n = values.is_valid().to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False).astype(np.float64), len(values)
+        found: list = []
+        for first in range(0, iterations, max(1, _CELLS // 2 // n)):
+            at = _drawn(first, min(iterations, first + max(1, _CELLS // 2 // n)), n)
+            if known.all():
+                found.append(statistic(v[at], axis=1))
+            else:
+                found.append(np.array([statistic(v[x][known[x]]) for x in at if known[x].any()], np.float64))
+        m = np.sort(np.concatenate(found))
+        none = iterations - len(m)  # resamples without a value come first
+        return [None if math.floor(iterations * p) < none else float(m[math.floor(iterations * p) - none]) for p in _BOUNDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [bounds(x.values) for x in batch.column("sample")]
+            columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(_BOUNDS))]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("value"), *columns], names=["name", "value", "p05", "p50", "p95"])
+
+    return run
+
+
 def bootstrap(samples: DataFrame, statistic: Statistic = F.avg, iterations: int = 2000, digits: int = 6) -> DataFrame:
     """name, value, p05, p50, p95: a statistic of each group of samples (name, pos from 0, value), and of its resamples.
 
     ``statistic`` is any aggregate of a column: F.avg, F.median, a grouped
     Pandas function.  Draw j of iteration i is draw i * n + j of the generator,
-    computed from its number alone, so iterations are spread over the cluster;
-    a group's sample is joined by position.
+    computed from its number alone.  F.avg and F.median are taken where a
+    group's sample is drawn from, and only the bounds leave a task; any other
+    statistic is taken of rows, one for each draw, the sample joined by position.
     """
+    if statistic in _DIRECT:
+        ship(samples.sparkSession)
+        held = samples.groupBy("name").agg(statistic(F.col("value")).cast("double").alias("value"), F.sort_array(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("v")))).alias("x"))
+        # few bytes, much work: dealt to all cores, which the number of bytes would not call for
+        held = held.select("name", "value", F.col("x.v").alias("sample")).repartition(samples.sparkSession.sparkContext.defaultParallelism, "name")
+        out = held.mapInArrow(_resampled(_DIRECT[statistic], iterations), "name string, value double, p05 double, p50 double, p95 double")
+        return out.select("name", F.round("value", digits).alias("value"), *(F.round(F.round(c, 9), digits).alias(c) for c in ("p05", "p50", "p95")))
     sizes = samples.groupBy("name").agg(F.count("*").alias("n"))
     rounds = sizes.select("name", "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it"))
     # few bytes, much work: dealt to all cores, which the number of bytes would not call for

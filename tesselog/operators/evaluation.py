@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselog.operators import retrieval as R
+from tesselog.session import materialise
 
 Adapter = Callable[[DataFrame, int], DataFrame]
 
@@ -88,13 +89,18 @@ def ndcg_report(ranked: DataFrame, tasks: DataFrame, relevant: DataFrame, k: int
 
 
 def model_scores(models: dict[str, Adapter], tasks: DataFrame, chunks: DataFrame, relevant: DataFrame, reading: DataFrame, top: int = TOP) -> DataFrame:
-    """model, query_id, repo, saved (percent), recall, mrr of each task and retriever, all without ranking signals."""
+    """model, query_id, repo, saved (percent), recall, mrr of each task and retriever, all without ranking signals.
+
+    Hits and rows of a retriever are written before the next one starts, so no
+    plan holds more than one of them.
+    """
     out = None
     for name, adapter in models.items():
-        hits = adapter(tasks, top)
+        hits = materialise(adapter(tasks, top), "hits")
         cost = task_results(tasks, search_side(hits, chunks, tasks, relevant, top), reading)
         found = R.metrics(ranked_items(hits, chunks), relevant, top)
         rows = cost.join(found, "query_id", "left").select(F.lit(name).alias("model"), "query_id", "repo", F.col("percent").alias("saved"), "recall", "mrr")
+        rows = materialise(rows, "model_rows")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -41,7 +41,8 @@ class Setting:
         self.chunks = materialise(rows, "chunks")
         asked = self.chunks.where("chunk_id % 100 = 0 and symbol_name is not null")
         self.tasks = materialise(asked.select(F.col("chunk_id").alias("query_id"), "repo", F.col("symbol_name").alias("text")), "tasks")
-        self.relevant = self.tasks.join(self.chunks.select("repo", F.col("symbol_name").alias("text"), F.col("path").alias("item")), ["repo", "text"]).where(T.is_text_file(F.col("item"))).select("query_id", "item").distinct()
+        relevant = self.tasks.join(self.chunks.select("repo", F.col("symbol_name").alias("text"), F.col("path").alias("item")), ["repo", "text"]).where(T.is_text_file(F.col("item"))).select("query_id", "item").distinct()
+        self.relevant = materialise(relevant, "relevant")
 
     def terms(self) -> DataFrame:
         return materialise(R.index_terms(self.chunks, by="repo"), "terms")

@@ -17,16 +17,12 @@ indexed, all are queries.  ``exact_nearest`` is the exact way: a stated set of
 queries, in blocks, against all rows.
 
 A file is searched in blocks of rows, so its memory is linear in its size.  One
-with more than ``file_rows`` vectors is split by a further pivot, and again,
-until each part is small: every vector goes to the files of the FAN nearest
-pivots that the file's name, a set of pivots, still lacks, so close vectors
-whose orders differ a little meet in one of them.  Counts are found by partial
-aggregation, and only overfull files go another round; a hot region becomes
-many files, and no task holds more than ``file_rows`` vectors.  Vectors with
-one and the same whole order are dealt to parts along a random direction, which
-keeps the closest ones together.  Copies, which are vectors of one direction
-whatever their length, never meet in a file: they are represented by one row
-and joined back at the end.
+with more than ``file_rows`` vectors is cut into blocks of about half as many,
+and every pair of blocks is searched in a task of its own: all that share a
+file meet, whatever its size, and no task holds more than about ``file_rows``
+vectors; work and shuffle of such a file grow with its square.  Copies, which
+are vectors of one direction whatever their length, never meet in a file: they
+are represented by one row and joined back at the end.
 
 Defined cases: vectors that are null, of another size than ``dim``, all zero or
 that hold null, NaN or an infinity take no part; length plays no role; rows of
@@ -47,7 +43,6 @@ from pyspark.sql import functions as F
 from tesselog.session import materialise, ship
 
 ORDER, CANDIDATES, FILE_ROWS = 8, 100, 16_384
-FAN = 5
 #: Vectors sampled to fit the index (half of them may become pivots), how many of them are searched exactly, and how often these must meet their neighbours.
 SAMPLE, PROBES, TARGET, LOSS = 8192, 256, 0.99, 0.005
 #: What a pair compared in a file, a pivot compared and a row posted cost, in nanoseconds.
@@ -121,9 +116,7 @@ def _pivot_orders(unit: np.ndarray, pivots: np.ndarray, order: int) -> np.ndarra
     return np.take_along_axis(near, np.lexsort((near, np.take_along_axis(far, near, 1)), axis=1), 1).astype(np.int16)
 
 
-def _orders(pivots: np.ndarray, order: int, dim: int, seed: int):
-    line = np.random.default_rng(seed).normal(size=dim)
-
+def _orders(pivots: np.ndarray, order: int, dim: int):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -132,7 +125,7 @@ def _orders(pivots: np.ndarray, order: int, dim: int, seed: int):
             near = _pivot_orders(unit.astype(np.float32), pivots, order)
             lists = lambda a, t: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(a).reshape(-1), t))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), lists(unit.astype(np.float32), pa.float32()), lists(near, pa.int16()), pa.array(unit @ line)], names=["vec_id", "unit", "pivots", "along"]
+                [batch.column("vec_id"), lists(unit.astype(np.float32), pa.float32()), lists(near, pa.int16())], names=["vec_id", "unit", "pivots"]
             )
 
     return run
@@ -245,27 +238,18 @@ def _keep(files: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray, t: in
     return float(np.quantile(ranks, 1 - LOSS))
 
 
-def _split_files(posts: DataFrame, order: int, file_rows: int) -> DataFrame:
-    """``posts`` (file array<smallint>, vec_id, pivots, along) with the files divided until none is overfull."""
-    posts = posts.withColumn("part", F.lit(0))
-    done = None
-    for depth in range(order):
-        sizes = posts.groupBy("file").agg(F.count("*").alias("n"))
-        over = sizes.where(F.col("n") > file_rows)
-        if over.isEmpty():
-            break
-        over = materialise(over.select("file"), "over")
-        fine = posts.join(over, "file", "left_anti")
-        done = fine if done is None else done.unionByName(fine)
-        rest = posts.join(over, "file")
-        if depth < order - 1:
-            free = F.slice(F.filter("pivots", lambda p: ~F.array_contains("file", p)), 1, FAN)
-            finer = rest.withColumn("next", F.explode(free)).withColumn("file", F.array_sort(F.concat("file", F.array("next")))).drop("next")
-            posts = materialise(finer.dropDuplicates(["file", "vec_id"]), f"posts{depth}")
-        else:  # one whole order: parts along a direction, by ranges of bounded size
-            rank = F.row_number().over(Window.partitionBy("file", F.floor(F.col("along") * 64)).orderBy("along", "vec_id"))
-            posts = rest.withColumn("part", (F.floor(F.col("along") * 64) * 1_000_000 + F.floor(rank / file_rows)).cast("int"))
-    return posts if done is None else done.unionByName(posts)
+def _split_files(posts: DataFrame, file_rows: int) -> DataFrame:
+    """``posts`` (file, vec_id) with ``part``: overfull files in blocks of about half of ``file_rows``, each pair of blocks in a part of its own."""
+    sizes = posts.groupBy("file").agg(F.count("*").alias("n"))
+    over = materialise(sizes.where(F.col("n") > file_rows).select("file", F.ceil(2 * F.col("n") / file_rows).cast("int").alias("blocks")), "over")
+    fine = posts.join(over, "file", "left_anti").withColumn("part", F.lit(0).cast("bigint"))
+    if over.isEmpty():
+        return fine
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: y != F.col("block"))).alias("other")
+    cells = posts.join(over, "file").withColumn("block", block).select(*posts.columns, "block", "blocks", others)
+    part = F.least("block", "other").cast("bigint") * F.col("blocks") + F.greatest("block", "other")
+    return fine.unionByName(cells.withColumn("part", part).drop("block", "blocks", "other"))
 
 
 def _floor_of_best(gain: np.ndarray, best: int) -> np.ndarray:
@@ -324,7 +308,6 @@ def nearest(
     file_rows: int = FILE_ROWS,
     target: float = TARGET,
     least: float = -1.0,
-    seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
     """(neighbours, copies).
 
@@ -358,10 +341,10 @@ def nearest(
     pivots, posted, keep = min(pivots or fitted[0], len(pool)), posted or fitted[1], fitted[2]
     at = pool[:pivots]
     order = max(order, posted)
-    schema = "vec_id bigint, unit array<float>, pivots array<smallint>, along double"
-    known = materialise(heads.mapInArrow(_orders(at, order, dim, seed), schema), "orders")
-    posts = known.select("vec_id", "pivots", "along", F.explode(F.slice("pivots", 1, posted)).alias("p")).withColumn("file", F.array("p")).drop("p")
-    files = _split_files(posts, min(order, len(at)), file_rows).select("vec_id", "file", "part")
+    schema = "vec_id bigint, unit array<float>, pivots array<smallint>"
+    known = materialise(heads.mapInArrow(_orders(at, order, dim), schema), "orders")
+    posts = known.select("vec_id", F.explode(F.slice("pivots", 1, posted)).alias("file"))
+    files = _split_files(posts, file_rows).select("vec_id", "file", "part")
     ready = files.join(known.select("vec_id", "unit", "pivots"), "vec_id")
     found = ready.groupBy("file", "part").applyInArrow(_search(k, candidates, dim, keep, least), "a bigint, near array<struct<cosine:double,b:bigint>>")
     # partial answers of at most k and ties each meet per vector; equal b of several files count once

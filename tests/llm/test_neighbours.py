@@ -117,6 +117,15 @@ def test_one_hot_region_in_split_files(spark):
     assert len(got) == len(set(got)) and len(set(got) & want) / len(want) >= 0.4
 
 
+def test_split_files_lose_no_pair(spark):
+    """All that share a file meet, whether or not the file is overfull."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64)
+    rows = frame(spark, [(i, base + 0.3 * rng.normal(size=64)) for i in range(600)])
+    whole, split = ({tuple(r) for r in N.close_pairs(rows, pivots=16, posted=4, candidates=600, file_rows=n).collect()} for n in (10_000, 100))
+    assert len(whole) > 1000 and split == whole
+
+
 def test_a_large_class_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 7)
     rng = np.random.default_rng(2)

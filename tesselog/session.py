@@ -68,11 +68,12 @@ def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
 def once(rows: DataFrame, key: str, latest: str | None = None) -> DataFrame:
     """One row for each value of ``key`` (not null): the last by ``latest``, then by the other columns in order of their names.
 
-    Which keys occur again is counted on the key alone; only their rows are
-    shuffled, the others pass through where they were read.
+    Which keys occur again is counted on the key alone and written first: where
+    these keys are few enough to be broadcast, only their rows are shuffled, the
+    others pass through where they were read.
     """
     rows = rows.where(F.col(key).isNotNull())
-    again = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    again = materialise(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "again")
     order = [F.desc(c) for c in ([latest] if latest else []) + sorted(c for c, t in rows.dtypes if c not in (key, latest) and not t.startswith(("map", "variant")))]
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     several = rows.join(again, key, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")

@@ -185,8 +185,9 @@ def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(
     a query meets only chunks of its value, under their statistics.
 
     Queries of the same terms are scored once.  They go to every task in
-    blocks, the chunks stream past them, and k rows of each leave a task: no
-    pair of a query and a chunk that shares a term with it is ever shuffled.
+    blocks, the chunks stream past them, and k rows of each leave a task, of
+    which there is one for each core: no pair of a query and a chunk that shares
+    a term with it is ever shuffled, and k rows of each query are kept of a block.
     """
     spark = terms.sparkSession
     ship(spark)
@@ -197,7 +198,7 @@ def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(
     asked = materialise(asked.withColumn("same", F.sha2(F.to_json(F.struct("group", "terms")), 256)), "asked")
     wanted = materialise(asked.dropDuplicates(["same"]).select("same", "group", F.explode("terms").alias("term")), "wanted")
     # which chunks hold a term is counted before anything is shuffled: a task gives out each term once
-    df = chunks.select("group", F.explode_outer(F.array_distinct("terms")).alias("term")).where("term is not null").groupBy("group", "term").agg(F.count("*").alias("df"))
+    df = streams(chunks).select("group", F.explode_outer(F.array_distinct("terms")).alias("term")).where("term is not null").groupBy("group", "term").agg(F.count("*").alias("df"))
     stats = chunks.groupBy("group").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     known = wanted.join(df, ["group", "term"]).join(stats, "group").select(F.col("same").alias("query_id"), "group", "avgdl", F.struct("term", idf.alias("idf")).alias("x"))
@@ -208,11 +209,12 @@ def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(
     found = None
     for block in blocks_of(weights, max(1, min(QUERY_BLOCK, _TERMS * size.n // max(1, size.terms or 0)))):
         if block.num_rows:
-            part = materialise(chunks.mapInArrow(_best_words(block, k, config, digits), schema), "words")
+            part = streams(chunks).mapInArrow(_best_words(block, k, config, digits), schema)
+            part = materialise(top_k(part.withColumn("score", F.round("score", digits)), k), "words")
             found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], schema)
-    best = top_k(found.withColumn("score", F.round("score", digits)), k).withColumnRenamed("query_id", "same")
+        found = spark.createDataFrame([], f"{schema}, rank int")
+    best = found.withColumnRenamed("query_id", "same")
     return asked.select("query_id", "same").join(best, "same").select("query_id", "chunk_id", "score", "rank")
 
 
@@ -262,6 +264,11 @@ def _best_scores(asked: pa.Table, k: int, digits: int, exclude_self: bool):
     return run
 
 
+def streams(rows: DataFrame) -> DataFrame:
+    """``rows`` in at most one partition for each core, so that the rows a search gives out for each task don't grow with the table as well as with the queries."""
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def blocks_of(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[pa.Table]:
     """The query set (query_id, ...) in Arrow tables of about ``size`` rows, one at a time."""
     n = queries.count()
@@ -275,7 +282,8 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 5,
 
     The set is taken in blocks of QUERY_BLOCK; each block goes to every task,
     the rows stream past it as matrix products, and k rows of each query leave
-    a task.
+    a task, of which there is one for each core; k rows of each are kept of a
+    block.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -284,12 +292,10 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 5,
     schema = f"query_id {name}, id {ids}, score double"
     found = None
     for block in blocks_of(queries.select("query_id", "q")):
-        part = vectors.select("id", "v").mapInArrow(_best_scores(block, k, digits, exclude_self), schema)
-        part = materialise(part, "scores")
+        part = streams(vectors.select("id", "v")).mapInArrow(_best_scores(block, k, digits, exclude_self), schema)
+        part = materialise(top_k(part.withColumn("score", F.round("score", digits)), k, tie="id"), "scores")
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    return top_k(found.withColumn("score", F.round("score", digits)), k, tie="id")
+    return found if found is not None else spark.createDataFrame([], f"{schema}, rank int")
 
 
 def fuse(lists: list[DataFrame], k: int | None = None, rrf_k: int = RRF_K, digits: int = 8) -> DataFrame:
@@ -301,15 +307,34 @@ def fuse(lists: list[DataFrame], k: int | None = None, rrf_k: int = RRF_K, digit
     return top_k(fused, k if k is not None else 2**31 - 1)
 
 
+def _holds(ids: pa.ChunkedArray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.is_in(batch.column("chunk_id"), value_set=ids.combine_chunks()))
+
+    return run
+
+
+def among(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of chunks (chunk_id, ...) that ``hits`` can meet: up to HIT_IDS ids go to the tasks that read the chunks, with more all rows stay."""
+    ship(chunks.sparkSession)
+    ids = hits.select("chunk_id").distinct().limit(HIT_IDS + 1).toArrow().column("chunk_id")
+    return chunks if len(ids) > HIT_IDS else chunks.mapInArrow(_holds(ids), chunks.schema)
+
+
+#: Ids of hits that are sent to the tasks; with more of them all contents are shuffled to the hits.
+HIT_IDS = 1 << 22
+
+
 def factors(hits: DataFrame, chunks: DataFrame, queries: DataFrame, config: Signals = Signals()) -> DataFrame:
     """Hits (query_id, chunk_id, score, rank) with the four factors as columns; hits without a chunk are dropped.
 
     Hits are written first, so their size is known where they meet the
-    contents, which few of them then have to move.
+    contents; contents that none of them names are left where they are read.
     """
     hits = materialise(hits, "hits")
     text = queries.select("query_id", T.words(F.col("text")).alias("q_terms"), T.symbol_like(F.col("text")).alias("q_symbol"))
-    known = chunks.select("chunk_id", "file_path", F.coalesce("content", F.lit("")).alias("content"))
+    known = among(chunks.select("chunk_id", "file_path", F.coalesce("content", F.lit("")).alias("content")), hits)
     rows = hits.join(known, "chunk_id").join(text, "query_id").withColumn("c_terms", F.array_distinct(T.words(F.col("content"))))
     one = F.lit(1.0)
     n = F.count("*").over(Window.partitionBy("query_id", "file_path"))
@@ -342,7 +367,8 @@ def mock_relevance(query: Column, document: Column) -> Column:
 
 def rerank(hits: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, top_n: int = 50, relevance=mock_relevance, digits: int = 6) -> DataFrame:
     """The best ``top_n`` hits of each query re-sorted by ``relevance(query, content)``, cut to k; each pair is scored once."""
-    first = materialise(hits.where(F.col("rank") <= top_n), "hits").join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "text"), "query_id")
+    hits = materialise(hits.where(F.col("rank") <= top_n), "hits")
+    first = hits.join(among(chunks.select("chunk_id", "content"), hits), "chunk_id").join(queries.select("query_id", "text"), "query_id")
     scored = first.select("query_id", "chunk_id", F.round(relevance(F.col("text"), F.coalesce("content", F.lit(""))), digits).alias("score"))
     return top_k(scored, k)
 

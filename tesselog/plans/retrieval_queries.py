@@ -44,9 +44,12 @@ def symbol_queries(chunks: DataFrame) -> DataFrame:
     return chunks.where("chunk_id % 100 = 0 and symbol_name is not null").select(F.col("chunk_id").alias("query_id"), F.col("symbol_name").alias("text"))
 
 
+def _usable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(table(spark, sf_dir, "cached_index").select("vec_id", "chunk_id", "embedding", "created_at"), "vec_id", "created_at").where(V.usable(F.col("embedding"), 64))
+
+
 def index_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = once(table(spark, sf_dir, "cached_index").select("vec_id", "chunk_id", "embedding", "created_at"), "vec_id", "created_at").where(V.usable(F.col("embedding"), 64))
-    return rows.select(F.col("vec_id").alias("id"), "chunk_id", V.scaled(F.col("embedding")).alias("v"))
+    return _usable_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "chunk_id", V.scaled(F.col("embedding")).alias("v"))
 
 
 CORPUS = "chunk AS (SELECT DISTINCT * FROM chunks)"
@@ -215,8 +218,9 @@ cs AS (SELECT * FROM (SELECT query_id, id AS chunk_id, score, row_number() OVER
 
 
 def chunk_vectors(spark, sf_dir):
-    v = index_vectors(spark, sf_dir).where("chunk_id is not null")
-    return v.groupBy("chunk_id").agg(F.min_by("v", "id").alias("v")).withColumnRenamed("chunk_id", "id")
+    """Written once as they are stored, half the size of what is searched, for the query set and each block of it to read."""
+    v = _usable_vectors(spark, sf_dir).where("chunk_id is not null").groupBy(F.col("chunk_id").alias("id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return materialise(v, "chunk_vectors").select("id", V.scaled(F.col("embedding")).alias("v"))
 
 
 @query(

@@ -178,23 +178,16 @@ def _best_words(asked: pa.Table, k: int, config: Bm25, digits: int):
     return run
 
 
-def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(), digits: int = 6, by: str | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k best chunks of each query, scores over 0 only.
+def _grouped(rows: DataFrame, by: str | None, *columns) -> DataFrame:
+    return rows.select(columns[0], (F.col(by).cast("string") if by else F.lit("")).alias("group"), *columns[1:])
 
-    With ``by``, a column of both tables, its values are corpora of their own:
-    a query meets only chunks of its value, under their statistics.
 
-    Queries of the same terms are scored once.  They go to every task in
-    blocks, the chunks stream past them, and k rows of each leave a task, of
-    which there is one for each core: no pair of a query and a chunk that shares
-    a term with it is ever shuffled, and k rows of each query are kept of a block.
-    """
-    spark = terms.sparkSession
-    ship(spark)
-    group = (F.col(by).cast("string") if by else F.lit("")).alias("group")
-    chunks = terms.select("chunk_id", group, "dl", "terms")
+def weigh(terms: DataFrame, queries: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``bm25`` asks for, whatever its configuration: (query_id, same) of the queries, and the weights of the terms of each ``same``."""
+    ship(terms.sparkSession)
+    chunks = _grouped(terms, by, "chunk_id", "dl", "terms")
     words = F.array_sort(F.array_distinct(T.tokens(F.col("text"), True))).alias("terms")
-    asked = queries.select("query_id", group, words).where("group is not null and size(terms) > 0")
+    asked = _grouped(queries, by, "query_id", words).where("group is not null and size(terms) > 0")
     asked = materialise(asked.withColumn("same", F.sha2(F.to_json(F.struct("group", "terms")), 256)), "asked")
     wanted = materialise(asked.dropDuplicates(["same"]).select("same", "group", F.explode("terms").alias("term")), "wanted")
     # which chunks hold a term is counted before anything is shuffled: a task gives out each term once
@@ -203,7 +196,25 @@ def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     known = wanted.join(df, ["group", "term"]).join(stats, "group").select(F.col("same").alias("query_id"), "group", "avgdl", F.struct("term", idf.alias("idf")).alias("x"))
     weights = known.groupBy("query_id", "group").agg(F.first("avgdl").alias("avgdl"), F.collect_list("x").alias("x"))
-    weights = materialise(weights.select("query_id", "group", "avgdl", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf")), "weights")
+    return asked.select("query_id", "same"), materialise(weights.select("query_id", "group", "avgdl", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf")), "weights")
+
+
+def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(), digits: int = 6, by: str | None = None, weights: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best chunks of each query, scores over 0 only.
+
+    With ``by``, a column of both tables, its values are corpora of their own:
+    a query meets only chunks of its value, under their statistics.
+
+    ``weights`` are those of ``weigh`` for the same queries, if at hand.
+
+    Queries of the same terms are scored once.  They go to every task in
+    blocks, the chunks stream past them, and k rows of each leave a task, of
+    which there is one for each core: no pair of a query and a chunk that shares
+    a term with it is ever shuffled, and k rows of each query are kept of a block.
+    """
+    spark = terms.sparkSession
+    chunks = _grouped(terms, by, "chunk_id", "dl", "terms")
+    asked, weights = weights or weigh(terms, queries, by)
     size = weights.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).first()
     schema = f"query_id string, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
     found = None
@@ -215,7 +226,7 @@ def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, config: Bm25 = Bm25(
     if found is None:
         found = spark.createDataFrame([], f"{schema}, rank int")
     best = found.withColumnRenamed("query_id", "same")
-    return asked.select("query_id", "same").join(best, "same").select("query_id", "chunk_id", "score", "rank")
+    return asked.join(best, "same").select("query_id", "chunk_id", "score", "rank")
 
 
 #: Queries answered by one pass over the rows; a larger query set takes several.

@@ -7,6 +7,8 @@ the contents of its chunks in order of their lines.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +61,11 @@ class Setting:
 
     def models(self) -> dict[str, E.Adapter]:
         terms = self.terms()
-        vectors = materialise(Q.chunk_vectors(self.spark, self.sf_dir), "vectors")
+        vectors = Q.chunk_vectors(self.spark, self.sf_dir)
+        weights = cache(lambda tasks: R.weigh(terms, tasks, "repo"))  # the same for every configuration
 
         def words(config: R.Bm25 = R.Bm25()):
-            return lambda tasks, k: R.bm25(terms, tasks, k, config, by="repo")
+            return lambda tasks, k: R.bm25(terms, tasks, k, config, by="repo", weights=weights(tasks))
 
         def vector(tasks: DataFrame, k: int) -> DataFrame:
             asked = vectors.join(tasks.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
@@ -194,7 +197,7 @@ bench AS (SELECT repo, model, coalesce(max(CASE WHEN metric = 'recall' THEN n EN
 @query(f"WITH {BENCH} SELECT * FROM bench")
 def model_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the three retrievers do in each repo, with resampled bounds."""
-    return E.model_bench(materialise(_scores(spark, sf_dir), "model_scores"))
+    return E.model_bench(_scores(spark, sf_dir))
 
 
 @query(
@@ -204,4 +207,4 @@ SELECT a.repo, a.model AS best, b.model AS baseline, CASE WHEN a.have THEN 'reca
 )
 def recommended_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which retriever to use in each repo."""
-    return E.recommend(E.model_bench(materialise(_scores(spark, sf_dir), "model_scores")), "bm25")
+    return E.recommend(materialise(E.model_bench(_scores(spark, sf_dir)), "bench"), "bm25")

@@ -423,17 +423,18 @@ def first_ranks(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     return relevant.select("query_id", "item").distinct().join(best, ["query_id", "item"], "left")
 
 
-def metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """query_id, recall, mrr, ndcg at k with binary gains."""
-    ranks = first_ranks(ranked, relevant)
+def _gains(k: int) -> list[Column]:
     hit = F.col("rank") <= k
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n").cast("int"))), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
-    sums = ranks.groupBy("query_id").agg(
-        F.count("*").alias("n"),
+    return [
         F.sum(F.when(hit, 1).otherwise(0)).alias("hits"),
         F.min(F.when(hit, F.col("rank"))).alias("first"),
         F.sum(F.when(hit, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
-    )
+    ]
+
+
+def _rated(sums: DataFrame, k: int, digits: int) -> DataFrame:
+    """query_id, recall, mrr, ndcg of (query_id, n, hits, first, dcg)."""
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n").cast("int"))), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     return sums.select(
         "query_id",
         F.round(F.col("hits") / F.col("n"), digits).alias("recall"),
@@ -442,6 +443,26 @@ def metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10, digits: int = 6
     )
 
 
+def metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """query_id, recall, mrr, ndcg at k with binary gains."""
+    ranks = first_ranks(ranked, relevant)
+    return _rated(ranks.groupBy("query_id").agg(F.count("*").alias("n"), *_gains(k)), k, digits)
+
+
+def label_metrics(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """``metrics`` where the relevant items (chunk_id, label), each there once, are those whose label is the text of the query (query_id, text).
+
+    How many these are is counted for each label, and only what is ranked up to
+    k brings its label: no pair of a query and a relevant item is listed.
+    """
+    best = materialise(ranked.where(F.col("rank") <= k).groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank")), "ranked")
+    asked = queries.select("query_id", F.col("text").alias("label"))
+    hits = best.join(among(items.select("chunk_id", "label"), best), "chunk_id").join(asked, ["query_id", "label"])
+    sums = hits.groupBy("query_id").agg(*_gains(k))
+    full = asked.join(items.where("label is not null").groupBy("label").agg(F.count("*").alias("n")), "label").join(sums, "query_id", "left")
+    return _rated(full.fillna({"hits": 0, "dcg": 0.0}), k, digits)
+
+
 def random_index(i: Column, n: Column | int, seed: int = 0xB7C8D9E1) -> Column:
     """The i-th draw (from 0) of the mulberry32 generator as an index below n; any draw without the ones before it."""
     mask = F.lit(0xFFFFFFFF)

@@ -375,9 +375,7 @@ SELECT query_id, round(hits / n, 6) AS recall, round(coalesce(1.0::DOUBLE / firs
 def retrieval_metrics(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
     asked = symbol_queries(chunks)
-    ranked = R.bm25(index(spark, sf_dir), asked, 10).withColumnRenamed("chunk_id", "item")
-    relevant = asked.join(chunks.select(F.col("symbol_name").alias("text"), F.col("chunk_id").alias("item")), "text")
-    return R.metrics(ranked, relevant, 10)
+    return R.label_metrics(R.bm25(index(spark, sf_dir), asked, 10), asked, chunks.select("chunk_id", F.col("symbol_name").alias("label")), 10)
 
 
 @query(
